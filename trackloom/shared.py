@@ -46,25 +46,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_bytes(spark: SparkSession, path: str, raw: bytes) -> None:
     """Writes beside the target, then renames over it."""
     jvm = spark.sparkContext._jvm
     fs, p = _fs(spark, path)
     tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:8]}")
     out = fs.create(tmp, True)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(raw))
     finally:
         out.close()
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    rename = jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
-    options = spark.sparkContext._gateway.new_array(rename_type(jvm), 1)
-    options[0] = rename.getEnumConstants()[1]
-    context.rename(tmp, p, options)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, p, options)
 
 
-def rename_type(jvm):
-    return getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode())
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:

@@ -26,7 +26,7 @@ POINT = rf"^\s*(?i:POINT)\s*\(\s*({NUMBER})\s+({NUMBER})\s*\)\s*$"
 #: Characters that no name may hold: controls but tab, line feed and carriage return, U+007F and U+FFFD.
 UNREADABLE = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\uFFFD]"
 #: White space of Unicode.
-WHITE = r"^[\s\x1C-\x1F\x85   -     　]*$"
+WHITE = r"^[\s\x1C-\x1F\x85\u00A0\u1680\u2028\u2029\u202F\u205F\u3000\u2000-\u200A]*$"
 _MARK = "\x02"
 
 
