@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import frequency, mixing, neighbours, tokens
+from trackloom.llm import clusters, frequency, mixing, neighbours, tokens
 
 RARE, COMMON_SHARE = 3, 0.05
 K, LEAST_COS = 5, 0.8
@@ -49,12 +49,27 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, d), _read(spark, d, "mix_targets"))
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "poi_vectors").select(F.col("vec_id").alias("id"), "z", "label_pair")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    labels, distinct, copies = clusters.clustered(_vectors(spark, d), LEAST_COS)
+    found = clusters.isolated_cliques(labels, distinct, copies, LEAST_COS)
+    return clusters.with_copies(labels, copies).join(found, "cluster").select(F.col("cluster").alias("cluster_id"), F.col("id").alias("vec_id"))
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Every cluster with its size, most typical members and label_pair values."""
+    vectors = _vectors(spark, d)
+    return clusters.described(vectors, *clusters.clustered(vectors, LEAST_COS))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    vectors = _read(spark, d, "poi_vectors").select(F.col("vec_id").alias("id"), "z")
-    return neighbours.most_similar(vectors, K, LEAST_COS).select(F.col("id").alias("vec_id"), F.col("other").alias("neighbor_id"))
+    return neighbours.most_similar(_vectors(spark, d), K, LEAST_COS).select(F.col("id").alias("vec_id"), F.col("other").alias("neighbor_id"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_counts, p5_text_terms, p6_found, p8_ids, p9_mix, p9_shares)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p5_found, p5_counts, p5_text_terms, p6_found, p8_ids, p9_mix, p9_shares)}
 
 _TERM = r"coalesce(nullif(trim(regexp_replace(lower({c}), '[ \t\x{{00A0}}]+', ' ', 'g')), ''), '<null_val>')"
 _COUNTS = "with v as (" + " union all ".join(f"select '{c}' as field, {_TERM.format(c=c)} as term from {t}" for t, c in (("pois", "TOP_CATEGORY"), ("pois", "SUB_CATEGORY"), ("poi_vectors", "label_pair"))) + f"""),
@@ -70,4 +85,9 @@ SQL = {
     "p6_found": f"""{USABLE},
 pairs as (select a.vec_id, b.vec_id as neighbor_id, row_number() over (partition by a.vec_id order by round(list_dot_product(a.u, b.u), 12) desc, b.vec_id) as n, list_dot_product(a.u, b.u) as c from unit a join unit b on a.vec_id <> b.vec_id)
 select vec_id, neighbor_id from pairs where n <= {K} and c >= {LEAST_COS}""",
+    "p3_found": f"""{USABLE},
+pairs as (select a.vec_id as v, b.vec_id as w from unit a join unit b on list_dot_product(a.u, b.u) >= {LEAST_COS}),
+hoods as (select v, list(w order by w) as hood from pairs group by v),
+same as (select hood, count(*) as n, min(v) as cluster_id from hoods group by hood)
+select cluster_id, unnest(hood) as vec_id from same where n > 1 and n = len(hood)""",
 }
