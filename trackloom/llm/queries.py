@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import clusters, frequency, mixing, neighbours, tokens
+from trackloom.llm import clusters, frequency, mixing, neighbours, subjects, tokens
 
 RARE, COMMON_SHARE = 3, 0.05
 K, LEAST_COS = 5, 0.8
@@ -69,7 +69,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.most_similar(_vectors(spark, d), K, LEAST_COS).select(F.col("id").alias("vec_id"), F.col("other").alias("neighbor_id"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p5_found, p5_counts, p5_text_terms, p6_found, p8_ids, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    names = [r["subject"] for r in _read(spark, d, "subjects").select("subject").collect()]  # a fixed table of subjects
+    return subjects.assigned(_read(spark, d, "documents"), _read(spark, d, "subject_labels"), names).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """subject, documents, share: how many documents have the subject, and the part of all documents that is."""
+    whole = _read(spark, d, "documents").agg(F.count(F.lit(1)).alias("whole"))
+    return p10_found(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("documents")).join(F.broadcast(whole)).select("subject", "documents", (F.col("documents") / F.col("whole")).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p5_found, p5_counts, p5_text_terms, p6_found, p8_ids, p9_mix, p9_shares, p10_found, p10_composition)}
 
 _TERM = r"coalesce(nullif(trim(regexp_replace(lower({c}), '[ \t\x{{00A0}}]+', ' ', 'g')), ''), '<null_val>')"
 _COUNTS = "with v as (" + " union all ".join(f"select '{c}' as field, {_TERM.format(c=c)} as term from {t}" for t, c in (("pois", "TOP_CATEGORY"), ("pois", "SUB_CATEGORY"), ("poi_vectors", "label_pair"))) + f"""),
