@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,36 +32,38 @@ def planar(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
 
 
-def geodesic(lat1: Column, lon1: Column, lat2: Column, lon2: Column, rounds: int = 12) -> Column:
-    """Metres on the WGS-84 ellipsoid by Vincenty's inverse formula, a fixed number of rounds (an aggregate over a sequence,
-    so that the plan does not grow with them). Positions almost opposite each other do not converge."""
-    span = F.radians(lon2 - lon1)
-    u1, u2 = (F.atan((1 - F84) * F.tan(F.radians(x))) for x in (lat1, lat2))
-    s1, c1, s2, c2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
+def geodesic_metres(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """Metres on the WGS-84 ellipsoid by the inverse formula of Vincenty, over arrays. NaN where positions almost opposite
+    each other do not converge."""
+    u1, u2 = (np.arctan((1 - F84) * np.tan(np.radians(x))) for x in (lat1, lat2))
+    span = np.radians(lon2 - lon1)
+    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+    lam, last = span, span + 1
+    for _ in range(rounds):
+        sin_s = np.hypot(c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam))
+        cos_s = s1 * s2 + c1 * c2 * np.cos(lam)
+        sigma = np.arctan2(sin_s, cos_s)
+        sin_a = np.divide(c1 * c2 * np.sin(lam), sin_s, out=np.zeros_like(sin_s), where=sin_s > 0)
+        cos2_a = 1 - sin_a**2
+        cos_m = cos_s - np.divide(2 * s1 * s2, cos2_a, out=np.zeros_like(cos_s), where=cos2_a > 1e-15)
+        c = F84 / 16 * cos2_a * (4 + F84 * (4 - 3 * cos2_a))
+        last, lam = lam, span + (1 - c) * F84 * sin_a * (sigma + c * sin_s * (cos_m + c * cos_s * (2 * cos_m**2 - 1)))
+    u = cos2_a * (A84**2 - B84**2) / B84**2
+    a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+    b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+    d = b * sin_s * (cos_m + b / 4 * (cos_s * (2 * cos_m**2 - 1) - b / 6 * cos_m * (4 * sin_s**2 - 3) * (4 * cos_m**2 - 3)))
+    return np.where(np.abs(lam - last) < 1e-11, B84 * a * (sigma - d), np.nan)
 
-    def parts(lam: Column):
-        sin_s = F.sqrt(F.pow(c2 * F.sin(lam), 2) + F.pow(c1 * s2 - s1 * c2 * F.cos(lam), 2))
-        cos_s = s1 * s2 + c1 * c2 * F.cos(lam)
-        sin_a = F.when(sin_s == 0, 0.0).otherwise(c1 * c2 * F.sin(lam) / F.when(sin_s == 0, 1.0).otherwise(sin_s))
-        cos2_a = 1 - sin_a * sin_a
-        cos_m = F.when(cos2_a < 1e-15, 0.0).otherwise(cos_s - 2 * s1 * s2 / F.when(cos2_a < 1e-15, 1.0).otherwise(cos2_a))
-        return sin_s, cos_s, F.atan2(sin_s, cos_s), sin_a, cos2_a, cos_m
 
-    def again(lam: Column, _: Column) -> Column:
-        sin_s, cos_s, sigma, sin_a, cos2_a, cos_m = parts(lam)
-        c = F84 / 16 * cos2_a * (4 + F84 * (4 - 3 * cos2_a))
-        return span + (1 - c) * F84 * sin_a * (sigma + c * sin_s * (cos_m + c * cos_s * (2 * cos_m * cos_m - 1)))
-
-    def metres(lam: Column) -> Column:
-        sin_s, cos_s, sigma, _, cos2_a, cos_m = parts(lam)
-        u = cos2_a * ((A84**2 - B84**2) / B84**2)
-        a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
-        b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-        d = b * sin_s * (cos_m + b / 4 * (cos_s * (2 * cos_m * cos_m - 1) - b / 6 * cos_m * (4 * sin_s * sin_s - 3) * (4 * cos_m * cos_m - 3)))
-        return F.when(sin_s == 0, 0.0).otherwise(B84 * a * (sigma - d))
-
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), span, again)
-    return F.get(F.transform(F.array(end), metres), 0)
+def geodesic(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """geodesic_metres as a column, by Arrow batches: rounds of a formula this long cannot share their parts as expressions."""
+
+    @F.pandas_udf("double")
+    def metres(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        with np.errstate(invalid="ignore"):
+            return pd.Series(geodesic_metres(*[x.to_numpy(float) for x in (a, b, c, d)]))
+
+    return metres(lat1, lon1, lat2, lon2)
 
 
 def to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
