@@ -112,7 +112,7 @@ def null_fraction(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "trips").agg(F.count(F.lit(1)).alias("n"), part("participantId").alias("participant"), part("tripStartDate").alias("start"), part("tripEndLatitude").alias("lat"))
 
 
-@query("select trip_id from trips where tripEndLongitude between -87.6 and -79.95 and tripEndLatitude between 24.5 and 31.0")
+@query("select trip_id from trips where tripEndLongitude between -87.6 and -79.95 and tripEndLatitude between 24.5 and 31.0 and not isnan(tripEndLatitude) and not isnan(tripEndLongitude)")
 def bbox_filter(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "trips").filter(F.col("tripEndLongitude").between(-87.6, -79.95) & F.col("tripEndLatitude").between(24.5, 31.0)).select("trip_id")
 
