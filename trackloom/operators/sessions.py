@@ -10,6 +10,7 @@ its rows in the combine only, and the window behind it sees a bounded group.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,27 +105,27 @@ class SessionTable:
         shared.write_text(self.spark, f"{self.path}/manifest.json", json.dumps({"version": version, "units": units, "ids": ids}))
 
 
-def sessions_by_batches(events: DataFrame, gap: int, arrival: str, batches: int, once_by_id: bool = False) -> DataFrame:
-    """events(key, start_s, end_s[, id], arrival) replayed through a SessionTable in `batches` spans of arrival time.
+def sessions_by_batches(rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], gap: int, arrival: str, batches: int, once_by_id: bool = False) -> DataFrame:
+    """rows, replayed through a SessionTable in `batches` spans of arrival time: key, session_start, session_end, n_events.
 
-    Rows without an arrival come with the last batch. Gives key, session_start, session_end, n_events.
+    prepare makes a batch of rows into (key, start_s, end_s[, id]); it comes behind the filter on arrival, which reaches
+    the scan, so that a row is parsed in its own batch only. Rows without an arrival come with the last batch.
     """
-    spark = events.sparkSession
+    spark = rows.sparkSession
     table = SessionTable(spark, shared.scratch(spark, "sessions"), gap, once_by_id=once_by_id)
     at = F.col(arrival)
-    ends = events.agg(F.min(at).cast("timestamp_ntz").alias("lo"), F.max(at).cast("timestamp_ntz").alias("hi")).first()
-    if ends["lo"] is None:
-        table.merge(events)
+    ends = rows.agg(F.min(at).cast("timestamp_ntz").alias("lo"), F.max(at).cast("timestamp_ntz").alias("hi")).first()
+    if ends["lo"] is None or batches < 2:
+        table.merge(prepare(rows))
         return table.sessions()
     step = (ends["hi"] - ends["lo"]) / batches
-    cuts = [ends["lo"] + step * i for i in range(1, batches)]
+    cuts = [F.lit(ends["lo"] + step * i).cast("timestamp_ntz") for i in range(1, batches)]
     for i in range(batches):
-        part = events
-        if i:
-            part = part.filter(at >= F.lit(cuts[i - 1]).cast("timestamp_ntz") if i < batches - 1 else at.isNull() | (at >= F.lit(cuts[i - 1]).cast("timestamp_ntz")))
-        if i < batches - 1:
-            part = part.filter(at < F.lit(cuts[i]).cast("timestamp_ntz"))
-        elif not i:
-            part = events
-        table.merge(part)
+        if i == 0:
+            part = rows.filter(at < cuts[0])
+        elif i < batches - 1:
+            part = rows.filter((at >= cuts[i - 1]) & (at < cuts[i]))
+        else:
+            part = rows.filter(at.isNull() | (at >= cuts[-1]))
+        table.merge(prepare(part))
     return table.sessions()

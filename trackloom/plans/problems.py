@@ -23,14 +23,14 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    trips = usable_trips(_read(spark, d, "trips"), "received_at").withColumnRenamed("participantId", "key")
-    return sessions_by_batches(trips, SESSION_GAP_S, "received_at", BATCHES).select(F.col("key").alias("participantId"), "session_start", "session_end")
+    keyed = lambda t: usable_trips(t).withColumnRenamed("participantId", "key")
+    return sessions_by_batches(_read(spark, d, "trips"), keyed, SESSION_GAP_S, "received_at", BATCHES).select(F.col("key").alias("participantId"), "session_start", "session_end")
 
 
 def p1_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions with duration and number of trips; a trip delivered again counts once."""
-    trips = usable_trips(_read(spark, d, "trips"), F.col("trip_id").alias("id"), "received_at").withColumnRenamed("participantId", "key")
-    s = sessions_by_batches(trips, SESSION_GAP_S, "received_at", BATCHES, once_by_id=True)
+    keyed = lambda t: usable_trips(t, F.col("trip_id").alias("id")).withColumnRenamed("participantId", "key")
+    s = sessions_by_batches(_read(spark, d, "trips"), keyed, SESSION_GAP_S, "received_at", BATCHES, once_by_id=True)
     return s.select(F.col("key").alias("participantId"), "session_start", "session_end", (F.col("session_end") - F.col("session_start")).alias("duration_s"), F.col("n_events").alias("n_trips"))
 
 
