@@ -223,7 +223,7 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     c = {k: t[k].to_numpy() for k in ("x0", "y0", "x1", "y1")}
     out_p, out_r = [], []
     names = t["region"].combine_chunks()
-    ids = t["point"].to_numpy(zero_copy_only=False)
+    ids = t["point"].fill_null(0).to_numpy()  # not through floats
     order = np.argsort(slab, kind="stable")
     for members in np.split(order, np.flatnonzero(np.diff(slab[order])) + 1):
         pts, edg = members[is_point[members]], members[~is_point[members]]

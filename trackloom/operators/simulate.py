@@ -1,0 +1,93 @@
+"""Draws that depend on keys, not on order: homes by population, cohorts, weighted choice of the next place, day plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from trackloom import shared
+from trackloom.functions import geo
+from trackloom.functions.columns import uniform
+from trackloom.operators.numbering import numbered
+
+#: Metres over which the pull of a place falls, and how another county is weighed against one's own.
+DECAY_M, SAME, OTHER = 20_000.0, 1.0, 3.0
+
+
+def race(weight: Column, u: Column) -> Column:
+    """The time of an exponential race: the smallest of a group is a draw in proportion to the weights."""
+    return -F.log(u) / F.when(weight > 0, weight)
+
+
+def homes(people: DataFrame, counties: DataFrame, places: DataFrame, seed: int = 42) -> DataFrame:
+    """people(person_id), counties(county, population) and places(place, county) to person_id, county, place: a county in
+    proportion to its population, then a home there by a number into the county's homes in order; where a county has none,
+    into all homes. The counties' cumulative shares are a dimension and are broadcast."""
+    w = Window.orderBy("county")
+    share = counties.filter("population > 0").withColumn("hi", F.sum("population").over(w) / F.sum("population").over(Window.partitionBy()))
+    cum = share.agg(F.array_sort(F.collect_list(F.struct("hi", "county"))).alias("all"))  # one entry a county
+    p = people.join(F.broadcast(cum)).withColumn("_u", uniform(seed, F.col("person_id"), F.lit(1)))
+    p = p.withColumn("county", F.get(F.filter("all", lambda x: x["hi"] >= F.col("_u")), 0)["county"]).drop("all", "_u")
+    of_county = Window.partitionBy("county").orderBy("place")
+    n = places.withColumns({"i": F.row_number().over(of_county) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("county"))})
+    size = n.select("county", "n").distinct()
+    whole = places.agg(F.count(F.lit(1)).alias("all_n"))
+    every = numbered(places.select("place"), "place", name="i").select(F.lit(None).cast("string").alias("county"), F.col("i").cast("int").alias("i"), "place")
+    drawn = p.join(F.broadcast(size), "county", "left").join(F.broadcast(whole)).withColumn("i", F.floor(uniform(seed, F.col("person_id"), F.lit(2)) * F.coalesce("n", "all_n")).cast("int"))
+    table = n.select("county", "i", "place").unionByName(every).withColumnRenamed("county", "c")
+    at = F.when(F.col("n").isNotNull(), F.col("county"))
+    return drawn.withColumn("c", at).alias("x").join(table.alias("t"), F.col("x.c").eqNullSafe(F.col("t.c")) & (F.col("x.i") == F.col("t.i"))).select("person_id", "x.county", "place")
+
+
+def cohorts(people: DataFrame, names: list[str], seed: int = 42) -> DataFrame:
+    """person_id, cohort: as even as can be, the first names taking one more; who gets which by a mixed order."""
+    k = len(names)
+    drawn = numbered(people.select("person_id"), uniform(seed, F.col("person_id")), "person_id", name="r")
+    n, r = F.col("n"), F.col("r")
+    base, rest = F.floor(n / k), n % k
+    i = F.when(r < (base + 1) * rest, F.floor(r / (base + 1))).otherwise(rest + F.floor((r - (base + 1) * rest) / F.when(base > 0, base).otherwise(1)))
+    return drawn.join(F.broadcast(people.agg(F.count(F.lit(1)).alias("n")))).select("person_id", F.get(F.array(*[F.lit(x) for x in names]), i.cast("int")).alias("cohort"))
+
+
+def pull(metres: Column, home_county: Column, county: Column, force_same: bool = False, force_other: bool = False) -> Column:
+    """exp(-metres / DECAY_M) times SAME in the home county, OTHER elsewhere or where there is none; plus a trace, so that a
+    mask that leaves nothing leaves an even draw."""
+    same = F.coalesce(county == home_county, F.lit(False))
+    w = F.exp(-metres / DECAY_M) * F.when(same, SAME).otherwise(OTHER)
+    if force_same:
+        w = F.when(same, w).otherwise(0.0)
+    if force_other:
+        w = F.when(same, 0.0).otherwise(w)
+    return w + 1e-12
+
+
+def next_places(asked: DataFrame, places: DataFrame, seed: int = 42) -> DataFrame:
+    """asked(person_id, step, category, lon, lat, home_county) and places(place, category, county, lon, lat) to the place
+    drawn for each: one race among the places of the category. Places are joined by category and, to keep a category with
+    many places from one task, by a salt; each salt runs its own heat and the heats' winners meet."""
+    salts = 16
+    p = places.select("category", "place", "county", F.col("lon").alias("plon"), F.col("lat").alias("plat"), F.pmod(F.xxhash64("place"), F.lit(salts)).alias("salt"))
+    a = asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    m = geo.haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
+    t = race(pull(m, F.col("home_county"), F.col("county")), uniform(seed, F.col("person_id"), F.col("step"), F.col("place")))
+    run = a.join(p, ["category", "salt"]).groupBy("person_id", "step").agg(F.min_by(F.struct("place", "county", F.col("plon").alias("lon"), F.col("plat").alias("lat")), F.struct(t.alias("t"), "place")).alias("w"))
+    return run.select("person_id", "step", "w.place", "w.county", "w.lon", "w.lat")
+
+
+def day_plans(people: DataFrame, places: DataFrame, plan: list[str], seed: int = 42) -> DataFrame:
+    """people(person_id, lon, lat, home_county) walked through a plan of categories, one step of the plan a stage over all
+    people; `home` returns. Gives person_id, step, place, county, lon, lat; where a category has no place one stays."""
+    now = people.select("person_id", "lon", "lat", "home_county", F.lit("home").alias("place"), F.col("home_county").alias("county"))
+    out = now.withColumn("step", F.lit(0))
+    for i, category in enumerate(plan, 1):
+        if category == "home":
+            now = people.select("person_id", "lon", "lat", "home_county", F.lit("home").alias("place"), F.col("home_county").alias("county"))
+        else:
+            asked = now.select("person_id", F.lit(i).alias("step"), F.lit(category).alias("category"), "lon", "lat", "home_county")
+            got = next_places(asked, places, seed).select("person_id", F.struct("place", "county", "lon", "lat").alias("g"))
+            j = now.join(got, "person_id", "left")
+            pick = lambda c: F.coalesce(F.col(f"g.{c}"), F.col(c)).alias(c)
+            now = shared.stored(j.select("person_id", pick("lon"), pick("lat"), "home_county", pick("place"), pick("county")), "step")
+        out = out.unionByName(now.withColumn("step", F.lit(i)))
+    return out.select("person_id", "step", "place", "county", "lon", "lat")
