@@ -4,7 +4,9 @@ Vectors are scaled to length one and projected onto M directions fitted on a bou
 projection if they lie within a window of it; for a radius, the windows are as wide as the sample's similar pairs need. A
 query's window on the first projection is a slice of the array sorted by it; vectors of the slice that collide on at least
 COLLISIONS of the projections are verified by their cosine. The search begins with a small radius and widens its windows
-(virtual rehashing: nothing is indexed again) for queries that have not yet k neighbours within the radius.
+(virtual rehashing: nothing is indexed again) for queries that have not yet k neighbours within the radius. Queries are
+taken in small groups that lie close together on all projections; a vector outside a group's span by more than the window
+on too many projections collides often enough with none of them, and is passed over for the whole group.
 
 Distribution. The first projection (for very many vectors the first two) is cut into tiles at the sample's quantiles; a
 vector is a query in one tile and a candidate in each that its widest window meets. Exact copies are folded before and
@@ -28,14 +30,15 @@ SAMPLE = 20_000
 #: Projections, and on how many of them two vectors must collide to be verified.
 M, COLLISIONS = 16, 13
 #: Share of similar pairs of the sample that a window must hold, and the least a window is, in standard deviations of an
-#: equal spread of the difference over all dimensions.
-HELD, LEAST = 0.995, 2.6
+#: equal spread of the difference over all dimensions; and the same for the slice of a sorted array, which every pair must
+#: pass.
+HELD, LEAST, HELD_SLICE, LEAST_SLICE = 0.955, 2.0, 0.999, 3.0
 #: Radii tried, as parts of the one that belongs to the least cosine.
-RADII = (0.5, 1.0)
+RADII = (0.6, 1.0)
 #: Vectors of a tile's own; above FLAT vectors the second projection is cut too.
 TILE, FLAT = 40_000, 4_000_000
 #: Queries and candidates compared at a time.
-Q, P = 256, 4_096
+Q, P = 64, 4_096
 
 
 def usable(z: Column, width: int = 64) -> Column:
@@ -69,13 +72,15 @@ class Index:
         if len(a) > 200_000:
             keep = np.linspace(0, len(a) - 1, 200_000).astype(int)
             a, b = a[keep], b[keep]
-        per = np.full(m, LEAST / np.sqrt(width))
+        per, far = np.full(m, LEAST / np.sqrt(width)), np.full(m, LEAST_SLICE / np.sqrt(width))
         if len(a) >= 200:
             apart = np.sqrt(np.maximum(2 - 2 * cos[a, b], 1e-12))
             ok = apart > 1e-3
             if ok.sum() >= 200:
-                per = np.maximum(per, np.quantile(np.abs(h[a] - h[b])[ok] / apart[ok, None], HELD, axis=0))
+                part = np.abs(h[a] - h[b])[ok] / apart[ok, None]
+                per, far = np.maximum(per, np.quantile(part, HELD, axis=0)), np.maximum(far, np.quantile(part, HELD_SLICE, axis=0))
         self.windows = [per * self.radius * r for r in RADII]
+        self.slices = [far * self.radius * r for r in RADII]
         if grid is None:
             tiles = max(12, -(-rows // TILE))
             grid = (tiles, 1) if rows <= FLAT else (int(np.ceil(np.sqrt(tiles))), int(np.ceil(np.sqrt(tiles))))
@@ -96,7 +101,7 @@ class Index:
 def _spread(index: Index, width: int):
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, label, z) to (tile, is_query, id, label, u)."""
-        wide = index.windows[-1]
+        wide = index.slices[-1]
         for b in batches:
             if not b.num_rows:
                 continue
@@ -128,7 +133,86 @@ def _best(q: np.ndarray, ids: np.ndarray, cos: np.ndarray, k: int) -> np.ndarray
     return order[np.arange(len(order)) - start < k]
 
 
+def groups(h: np.ndarray, rows: np.ndarray, size: int) -> list[np.ndarray]:
+    """rows parted into groups of at most `size` that lie close together: around centres settled by a few rounds, and in
+    each from the inner to the outer, so that what lies apart widens few groups."""
+    if len(rows) <= size:
+        return [rows] if len(rows) else []
+    x = h[rows]
+    centre = x[:: max(1, size // 2)].copy()
+    for last in (False, False, False, True):
+        near, far = np.empty(len(x), np.int64), np.empty(len(x), np.float32)
+        square = (centre**2).sum(1)
+        for i in range(0, len(x), 4_096):
+            d = square[None] - 2 * x[i : i + 4_096] @ centre.T
+            near[i : i + 4_096] = d.argmin(1)
+            far[i : i + 4_096] = d.min(1) + (x[i : i + 4_096] ** 2).sum(1)
+        if not last:
+            n = np.bincount(near, minlength=len(centre))
+            for j in range(x.shape[1]):
+                centre[:, j] = np.where(n > 0, np.bincount(near, x[:, j], len(centre)) / np.maximum(n, 1), centre[:, j])
+    order = np.lexsort((far, near))
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(near[order]) != 0]))
+    return [rows[order[i : min(i + size, end)]] for at, end in zip(begin, np.append(begin[1:], len(x)), strict=True) for i in range(at, end, size)]
+
+
 def _collide(index: Index, width: int, k: int, least_cos: float, apart: bool):
+    def ask(level: int, open_: np.ndarray, u: np.ndarray, ids: np.ndarray, label: np.ndarray, first: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, candidate, cosine) of the best for a group of queries with the windows of a level."""
+        steps = np.ceil(index.windows[level] / index.step).astype(np.int16) + 1
+        lo = np.searchsorted(first, first[open_].min() - index.slices[level][0])
+        hi = np.searchsorted(first, first[open_].max() + index.slices[level][0], "right")
+        mine = np.ascontiguousarray(key[:, open_])
+        low, high = mine.min(1) - steps, mine.max(1) + steps  # int16
+        missed = np.zeros(hi - lo, np.int8)
+        for i in range(key.shape[0]):
+            missed += ((key[i, lo:hi] < low[i]) | (key[i, lo:hi] > high[i])).view(np.int8)
+        near = np.flatnonzero(missed <= key.shape[0] - index.least) + lo
+        found_q, found_p, found_c = [], [], []
+        for s in range(0, len(near), P):
+            at = near[s : s + P]
+            theirs = np.ascontiguousarray(key[:, at])
+            count = np.zeros((len(open_), len(at)), np.int8)
+            gap = np.empty_like(count)
+            for i in range(key.shape[0]):
+                np.subtract(theirs[i][None, :], mine[i][:, None], out=gap)
+                np.abs(gap, out=gap)
+                count += (gap <= np.int8(min(steps[i], 127))).view(np.int8)
+            hit = count >= index.least
+            if apart:
+                hit &= label[at][None, :] != label[open_][:, None]
+            n_hit = int(hit.sum())
+            if not n_hit:
+                continue
+            if n_hit > 0.05 * hit.size:  # dense: all cosines of the block at once
+                c = u[open_] @ u[at].T
+                a, b = np.nonzero(hit & (c >= least_cos - 1e-5))
+                c = c[a, b]
+            else:
+                a, b = np.nonzero(hit)
+                c = np.einsum("ij,ij->i", u[open_[a]], u[at[b]])
+                ok = c >= least_cos - 1e-5
+                a, b, c = a[ok], b[ok], c[ok]
+            b = at[b]
+            other = open_[a] != b
+            a, b, c = a[other], b[other], c[other]
+            if len(a) > 4 * len(open_) * k:  # keep what can still be among the best
+                by = np.lexsort((-c, a))
+                a, b, c = a[by], b[by], c[by]
+                begin = np.maximum.accumulate(np.where(np.concatenate([[True], a[1:] != a[:-1]]), np.arange(len(a)), 0))
+                few = np.arange(len(a)) - begin < k + 12
+                a, b, c = a[few], b[few], c[few]
+            found_q.append(a), found_p.append(b), found_c.append(c)
+        a, b, c = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((found_q, np.int64), (found_p, np.int64), (found_c, np.float32)))
+        few = _best(a, ids[b], c.astype(np.float64), k + 12)
+        a, b = a[few], b[few]
+        x, y = u[open_[a]].astype(np.float64), u[b].astype(np.float64)
+        exact = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+        ok = exact >= least_cos - 1e-7
+        a, b, exact = a[ok], b[ok], exact[ok]
+        few = _best(a, ids[b], exact, k)
+        return a[few], b[few], exact[few]
+
     def tile_pairs(tile: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         raw = tile["u"].combine_chunks()
         u = np.frombuffer(b"".join(raw.to_pylist()), np.float32).reshape(-1, width)
@@ -136,67 +220,22 @@ def _collide(index: Index, width: int, k: int, least_cos: float, apart: bool):
         h = index.project(u.astype(np.float64))
         order = np.argsort(h[:, 0], kind="stable")  # the sorted array
         u, ids, label, is_query, h = u[order], ids[order], label[order], is_query[order], h[order]
-        key = np.ascontiguousarray(index.rounded(h).T)
-        first = h[:, 0]
-        queries = np.flatnonzero(is_query)
-        for s in range(0, len(queries), Q):
-            open_ = queries[s : s + Q]
-            for level, wide in enumerate(index.windows):
-                steps = np.ceil(wide / index.step).astype(np.int8) + np.int8(1)
-                lo, hi = np.searchsorted(first, first[open_[0]] - wide[0]), np.searchsorted(first, first[open_[-1]] + wide[0], "right")
-                mine = np.ascontiguousarray(key[:, open_])
-                found_q, found_p, found_c = [], [], []
-                for p0 in range(lo, hi, P):
-                    p1 = min(hi, p0 + P)
-                    count = np.zeros((len(open_), p1 - p0), np.int8)
-                    gap = np.empty_like(count)
-                    for i in range(key.shape[0]):
-                        np.subtract(key[i, p0:p1][None, :], mine[i][:, None], out=gap)
-                        np.abs(gap, out=gap)
-                        count += (gap <= steps[i]).view(np.int8)
-                    hit = count >= index.least
-                    if apart:
-                        hit &= label[p0:p1][None, :] != label[open_][:, None]
-                    n_hit = int(hit.sum())
-                    if not n_hit:
-                        continue
-                    if n_hit > 0.05 * hit.size:  # dense: all cosines of the block at once
-                        c = u[open_] @ u[p0:p1].T
-                        a, b = np.nonzero(hit & (c >= least_cos - 1e-5))
-                        c = c[a, b]
-                    else:
-                        a, b = np.nonzero(hit)
-                        c = np.einsum("ij,ij->i", u[open_[a]], u[p0 + b])
-                        ok = c >= least_cos - 1e-5
-                        a, b, c = a[ok], b[ok], c[ok]
-                    other = open_[a] != p0 + b
-                    a, b, c = a[other], p0 + b[other], c[other]
-                    if len(a) > 4 * len(open_) * k:  # keep what can still be among the best
-                        by = np.lexsort((-c, a))
-                        a, b, c = a[by], b[by], c[by]
-                        begin = np.maximum.accumulate(np.where(np.concatenate([[True], a[1:] != a[:-1]]), np.arange(len(a)), 0))
-                        few = np.arange(len(a)) - begin < k + 12
-                        a, b, c = a[few], b[few], c[few]
-                    found_q.append(a), found_p.append(b), found_c.append(c)
-                a, b, c = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((found_q, np.int64), (found_p, np.int64), (found_c, np.float32)))
-                few = _best(a, ids[b], c.astype(np.float64), k + 12)
-                a, b = a[few], b[few]
-                exact = np.einsum("ij,ij->i", u[open_[a]].astype(np.float64), u[b].astype(np.float64))
-                exact /= np.sqrt(np.einsum("ij,ij->i", u[open_[a]].astype(np.float64), u[open_[a]].astype(np.float64)) * np.einsum("ij,ij->i", u[b].astype(np.float64), u[b].astype(np.float64)))
-                ok = exact >= least_cos - 1e-7
-                a, b, exact = a[ok], b[ok], exact[ok]
-                few = _best(a, ids[b], exact, k)
-                a, b, exact = a[few], b[few], exact[few]
+        key, first = np.ascontiguousarray(index.rounded(h).T), h[:, 0].copy()
+        h = h.astype(np.float32)
+        left = np.flatnonzero(is_query)
+        for level in range(len(index.windows)):
+            again = []
+            for open_ in groups(h, left, Q):
+                a, b, cos = ask(level, open_, u, ids, label, first, key)
                 if level == len(index.windows) - 1:
                     done = np.ones(len(open_), bool)
                 else:  # the k-th is within the radius that these windows serve
                     reach = 1 - (index.radius * RADII[level]) ** 2 / 2
-                    done = np.bincount(a[exact >= reach], minlength=len(open_)) >= k
+                    done = np.bincount(a[cos >= reach], minlength=len(open_)) >= k
                 own = done[a]
-                yield ids[open_[a[own]]], ids[b[own]], exact[own]
-                open_ = open_[~done]
-                if not len(open_):
-                    break
+                yield ids[open_[a[own]]], ids[b[own]], cos[own]
+                again.append(open_[~done])
+            left = np.concatenate(again) if again else left[:0]
 
     def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
