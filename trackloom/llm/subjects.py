@@ -28,13 +28,13 @@ from trackloom import shared
 STATEMENTS = 2
 #: Terms kept (the most frequent, in at least LEAST_DOCS documents), and terms that may be tied to a subject.
 VOCABULARY, LEAST_DOCS, TIED = 60_000, 4, 8_000
-#: Labelled documents the ties are learned on, and what a tie takes: share of a term's labelled documents that have the
-#: subject, and their number.
+#: Labelled documents the ties are learned on, and what a tie takes: of the way from how frequent the subject is at all to
+#: always, how far a term's labelled documents must go, and their number.
 SAMPLE, SHARE, SEEN = 50_000, 0.5, 3
 #: Singular vectors, passes of the power iteration, rounds of refinement, least cosine of a term to its centroid.
 RANK, PASSES, ROUNDS, LEAST_COS = 32, 3, 10, 0.35
-#: Places of a term in runs from which its distances are judged, and distances told apart.
-PLACES, FAR = 8, 17
+#: Places of a term in runs from which it is judged.
+PLACES = 8
 #: Terms that a run needs to count.
 RUN = 3
 _WORD = regex.compile(r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*|[.!?;\n]|[,:()\[\]{}\"“”«»>|]")
@@ -118,7 +118,7 @@ def ties(encoded: list[tuple[np.ndarray, set[str], str]], subjects: list[str], s
     share = (by + 2 * base[:, None]) / (n + 2)
     best = share.argmax(0)
     top = share[best, np.arange(size)]
-    tied = np.flatnonzero((n >= SEEN) & (top >= SHARE) & (top >= 1.5 * base[best]))
+    tied = np.flatnonzero((n >= SEEN) & (top >= base[best] + SHARE * (1 - base[best])))
     tied = tied[np.argsort(-n[tied] * top[tied], kind="stable")][:TIED]
     return tied, best[tied], (2 * top[tied] - 1).clip(0.05) * np.log(max(len(encoded), 2) / n[tied]).clip(0.5)
 
@@ -188,8 +188,8 @@ def refine(vectors: np.ndarray, seed: np.ndarray, group: np.ndarray, weight: np.
     return assigned
 
 
-def runs(ids: np.ndarray, at: np.ndarray, subject: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of terms with a subject, in order: place, subject, their run, and their distances from its beginning and end.
+def runs(ids: np.ndarray, at: np.ndarray, subject: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of terms with a subject, in order: place, subject and the number of their run.
 
     Places side by side, or with one between them, are of one run if they have one subject and clause.
     """
@@ -197,42 +197,42 @@ def runs(ids: np.ndarray, at: np.ndarray, subject: np.ndarray) -> tuple[np.ndarr
     clause = np.cumsum(ids < -1) + np.searchsorted(at, np.arange(len(ids)), "right") * (len(ids) + 1)
     place = np.flatnonzero(s >= 0)
     if not len(place):
-        return place, place, place, place, place
+        return place, place, place
     new = np.concatenate([[True], (np.diff(place) > 2) | (s[place][1:] != s[place][:-1]) | (clause[place][1:] != clause[place][:-1])])
-    run = np.cumsum(new) - 1
-    last = np.concatenate([new[1:], [True]])
-    return place, s[place], run, place - place[new][run], place[last][run] - place
+    return place, s[place], np.cumsum(new) - 1
 
 
-def distances(ids: np.ndarray, at: np.ndarray, subject: np.ndarray) -> np.ndarray:
-    """How often each term stands at each distance (the last: so far or farther) from its run's beginning, and its end."""
-    counts = np.zeros((len(subject), 2 * FAR), np.int64)
-    place, _, _, first, last = runs(ids, at, subject)
-    for side, far in enumerate((first, last)):
-        np.add.at(counts, (ids[place], side * FAR + np.minimum(far, FAR - 1)), 1)
-    return counts
+def run_ends(ids: np.ndarray, at: np.ndarray, subject: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(term, side, other, n): how often the run of a term begins (side 0) and ends (side 1) with which other."""
+    place, _, run = runs(ids, at, subject)
+    if not len(place):
+        return place, place, place, place
+    t = ids[place]
+    first = np.flatnonzero(np.concatenate([[True], np.diff(run) > 0]))
+    last = np.append(first[1:], len(run)) - 1
+    size = np.int64(len(subject))
+    key, n = np.unique(np.concatenate([(t * 2 + side) * size + t[end][run] for side, end in enumerate((first, last))]), return_counts=True)
+    return key // size // 2, key // size % 2, key % size, n
 
 
-def _distances(subject: np.ndarray):
+def _run_ends(subject: np.ndarray):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(subject), 2 * FAR), np.int64)
         for b in batches:
-            counts += distances(*_flat(b["ids"]), subject)
-        t, k = np.nonzero(counts)
-        yield pa.RecordBatch.from_pydict({"t": t, "k": k, "n": counts[t, k]})
+            t, side, other, n = run_ends(*_flat(b["ids"]), subject)
+            yield pa.RecordBatch.from_pydict({"t": t, "side": side, "other": other, "n": n})
 
     return count
 
 
-def of_what_is_said(counts: np.ndarray) -> np.ndarray:
-    start, end = counts[:, :FAR], counts[:, FAR:]
-    return (start.sum(1) >= PLACES) & (end.max(1) > start.max(1))
+def of_what_is_said(most: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Of the counts of the most frequent first and last terms (2 x terms) and all of a term's places."""
+    return (total >= PLACES) & (most[1] > most[0])
 
 
 def statements(ids: np.ndarray, at: np.ndarray, subject: np.ndarray, said: np.ndarray, kinds: int) -> np.ndarray:
     """Statements about each subject in each document: what is said in runs of at least RUN terms, apart by more than two
     terms."""
-    place, s, run, _, _ = runs(ids, at, subject)
+    place, s, run = runs(ids, at, subject)
     out = np.zeros((len(at), kinds), np.int64)
     if not len(place):
         return out
@@ -291,10 +291,11 @@ def assigned(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> Da
     lang = _language(rows, kinds, tied, len(vocabulary))
     subject = np.full(len(vocabulary), -1)
     subject[tied] = refine(vectors / np.maximum(weight, 1e-12)[:, None], seed, lang, weight, len(names))
-    counts = np.zeros((len(vocabulary), 2 * FAR), np.int64)
-    for r in ids.mapInArrow(_distances(subject), "t bigint, k bigint, n bigint").groupBy("t", "k").agg(F.sum("n").alias("n")).collect():  # TIED x 2 FAR
-        counts[r["t"], r["k"]] = r["n"]
-    said = of_what_is_said(counts)
+    ends = ids.mapInArrow(_run_ends(subject), "t bigint, side bigint, other bigint, n bigint").groupBy("t", "side", "other").agg(F.sum("n").alias("n"))
+    most, total = np.zeros((2, len(vocabulary)), np.int64), np.zeros(len(vocabulary), np.int64)
+    for r in ends.groupBy("t", "side").agg(F.max("n").alias("most"), F.sum("n").alias("all")).collect():  # TIED x 2
+        most[r["side"], r["t"]], total[r["t"]] = r["most"], r["all"]
+    said = of_what_is_said(most, total)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
