@@ -159,7 +159,7 @@ def groups(h: np.ndarray, rows: np.ndarray, size: int) -> list[np.ndarray]:
 def _collide(index: Index, width: int, k: int, least_cos: float, apart: bool):
     def ask(level: int, open_: np.ndarray, u: np.ndarray, ids: np.ndarray, label: np.ndarray, first: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, candidate, cosine) of the best for a group of queries with the windows of a level."""
-        steps = np.ceil(index.windows[level] / index.step).astype(np.int16) + 1
+        steps = np.minimum(np.ceil(index.windows[level] / index.step), 126).astype(np.int16) + 1  # 127: any two collide
         lo = np.searchsorted(first, first[open_].min() - index.slices[level][0])
         hi = np.searchsorted(first, first[open_].max() + index.slices[level][0], "right")
         mine = np.ascontiguousarray(key[:, open_])
@@ -177,7 +177,7 @@ def _collide(index: Index, width: int, k: int, least_cos: float, apart: bool):
             for i in range(key.shape[0]):
                 np.subtract(theirs[i][None, :], mine[i][:, None], out=gap)
                 np.abs(gap, out=gap)
-                count += (gap <= np.int8(min(steps[i], 127))).view(np.int8)
+                count += (gap <= np.int8(steps[i])).view(np.int8)
             hit = count >= index.least
             if apart:
                 hit &= label[at][None, :] != label[open_][:, None]
