@@ -72,7 +72,9 @@ class Index:
         if len(a) > 200_000:
             keep = np.linspace(0, len(a) - 1, 200_000).astype(int)
             a, b = a[keep], b[keep]
-        per, far = np.full(m, LEAST / np.sqrt(width)), np.full(m, LEAST_SLICE / np.sqrt(width))
+        # without pairs to learn from, differences are taken to lie as the data do; a window never needs to pass the radius
+        lie = np.sqrt(np.maximum(np.maximum(values[::-1][:m], 0) / max(values.sum(), 1e-12), 1 / width))
+        per, far = np.minimum(LEAST * lie, 1), np.minimum(LEAST_SLICE * lie, 1)
         if len(a) >= 200:
             apart = np.sqrt(np.maximum(2 - 2 * cos[a, b], 1e-12))
             ok = apart > 1e-3
