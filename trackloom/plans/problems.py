@@ -77,6 +77,15 @@ where p <> '' and e >= s)"""
 _ISLANDS = """marked as (select *, coalesce(cast(s - max(e) over (partition by p order by s, e rows between unbounded preceding and 1 preceding) > {gap} as int), 1) as fresh from usable),
 island as (select *, sum(fresh) over (partition by p order by s, e rows unbounded preceding) as i from marked)"""
 
+_P7 = r"""with raw as (select raw_id, source_file, coalesce(record, '') as r, case source_file when 'Hull_FL_poi_vec_subset' then 5 when 'US_POI' then 7 else -1 end as width from poi_raw),
+ok as (select *, regexp_full_match(r, '(?s)(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*') as quoted from raw),
+cells as (select *, case when quoted then list_transform(regexp_extract_all(',' || r, '(?s),("(?:[^"]|"")*"|[^",]*)', 1), lambda x: case when x like '"%' then replace(x[2:len(x) - 1], '""', '"') else x end) end as c from ok),
+said as (select raw_id, case when not quoted then 'quoting' when len(c) <> width then 'column_count'
+when width = 5 and not (regexp_full_match(c[5], '(?i)\s*point\s*\(\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\s+[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\s*\)\s*')
+and abs(try_cast(regexp_extract(c[5], '([^(\s]+)\s+[^\s)]+\s*\)', 1) as double)) <= 180 and abs(try_cast(regexp_extract(c[5], '([^(\s]+)\s*\)', 1) as double)) <= 90) then 'geometry'
+when regexp_full_match(c[2], '[\s\v\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}]*') or regexp_matches(c[2], '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFD}]') then 'location_name' end as reason from cells)
+select raw_id, reason from said where reason is not null"""
+
 SQL = {
     "p1_found": f"with {USABLE}, {_ISLANDS.format(gap=SESSION_GAP_S)} select p as participantId, min(s) as session_start, max(e) as session_end from island group by p, i",
     "p1_sessions": f"with {USABLE}, {_ISLANDS.format(gap=SESSION_GAP_S)} select p as participantId, min(s) as session_start, max(e) as session_end, max(e) - min(s) as duration_s, count(distinct trip_id) as n_trips from island group by p, i",
@@ -91,4 +100,5 @@ a as (select *, floor(y / 0.001)::int as i, floor(x / 0.002)::int as j from t wh
 b as (select *, floor(v / 0.001)::int + di as i, floor(u / 0.002)::int + dj as j from q, (select unnest([-1, 0, 1]) as di), (select unnest([-1, 0, 1]) as dj) where abs(u) <= 180 and abs(v) <= 90 and not isnan(u) and not isnan(v) and not (u = 0 and v = 0))
 select distinct trip_id, PLACEKEY from a join b using (i, j)
 where 2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians(v - y) / 2), 2) + cos(radians(y)) * cos(radians(v)) * pow(sin(radians(u - x) / 2), 2)))) <= {NEAR_M}""",
+    "p7_found": _P7,
 }
