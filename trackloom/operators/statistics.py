@@ -182,3 +182,45 @@ def bootstrap(rows: DataFrame, draws: int, seed: int, *sums: Column) -> DataFram
         total += term
     every = rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
     return every.groupBy("b").agg(*[F.sum(F.col("w") * s).alias(f"s{i}") for i, s in enumerate(sums)])
+
+
+def _drawn(visits: DataFrame, labels: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """b, cluster, pt_idx, hex_id: the observed labels as draw 0, and the permuted ones."""
+    first = visits.filter("pt_idx is not null and hex_id is not null").groupBy("traj_id", C.TIME).agg(F.min("hex_id").alias("hex_id"))
+    rows = first.join(labels.filter("cluster is not null"), "traj_id")
+    null = permuted_within_time(rows, permutations, seed).join(first, ["traj_id", C.TIME])
+    cols = ["b", "cluster", C.TIME, "hex_id"]
+    return rows.withColumn("b", F.lit(0)).select(cols).unionByName(null.select(cols))
+
+
+def _p_values(drawn: DataFrame, keys: list[str], permutations: int) -> DataFrame:
+    """drawn(b, keys, t) to keys, observed, p."""
+    own = drawn.filter("b = 0").select(*keys, F.col("t").alias("observed"))
+    ge = F.sum((F.round("t", 9) >= F.round("observed", 9)).cast("int"))
+    return own.join(drawn.filter("b > 0"), keys, "left").groupBy(*keys).agg(F.first("observed").alias("observed"), ((F.coalesce(ge, F.lit(0)) + 1) / (permutations + 1)).alias("p"))
+
+
+def omnibus_test(visits: DataFrame, labels: DataFrame, poi_counts: DataFrame, permutations: int, min_hex: int = 1, seed: int = 1) -> DataFrame:
+    """cluster, observed, p: one test a cluster, the root of the mean over hours and categories of the squared points by
+    which its shares leave the baseline."""
+    baseline = C.global_baseline(visits, poi_counts)
+    per = composition_statistic(_drawn(visits, labels, permutations, seed), poi_counts, baseline, ["b"], min_hex)
+    pooled = per.groupBy("b", "cluster").agg(F.sqrt(F.avg(F.col("l2") * F.col("l2"))).alias("t"))
+    return _p_values(pooled, ["cluster"], permutations)
+
+
+def pairwise_contrasts(visits: DataFrame, labels: DataFrame, poi_counts: DataFrame, permutations: int, per_category: bool = False, min_hex: int = 1, seed: int = 1) -> DataFrame:
+    """a, b_cluster[, cat_name], observed, p, q: for each two clusters, the root of the mean over the hours valid for both
+    (and categories) of the squared difference of their shares in points; q over all tests."""
+    keys = ["b", "cluster", C.TIME]
+    cells = _drawn(visits, labels, permutations, seed).select(*keys, "hex_id").distinct().join(poi_counts.select("hex_id").distinct(), "hex_id", "left_semi")
+    valid = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_hex).drop("n")
+    share = C.shares(cells.join(poi_counts, "hex_id").groupBy(*keys, C.CAT).agg(F.sum("cat_count").alias("n")), keys).select(*keys, C.CAT, "share")
+    cats = poi_counts.select(C.CAT).distinct()
+    full = valid.join(F.broadcast(cats.agg(F.collect_set(C.CAT).alias("cats")))).select(*keys, F.explode("cats").alias(C.CAT)).join(share, [*keys, C.CAT], "left").fillna(0, ["share"])
+    one = full.withColumnsRenamed({"cluster": "a", "share": "sa"})
+    two = full.withColumnsRenamed({"cluster": "b_cluster", "share": "sb"})
+    d = 100 * (F.col("sa") - F.col("sb"))
+    by = ["a", "b_cluster", *([C.CAT] if per_category else [])]
+    t = one.join(two, ["b", C.TIME, C.CAT]).filter("a < b_cluster").groupBy("b", *by).agg(F.sqrt(F.avg(d * d)).alias("t"))
+    return benjamini_hochberg(_p_values(t, by, permutations).withColumn("_k", F.struct(*by)), tie="_k").drop("_k")

@@ -180,3 +180,13 @@ def bootstrap_mean_ci(s: SparkSession, d: str) -> DataFrame:
     rows = read(s, d, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice")
     b = S.bootstrap(rows, 100, 5, F.col("o_totalprice"), F.lit(1.0))
     return b.select((F.col("s0") / F.col("s1")).alias("mean")).agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("ci")).select(F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"))
+
+
+@query()
+def omnibus_composition(s: SparkSession, d: str) -> DataFrame:
+    return S.omnibus_test(visits(s, d), labels(s, d), poi_counts(s, d), 9, 2)
+
+
+@query()
+def contrasts_composition(s: SparkSession, d: str) -> DataFrame:
+    return S.pairwise_contrasts(visits(s, d), labels(s, d), poi_counts(s, d), 9, min_hex=2)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom.functions import geo
-from trackloom.operators import nearest, stitch
+from trackloom.operators import nearest, shapes, stitch
 from trackloom.plans.registry import query, read
 from trackloom.plans.views import METRES, PLACES, TRIPS, places, trips
 
@@ -182,3 +182,17 @@ def cell_ids_unique(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "cells").groupBy("hex_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+
+
+@query()
+def convex_hull(s: SparkSession, d: str) -> DataFrame:
+    """The hull of all trip ends in the equal-area projection."""
+    x, y = geo.to_albers(F.col("lon1"), F.col("lat1"))
+    return shapes.convex_hull(trips(s, d).select(x.alias("x"), y.alias("y")))
+
+
+@query()
+def simplified_lines(s: SparkSession, d: str) -> DataFrame:
+    """Segment lines without the vertices that lie within about 250 m of the rest."""
+    line = stitch.segment_lines(_stitched(s, d))
+    return line.select("person_id", "seg_id", F.size(shapes.simplify(F.transform("line", lambda p: p["lon"]), F.transform("line", lambda p: p["lat"]), 0.00225)).alias("vertices"))
