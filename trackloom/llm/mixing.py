@@ -39,20 +39,25 @@ def _features(text: str | None) -> np.ndarray:
     return np.unique(np.array([zlib.crc32(w.encode()) % FEATURES for w in set(_WORD.findall((text or "").lower()))], np.int64))
 
 
-def fit_classifier(sample: list[tuple[str, str]], names: list[str], rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_pydict({"source": b["source"], "features": pa.array([_features(t.as_py()).astype(np.int32) for t in b["text"]], pa.list_(pa.int32()))})
+
+
+def fit_classifier(sample: list[tuple[np.ndarray, str]], names: list[str], rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases of a naive Bayes model of word presence, its evidence scaled so that held-out rows come out with
     the likelihood they deserve."""
     counts, rows = np.ones((len(names), FEATURES)) * 0.1, np.ones(len(names))
     place = {n: i for i, n in enumerate(names)}
     fit, held = sample[: len(sample) * 4 // 5], sample[len(sample) * 4 // 5 :]
-    for text, label in fit:
-        counts[place[label], _features(text)] += 1
+    for f, label in fit:
+        counts[place[label], f] += 1
         rows[place[label]] += 1
     p = counts / (rows[:, None] + 0.2)
     weights = np.log(p) - np.log(p.mean(0))
     prior = np.log(rows / rows.sum())
     best, scale = -np.inf, 0.0
-    seen = [(weights[:, f].sum(1) if len(f := _features(text)) else np.zeros(len(names)), place[label]) for text, label in held]
+    seen = [(weights[:, f].sum(1) if len(f) else np.zeros(len(names)), place[label]) for f, label in held]
     for s in (0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0):
         score = 0.0
         for w, y in seen:
@@ -87,7 +92,8 @@ def mixed(documents: DataFrame, targets: DataFrame, tokenizers: str = tokens.TOK
     if not names:
         return counted.select("doc_id", "source", "n_tokens", F.lit(0.0).alias("rate"), F.lit(0).alias("copies"))
     labelled = documents.filter(F.col("source").isin(names) & (F.length("text") > 0))
-    sample = [(r["text"], r["source"]) for r in labelled.select(F.substring("text", 1, 4000).alias("text"), "source", F.xxhash64("doc_id", F.lit(17)).alias("h")).orderBy("h").limit(SAMPLE).collect()]
+    some = labelled.select("text", "source", F.xxhash64("doc_id", F.lit(17)).alias("h")).orderBy("h").limit(SAMPLE).mapInArrow(_sample_features, "source string, features array<int>").toArrow()
+    sample = [(f.values.to_numpy(), s.as_py()) for s, f in zip(some["source"], some["features"], strict=True)]
     weights, prior = fit_classifier(sample, names)
     place = {n: i for i, n in enumerate(names)}
     shape = spark.sparkContext.broadcast((weights.astype(np.float32), prior))  # sources x FEATURES

@@ -265,7 +265,8 @@ def assigned(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> Da
     ids = shared.stored(docs.mapInArrow(_encode(place), "doc_id bigint, ids array<int>"), "terms")
     own = labels.select("doc_id", F.lower(F.btrim("subject")).alias("subject")).filter(F.col("subject").isin(names)).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))  # at most len(names) each
     sample = ids.join(own, "doc_id").join(documents.select("doc_id", F.lower(F.substring("lang", 1, 2)).alias("lang")).dropDuplicates(["doc_id"]), "doc_id")
-    rows = [(np.array(r["ids"], np.int64), set(r["subjects"]), r["lang"] or "") for r in sample.orderBy(F.xxhash64("doc_id", F.lit(3))).limit(SAMPLE).collect()]
+    held = sample.orderBy(F.xxhash64("doc_id", F.lit(3))).limit(SAMPLE).select("ids", "subjects", "lang").toArrow()  # not as rows of Python numbers
+    rows = [(i.values.to_numpy().astype(np.int64), set(s.as_py()), lang.as_py() or "") for i, s, lang in zip(held["ids"], held["subjects"], held["lang"], strict=True)]
     if not rows:
         return spark.createDataFrame([], schema)
     tied, seed, weight = ties(rows, names, len(vocabulary))
