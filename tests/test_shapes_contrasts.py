@@ -32,3 +32,11 @@ def test_planted_contrasts(spark):
     c = statistics.pairwise_contrasts(v, lab, poi, 9).collect()
     assert len(c) == 1 and c[0]["p"] == c[0]["q"] == 0.1 and c[0]["observed"] == pytest.approx(100 * 4 / 6)
     assert statistics.pairwise_contrasts(v, lab, poi, 9, per_category=True).count() == 2
+
+
+def test_mmd_over_all_rows(spark):
+    r = np.random.default_rng(4)
+    x, y = r.normal(size=(200, 3)), r.normal(size=(150, 3)) + 1
+    df = spark.createDataFrame([(0, v.tolist()) for v in x] + [(1, v.tolist()) for v in y] + [(None, [0.0] * 3), (2, None)], "label int, x array<double>")
+    got = rows(statistics.mmd2_features(df, 0.5, 4096))
+    assert len(got) == 1 and got[0][2] == pytest.approx(statistics.rbf_mmd2(x, y, 0.5), abs=0.05)

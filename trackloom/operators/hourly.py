@@ -77,15 +77,19 @@ def warped(u: Column, a: Column, b: Column) -> Column:
     return cdf(u, a, b)
 
 
-def intervals_with_curfew(legs: DataFrame, seed: int = 7) -> DataFrame:
+def intervals_with_curfew(legs: DataFrame, seed: int = 7, hours: int = HOURS) -> DataFrame:
     """legs(person_id, step, travel_s, origin_poi, dest_poi, lon0, lat0, lon1, lat1) to the intervals of each person:
     person_id, i, kind (`stay` or `move`), start_s, end_s, lon0, lat0, lon1, lat1.
 
     A first stay at home (the first origin called a home, else the first origin); before each leg, on days that are not
     free, a stay at home until the next 05:00 if it is night; a dwell at the origin; the move, if it takes time; at last a
-    dwell at the destination. The clock of a person is sequential: legs are dealt out by person and walked in order.
+    dwell at the destination. The clock of a person is sequential: legs are dealt out by person and walked in order. A leg
+    takes ten minutes at least, so that those behind the (6 hours + 1)th begin beyond the hours asked and are left out
+    before the shuffle: a person is bounded by the clock, not by their rows.
     """
     u = lambda k: uniform(seed, F.col("person_id"), F.col("step"), F.lit(k))
+    place = F.row_number().over(Window.partitionBy("person_id").orderBy("step"))
+    legs = legs.withColumn("_place", place).filter(F.col("_place") <= 6 * hours + 1).drop("_place")
     rows = legs.withColumns({"u_dwell": u(1), "u_end": u(3), "travel": F.when(F.col("travel_s") > 0, travel_seconds(F.col("travel_s"), u(2)))})
     kind = dict(legs.dtypes)["person_id"]
 

@@ -141,6 +141,39 @@ def rbf_mmd2(x: np.ndarray, y: np.ndarray, gamma: float) -> float:
     return float((kxx.sum() - np.trace(kxx)) / (n * (n - 1)) + (kyy.sum() - np.trace(kyy)) / (m * (m - 1)) - 2 * kxy.mean())
 
 
+def mmd2_features(points: DataFrame, gamma: float, features: int = 1_024, seed: int = 1) -> DataFrame:
+    """points(label int, x array<double>) to a, b, mmd2: the unbiased estimate between each two labels over all rows, the
+    kernel by random Fourier features (error about one over the root of their number), so that each row is mapped once and
+    only one vector a label is summed; labels of fewer than two rows are left out."""
+    import pyarrow as pa
+
+    def add(batches):
+        sums: dict = {}
+        freq = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b["x"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            if freq is None:
+                freq = np.random.default_rng(seed).normal(scale=math.sqrt(2 * gamma), size=(x.shape[1], features))
+            z = x @ freq
+            phi = np.hstack([np.cos(z), np.sin(z)]) / math.sqrt(features)
+            label = b["label"].to_numpy(zero_copy_only=False)
+            for k in np.unique(label):
+                n, total = sums.get(int(k), (0, 0.0))
+                sums[int(k)] = (n + int((label == k).sum()), total + phi[label == k].sum(0))
+        for k, (n, total) in sums.items():
+            yield pa.RecordBatch.from_pydict({"label": pa.array([k] * len(total), pa.int32()), "k": pa.array(range(len(total)), pa.int32()), "s": total, "n": pa.array([n] * len(total), pa.int64())})
+
+    clean = points.filter("label is not null and x is not null").select(F.col("label").cast("int"), "x")
+    s = clean.mapInArrow(add, "label int, k int, s double, n bigint").groupBy("label", "k").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    own = s.groupBy("label").agg(((F.sum(F.col("s") * F.col("s")) - F.max("n")) / (F.max("n") * (F.max("n") - 1))).alias("own"), F.max("n").alias("m")).filter("m > 1")
+    a, b = s.withColumnsRenamed({"label": "a", "s": "sa", "n": "na"}), s.withColumnsRenamed({"label": "b", "s": "sb", "n": "nb"})
+    cross = a.join(b, "k").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("sa") * F.col("sb") / F.col("na") / F.col("nb")).alias("c"))
+    oa, ob = own.select(F.col("label").alias("a"), F.col("own").alias("oa")), own.select(F.col("label").alias("b"), F.col("own").alias("ob"))
+    return cross.join(F.broadcast(oa), "a").join(F.broadcast(ob), "b").select("a", "b", (F.col("oa") + F.col("ob") - 2 * F.col("c")).alias("mmd2"))
+
+
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     """Two-sided p of a 2 x 2 table."""
     lg = math.lgamma

@@ -101,13 +101,6 @@ def route_stats(s: SparkSession, d: str) -> DataFrame:
     return graph.path_stats(graph.shortest_paths(edges, _legs(s, d)).select("leg", "path"), edges)
 
 
-@query()
-def frontier_distances(s: SparkSession, d: str) -> DataFrame:
-    """From the origins of five legs, by rounds of joins without a broadcast network."""
-    origins = _legs(s, d).select("origin").distinct().orderBy("origin").limit(5)
-    return graph.frontier_distances(_network(s)[1], origins)
-
-
 @query()
 def snapped_nodes(s: SparkSession, d: str) -> DataFrame:
     nodes, _ = _network(s)
@@ -133,12 +126,12 @@ def _travel(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     step = F.row_number().over(Window.partitionBy("person_id").orderBy("o"))
-    return t.withColumn("step", step).filter("step <= 12").drop("o").withColumns({"origin_poi": F.when(F.col("step") == 1, "home").when(F.col("step") % 3 == 0, "Grocery Stores").otherwise("Restaurants"), "dest_poi": F.lit("home")})
+    return t.withColumn("step", step).drop("o").withColumns({"origin_poi": F.when(F.col("step") == 1, "home").when(F.col("step") % 3 == 0, "Grocery Stores").otherwise("Restaurants"), "dest_poi": F.lit("home")})
 
 
 @query()
 def curfew_intervals(s: SparkSession, d: str) -> DataFrame:
-    """The week of each person's first twelve trips: stays and moves on the simulated clock."""
+    """Each person's trips as stays and moves on the simulated clock of a week."""
     return hourly.intervals_with_curfew(_travel(s, d))
 
 
@@ -277,13 +270,8 @@ def stratified_folds(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mmd2_fixed_gamma(s: SparkSession, d: str) -> DataFrame:
-    """Between each two of the first labels, over at most 500 vectors of each by hash (a documented sample)."""
-    import numpy as np
-
-    e = _emb(s, d).filter("label < 3").orderBy(F.xxhash64("id")).limit(1500).toPandas()
-    by = {k: np.vstack(g["x"].to_list())[:500] for k, g in e.groupby("label")}
-    rows = [(int(a), int(b), S.rbf_mmd2(by[a], by[b], 0.5)) for a in by for b in by if a < b]
-    return s.createDataFrame(rows, "a int, b int, mmd2 double")
+    """Between each two labels, over all vectors."""
+    return S.mmd2_features(_emb(s, d), 0.5)
 
 
 @query()

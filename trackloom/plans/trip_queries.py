@@ -52,24 +52,24 @@ def line_from_points(s: SparkSession, d: str) -> DataFrame:
 
 
 
-@query(f"""with {TRIPS}, {PLACES}, q as (select person_id || ':' || trip_id as point, lon1 as lon, lat1 as lat from own where end_s - start_s >= 7200),
+@query(f"""with {TRIPS}, {PLACES}, q as (select person_id || ':' || trip_id as point, lon1 as lon, lat1 as lat from own),
 r as (select q.point, p.PLACEKEY as place, {METRES.format(lat1='q.lat', lon1='q.lon', lat2='p.lat', lon2='p.lon')} as m from q, places p),
 k as (select *, row_number() over (partition by point order by m, place) as rank from r) select point, place, round(m, 4) as dist_m, rank from k where rank <= 10""")
-def knn_places_of_long_trips(s: SparkSession, d: str) -> DataFrame:
-    """The ten places nearest to the end of each trip of two hours or more."""
-    long = trips(s, d).filter("end_s - start_s >= 7200").select(F.concat_ws(":", "person_id", "trip_id").alias("point"), F.col("lon1").alias("lon"), F.col("lat1").alias("lat"))
+def knn_places_of_trip_ends(s: SparkSession, d: str) -> DataFrame:
+    """The ten places nearest to the end of each trip."""
+    ends = trips(s, d).select(F.concat_ws(":", "person_id", "trip_id").alias("point"), F.col("lon1").alias("lon"), F.col("lat1").alias("lat"))
     p = places(s, d).select(F.col("PLACEKEY").alias("place"), "lon", "lat")
-    return _r(nearest.k_nearest(long, p, 10), "dist_m", to=4)
+    return _r(nearest.k_nearest(ends, p, 10), "dist_m", to=4)
 
 
-@query(f"""with {STITCHED}, {PLACES}, l as (select person_id, seg_id, trip_id, prev_lon, prev_lat, lon0, lat0 from stitched where tag = 'continue' and gap_s >= 3600),
+@query(f"""with {STITCHED}, {PLACES}, l as (select person_id, seg_id, trip_id, prev_lon, prev_lat, lon0, lat0 from stitched where tag = 'continue'),
 q as (select trip_id, 'start' as endpoint, prev_lon as lon, prev_lat as lat from l union all select trip_id, 'end', lon0, lat0 from l),
 r as (select trip_id, endpoint, p.PLACEKEY as place, {METRES.format(lat1='q.lat', lon1='q.lon', lat2='p.lat', lon2='p.lon')} as m from q, places p),
 k as (select *, row_number() over (partition by trip_id, endpoint order by m, place) as rank from r) select trip_id, endpoint, place, round(m, 4) as dist_m, rank from k where rank <= 3""")
 def knn_pois_for_links(s: SparkSession, d: str) -> DataFrame:
-    """The three places nearest to both ends of every link of an hour or more."""
+    """The three places nearest to both ends of every link."""
     at = lambda name, lon, lat: F.struct(F.lit(name).alias("endpoint"), F.col(lon).alias("lon"), F.col(lat).alias("lat"))
-    ends = _stitched(s, d).filter("tag = 'continue' and gap_s >= 3600").select("trip_id", F.explode(F.array(at("start", "prev_lon", "prev_lat"), at("end", "lon0", "lat0"))).alias("e"))
+    ends = _stitched(s, d).filter("tag = 'continue'").select("trip_id", F.explode(F.array(at("start", "prev_lon", "prev_lat"), at("end", "lon0", "lat0"))).alias("e"))
     pts = ends.select(F.struct("trip_id", "e.endpoint").alias("point"), "e.lon", "e.lat")
     k = nearest.k_nearest(pts, places(s, d).select(F.col("PLACEKEY").alias("place"), "lon", "lat"), 3)
     return _r(k.select("point.trip_id", "point.endpoint", "place", "dist_m", "rank"), "dist_m", to=4)
