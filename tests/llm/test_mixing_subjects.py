@@ -6,6 +6,8 @@ import pathlib
 import random
 import re
 
+import numpy as np
+
 from tests.conftest import rows
 from trackloom.llm import mixing, subjects
 
@@ -81,6 +83,24 @@ def test_statements_count_and_mentions_do_not(spark):
     assert right / sum(len(truth[i]) for i in held) > 0.95
 
 
+def test_every_tied_term_is_kept():
+    terms = np.arange(8_100)
+    docs = [(terms, {"law"}, "en")] * 3 + [(terms[:0], {"food"}, "en")] * 3
+    tied, seed, weight = subjects.ties(docs, ["food", "law"], len(terms))
+    assert len(tied) == len(seed) == len(weight) == len(terms) and set(seed.tolist()) == {1}
+
+
+def test_frequent_pairs_elsewhere_do_not_push_out_terms(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "VOCABULARY", 40, raising=False)  # the limit there was, as small as the corpus
+    docs, truth = corpus(300)
+    filler = [(5000 + i, " ".join(f"w{k}" for k in range(100)), "en") for i in range(400)]
+    labels = [(i, s) for i in range(300) for s in truth[i]]
+    got = subjects.assigned(spark.createDataFrame(docs + filler, "doc_id bigint, text string, lang string"), spark.createDataFrame(labels, "doc_id bigint, subject string"), ["law", "food"])
+    said = {(r["doc_id"], r["subject"]) for r in got.collect()}
+    want = {(i, s) for i in truth for s in truth[i]}
+    assert len(said & want) > 0.95 * max(len(said), len(want))
+
+
 def test_without_labels_or_texts(spark):
     d = spark.createDataFrame([(1, "the judge was here", "en")], "doc_id bigint, text string, lang string")
     none = spark.createDataFrame([], "doc_id bigint, subject string")

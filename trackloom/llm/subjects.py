@@ -26,8 +26,8 @@ from trackloom import shared
 
 #: Statements about a subject that make it one of the document's.
 STATEMENTS = 2
-#: Terms kept (the most frequent, in at least LEAST_DOCS documents), and terms that may be tied to a subject.
-VOCABULARY, LEAST_DOCS, TIED = 60_000, 4, 8_000
+#: Documents a term must be in.
+LEAST_DOCS = 4
 #: Labelled documents the ties are learned on, and what a tie takes: of the way from how frequent the subject is at all to
 #: always, how far a term's labelled documents must go, and their number.
 SAMPLE, SHARE, SEEN = 50_000, 0.5, 3
@@ -119,7 +119,7 @@ def ties(encoded: list[tuple[np.ndarray, set[str], str]], subjects: list[str], s
     best = share.argmax(0)
     top = share[best, np.arange(size)]
     tied = np.flatnonzero((n >= SEEN) & (top >= base[best] + SHARE * (1 - base[best])))
-    tied = tied[np.argsort(-n[tied] * top[tied], kind="stable")][:TIED]
+    tied = tied[np.argsort(-n[tied] * top[tied], kind="stable")]
     return tied, best[tied], (2 * top[tied] - 1).clip(0.05) * np.log(max(len(encoded), 2) / n[tied]).clip(0.5)
 
 
@@ -257,13 +257,16 @@ def assigned(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> Da
     names = sorted(subjects)
     schema = "doc_id bigint, subject string, statements bigint"
     docs = documents.select("doc_id", "text")
-    counted = docs.filter("text is not null").mapInArrow(_count_pairs, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    vocabulary = [r["term"] for r in counted.filter(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "term").limit(VOCABULARY).select("term").collect()]
+    counts = lambda some: some.filter("text is not null").select("text").mapInArrow(_count_pairs, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    own = labels.select("doc_id", F.lower(F.btrim("subject")).alias("subject")).filter(F.col("subject").isin(names)).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))  # at most len(names) each
+    chosen = shared.stored(docs.select("doc_id").join(own, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(3))).limit(SAMPLE), "sample").distinct()  # SAMPLE numbers at most
+    # no other term can be tied: those of the sample's documents that are in enough of them
+    able = counts(docs.join(F.broadcast(chosen), "doc_id", "left_semi")).filter(F.col("n") >= SEEN).select("term")
+    vocabulary = [r["term"] for r in counts(docs).filter(F.col("n") >= LEAST_DOCS).join(able, "term", "left_semi").orderBy(F.desc("n"), "term").select("term").collect()]
     if not vocabulary:
         return spark.createDataFrame([], schema)
     place = {t: i for i, t in enumerate(vocabulary)}
     ids = shared.stored(docs.mapInArrow(_encode(place), "doc_id bigint, ids array<int>"), "terms")
-    own = labels.select("doc_id", F.lower(F.btrim("subject")).alias("subject")).filter(F.col("subject").isin(names)).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))  # at most len(names) each
     sample = ids.join(own, "doc_id").join(documents.select("doc_id", F.lower(F.substring("lang", 1, 2)).alias("lang")).dropDuplicates(["doc_id"]), "doc_id")
     held = sample.orderBy(F.xxhash64("doc_id", F.lit(3))).limit(SAMPLE).select("ids", "subjects", "lang").toArrow()  # not as rows of Python numbers
     rows = [(i.values.to_numpy().astype(np.int64), set(s.as_py()), lang.as_py() or "") for i, s, lang in zip(held["ids"], held["subjects"], held["lang"], strict=True)]
@@ -278,7 +281,7 @@ def assigned(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> Da
 
     def gram(q: np.ndarray) -> np.ndarray:
         out = np.zeros_like(q)
-        for r in ids.mapInArrow(_multiply(of, weight, q), "t bigint, x array<double>").groupBy("t").agg(*[F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(q.shape[1])]).collect():  # TIED x RANK
+        for r in ids.mapInArrow(_multiply(of, weight, q), "t bigint, x array<double>").groupBy("t").agg(*[F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(q.shape[1])]).collect():  # tied terms x RANK
             out[r["t"]] = r[1:]
         return out
 
@@ -294,7 +297,7 @@ def assigned(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> Da
     subject[tied] = refine(vectors / np.maximum(weight, 1e-12)[:, None], seed, lang, weight, len(names))
     ends = ids.mapInArrow(_run_ends(subject), "t bigint, side bigint, other bigint, n bigint").groupBy("t", "side", "other").agg(F.sum("n").alias("n"))
     most, total = np.zeros((2, len(vocabulary)), np.int64), np.zeros(len(vocabulary), np.int64)
-    for r in ends.groupBy("t", "side").agg(F.max("n").alias("most"), F.sum("n").alias("all")).collect():  # TIED x 2
+    for r in ends.groupBy("t", "side").agg(F.max("n").alias("most"), F.sum("n").alias("all")).collect():  # tied terms x 2
         most[r["side"], r["t"]], total[r["t"]] = r["most"], r["all"]
     said = of_what_is_said(most, total)
 
