@@ -182,6 +182,18 @@ def test_shortest_paths_two_ways(spark):
     assert graph.random_walks(spark.createDataFrame([(0, 1), (1, 2)], "src bigint, dst bigint"), 2, 5).select(F.size("path").alias("n")).distinct().collect()[0]["n"] == 5
 
 
+def test_every_leg_is_walked(spark):
+    n = 900  # more than 6 * 143 + 1; the only origin called a home is the last
+    legs = [("p", i, 60.0, "home" if i == n else "Cafe", "Cafe", float(i), 1.0, float(i + 1), 1.0) for i in range(1, n + 1)]
+    df = spark.createDataFrame(legs, "person_id string, step int, travel_s double, origin_poi string, dest_poi string, lon0 double, lat0 double, lon1 double, lat1 double")
+    iv = hourly.intervals_with_curfew(df).orderBy("i").collect()
+    assert sum(r["kind"] == "move" for r in iv) == n and iv[-1]["lon1"] == n + 1 and iv[0]["lon0"] == n
+    cut = hourly.intervals_with_curfew(df, hours=2).orderBy("i").collect()
+    assert cut[:-1] == iv[: len(cut) - 1] and sum(r["kind"] == "move" for r in cut) == 13
+    at = lambda i: hourly.hourly_positions(i, 2).orderBy("hour").collect()
+    assert at(hourly.intervals_with_curfew(df)) == at(hourly.intervals_with_curfew(df, hours=2))
+
+
 def test_hours(spark):
     legs = [("p", i, 1800.0, "home" if i == 1 else "Cafe", "home", -80.0, 26.0 + i, -80.0, 27.0 + i) for i in range(1, 5)]
     iv = hourly.intervals_with_curfew(spark.createDataFrame(legs, "person_id string, step int, travel_s double, origin_poi string, dest_poi string, lon0 double, lat0 double, lon1 double, lat1 double")).orderBy("i").collect()

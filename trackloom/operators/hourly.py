@@ -77,20 +77,27 @@ def warped(u: Column, a: Column, b: Column) -> Column:
     return cdf(u, a, b)
 
 
-def intervals_with_curfew(legs: DataFrame, seed: int = 7, hours: int = HOURS) -> DataFrame:
+def intervals_with_curfew(legs: DataFrame, seed: int = 7, hours: int | None = None) -> DataFrame:
     """legs(person_id, step, travel_s, origin_poi, dest_poi, lon0, lat0, lon1, lat1) to the intervals of each person:
     person_id, i, kind (`stay` or `move`), start_s, end_s, lon0, lat0, lon1, lat1.
 
     A first stay at home (the first origin called a home, else the first origin); before each leg, on days that are not
     free, a stay at home until the next 05:00 if it is night; a dwell at the origin; the move, if it takes time; at last a
-    dwell at the destination. The clock of a person is sequential: legs are dealt out by person and walked in order. A leg
-    takes ten minutes at least, so that those behind the (6 hours + 1)th begin beyond the hours asked and are left out
-    before the shuffle: a person is bounded by the clock, not by their rows.
+    dwell at the destination. The clock of a person is sequential: legs are dealt out by person and walked in order.
+
+    With `hours`, for callers that read no later intervals: a leg takes ten minutes at least, so that those behind the
+    (6 hours + 1)th begin beyond the hours asked and are left out before the shuffle: a person is bounded by the clock, not
+    by their rows. The home is still sought among all legs.
     """
     u = lambda k: uniform(seed, F.col("person_id"), F.col("step"), F.lit(k))
-    place = F.row_number().over(Window.partitionBy("person_id").orderBy("step"))
-    legs = legs.withColumn("_place", place).filter(F.col("_place") <= 6 * hours + 1).drop("_place")
-    rows = legs.withColumns({"u_dwell": u(1), "u_end": u(3), "travel": F.when(F.col("travel_s") > 0, travel_seconds(F.col("travel_s"), u(2)))})
+    person = Window.partitionBy("person_id")
+    at = F.struct(F.when(F.lower("origin_poi").rlike(HOME), 0).otherwise(1).alias("k"), "step")
+    home = F.min_by(F.struct("lon0", "lat0"), at).over(person)  # not by a join, which would read the legs twice
+    legs = legs.filter("person_id is not null").withColumn("_home", home)
+    if hours is not None:
+        place = F.row_number().over(person.orderBy("step"))
+        legs = legs.withColumn("_place", place).filter(F.col("_place") <= 6 * hours + 1).drop("_place")
+    rows = legs.withColumns({"home_lon": F.col("_home.lon0"), "home_lat": F.col("_home.lat0"), "u_dwell": u(1), "u_end": u(3), "travel": F.when(F.col("travel_s") > 0, travel_seconds(F.col("travel_s"), u(2)))}).drop("_home")
     kind = dict(legs.dtypes)["person_id"]
 
     def dwell(text: str | None, hour: float, x: float) -> float:
@@ -137,9 +144,7 @@ def intervals_with_curfew(legs: DataFrame, seed: int = 7, hours: int = HOURS) ->
         yield pd.DataFrame(out, columns=names)
 
     names = ["person_id", "i", "kind", "start_s", "end_s", "lon0", "lat0", "lon1", "lat1"]
-    at = F.struct(F.when(F.lower("origin_poi").rlike(HOME), 0).otherwise(1).alias("k"), "step")
-    home = rows.groupBy("person_id").agg(F.min_by(F.struct("lon0", "lat0"), at).alias("h")).select("person_id", F.col("h.lon0").alias("home_lon"), F.col("h.lat0").alias("home_lat"))
-    ordered = rows.join(home, "person_id").repartition("person_id").sortWithinPartitions("person_id", "step")
+    ordered = rows.repartition("person_id").sortWithinPartitions("person_id", "step")
     return ordered.mapInPandas(walk, f"person_id {kind}, i int, kind string, start_s double, end_s double, lon0 double, lat0 double, lon1 double, lat1 double")
 
 
