@@ -161,3 +161,19 @@ def test_valid_rows_keep_their_cells(spark):
 
 def test_no_records(spark):
     assert rows(records.failures(spark.createDataFrame([], "raw_id bigint, source_file string, record string"))) == []
+
+
+def test_every_record_is_valid_or_has_a_reason(spark, tmp_path):
+    import __spark_entry__
+
+    raw = [
+        (1, "Hull_FL_poi_vec_subset", "k1,Mole Cafe,a|b,h1,POINT (-80.1 26.2)"),
+        (2, "Hull_FL_poi_vec_subset", "k2,Mole Cafe,a|b,h1,POINT (-80.1)"),
+        (3, "US_POI", 'k3,"Bay, Inn",t,s,-80.1,26.2,FL'),
+        (4, "US_POI", "k4,Bay Inn,t,s,-80.1"),
+    ]
+    spark.createDataFrame(raw, "raw_id bigint, source_file string, record string").write.parquet(f"{tmp_path}/poi_raw.parquet")
+    q = __spark_entry__.queries()
+    ids = lambda name: sorted(r["raw_id"] for r in q[name](spark, str(tmp_path)).collect())
+    assert (ids("p7_valid_subset"), ids("p7_valid_places"), ids("p7_found")) == ([1], [3], [2, 4])
+    assert q["p7_valid_subset"](spark, str(tmp_path)).collect()[0].asDict() == {"raw_id": 1, "PLACEKEY": "k1", "LOCATION_NAME": "Mole Cafe", "label_pair": "a|b", "hex_id": "h1", "geometry": "POINT (-80.1 26.2)"}

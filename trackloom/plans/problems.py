@@ -60,7 +60,11 @@ def p7_valid_places(spark: SparkSession, d: str) -> DataFrame:
     return records.valid_rows(_read(spark, d, "poi_raw"), "US_POI")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sessions, p2_found, p4_found, p4_cells, p7_found, p7_valid_places)}
+def p7_valid_subset(spark: SparkSession, d: str) -> DataFrame:
+    return records.valid_rows(_read(spark, d, "poi_raw"), "Hull_FL_poi_vec_subset")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sessions, p2_found, p4_found, p4_cells, p7_found, p7_valid_places, p7_valid_subset)}
 
 _FORM = r"'^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.0+)?(Z|[+-]\d{2}:\d{2})$'"
 
