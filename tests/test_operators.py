@@ -313,3 +313,18 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([(3, "a", t(4), t(6)), (1, "a", t(0), t(1))], schema).coalesce(1).write.mode("append").parquet(source)
     run()
     assert [r["n_events"] for r in table.sessions().collect()] == [3]
+
+
+def test_names_are_tokenised_and_vectors_are_whole(spark, tmp_path):
+    import __spark_entry__
+
+    q = __spark_entry__.queries()
+    pois = [(f"p{i}", -80.0, 26.0, "Restaurants", "Diners", f"Heron{i} Kitchen") for i in range(400)]
+    spark.createDataFrame(pois, "PLACEKEY string, LONGITUDE double, LATITUDE double, TOP_CATEGORY string, SUB_CATEGORY string, LOCATION_NAME string").write.parquet(f"{tmp_path}/pois.parquet")
+    tokens = {t for r in q["lm_blocks"](spark, str(tmp_path)).collect() for t in r["tokens"]}
+    assert "kitchen" in tokens and any("heron399" in t for t in tokens) and "<null_val>" not in tokens
+    x = [(i - 32) / 64 for i in range(64)]
+    spark.createDataFrame([(1, x)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert q["vector_parse_whole"](spark, str(tmp_path)).collect()[0]["v"] == pytest.approx(x, abs=1e-4)
+    row = q["vector_to_columns_whole"](spark, str(tmp_path)).collect()[0]
+    assert [row[f"z{i}"] for i in range(64)] == pytest.approx(x, abs=1e-6)

@@ -276,7 +276,8 @@ def mmd2_fixed_gamma(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lm_blocks(s: SparkSession, d: str) -> DataFrame:
-    t = io.place_text(places(s, d).select("PLACEKEY", F.col("top").alias("TOP_CATEGORY"), F.col("sub").alias("SUB_CATEGORY"), F.lit(None).cast("string").alias("LOCATION_NAME")))
+    named = read(s, d, "pois").groupBy("PLACEKEY").agg(F.min("LOCATION_NAME").alias("LOCATION_NAME"))
+    t = io.place_text(places(s, d).select("PLACEKEY", F.col("top").alias("TOP_CATEGORY"), F.col("sub").alias("SUB_CATEGORY")).join(named, "PLACEKEY"))
     return textprep.blocks(t.withColumn("k", F.pmod(F.xxhash64("PLACEKEY"), F.lit(1_000_000_007))), "k", "concatenated", 64, 100_000_000)
 
 

@@ -72,6 +72,17 @@ def vector_to_columns(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "embeddings").select("vec_id", *[F.round(F.col("embedding")[i].cast("double"), R).alias(f"z{i}") for i in range(8)])
 
 
+@query("select vec_id, list_transform(embedding, lambda x: round(x::double, 4)) as v from embeddings")
+def vector_parse_whole(s: SparkSession, d: str) -> DataFrame:
+    text = read(s, d, "embeddings").select("vec_id", F.concat(F.lit("[ "), F.concat_ws("  ", F.transform("embedding", lambda x: F.format_string("%.9f", x.cast("double")))), F.lit("]")).alias("t"))
+    return text.select("vec_id", F.transform(K.parse_vector(F.col("t")), lambda x: F.round(x.cast("double"), 4)).alias("v"))
+
+
+@query(f"select vec_id, {', '.join(f'round(embedding[{i + 1}]::double, {R}) as z{i}' for i in range(64))} from embeddings")
+def vector_to_columns_whole(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "embeddings").select("vec_id", *[F.round(F.col("embedding")[i].cast("double"), R).alias(f"z{i}") for i in range(64)])
+
+
 @query("select o_orderpriority as label, try_cast(nullif(regexp_extract(o_orderpriority, '-?[0-9]+', 0), '') as int) as k, (lower(o_orderpriority) like 'evac%')::int as evac from orders group by 1")
 def binary_collapse(s: SparkSession, d: str) -> DataFrame:
     p = F.col("o_orderpriority")
