@@ -328,3 +328,15 @@ def test_names_are_tokenised_and_vectors_are_whole(spark, tmp_path):
     assert q["vector_parse_whole"](spark, str(tmp_path)).collect()[0]["v"] == pytest.approx(x, abs=1e-4)
     row = q["vector_to_columns_whole"](spark, str(tmp_path)).collect()[0]
     assert [row[f"z{i}"] for i in range(64)] == pytest.approx(x, abs=1e-6)
+
+
+def test_walks_and_sweep_have_the_numbers_of_the_reference(spark, tmp_path, monkeypatch):
+    import __spark_entry__
+
+    q, asked = __spark_entry__.queries(), {}
+    spark.createDataFrame([(1, 0), (2, 0)], "s_suppkey bigint, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, 0, [0.0, 1.0])], "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(graph, "random_walks", lambda edges, walks, length: asked.update(walks=(walks, length)) or edges)
+    monkeypatch.setattr(cluster, "sweep", lambda df, ks: asked.update(ks=ks) or [(1,)])
+    q["random_walks"](spark, str(tmp_path)), q["k_selection"](spark, str(tmp_path))
+    assert asked == {"walks": (16, 128), "ks": list(range(2, 16))}

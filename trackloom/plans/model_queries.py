@@ -73,7 +73,7 @@ def within_or_nearest_cell(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def random_walks(s: SparkSession, d: str) -> DataFrame:
-    return graph.random_walks(_edges(s, d), 2, 8)
+    return graph.random_walks(_edges(s, d), 16, 128)
 
 
 # routes: a grid of 30 x 30 junctions; legs are trips, their ends folded onto it
@@ -225,7 +225,7 @@ def constrained_kmeans(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def k_selection(s: SparkSession, d: str) -> DataFrame:
-    return s.createDataFrame(cluster.sweep(_emb(s, d), [2, 3, 4, 5]))
+    return s.createDataFrame(cluster.sweep(_emb(s, d), list(range(2, 16))))
 
 
 @query()
