@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from tests.conftest import rows
 from trackloom.llm import mixing, subjects
@@ -83,15 +84,71 @@ def test_statements_count_and_mentions_do_not(spark):
     assert right / sum(len(truth[i]) for i in held) > 0.95
 
 
-def test_every_tied_term_is_kept():
-    terms = np.arange(8_100)
-    docs = [(terms, {"law"}, "en")] * 3 + [(terms[:0], {"food"}, "en")] * 3
-    tied, seed, weight = subjects.ties(docs, ["food", "law"], len(terms))
-    assert len(tied) == len(seed) == len(weight) == len(terms) and set(seed.tolist()) == {1}
+PHRASES = {
+    "garden": ["raised bed", "clay soil", "late frost", "rose pruning", "compost heap", "seed tray", "green manure", "leaf mould", "root rot", "hedge shears", "wild meadow", "bean pole"],
+    "stars": ["dark sky", "dwarf star", "red shift", "lunar halo", "solar wind", "deep field", "comet tail", "radio dish", "dust lane", "orbit decay", "star chart", "night glass"],
+}
+IDLE = ["we sat and talked", "nobody had the key", "it was tuesday again", "the tea went cold", "page nine is torn", "my sister rang twice"]
 
 
-def test_frequent_pairs_elsewhere_do_not_push_out_terms(spark, monkeypatch):
-    monkeypatch.setattr(subjects, "VOCABULARY", 40, raising=False)  # the limit there was, as small as the corpus
+def prose(n, seed=5):
+    """Other prose: a statement strings phrases of its subject together in any order, before or behind what links them."""
+    r = random.Random(seed)
+    docs, truth = [], {}
+    for i in range(n):
+        parts, count = [r.choice(IDLE) for _ in range(r.randrange(1, 5))], {}
+        for s in r.choice([["garden"], ["stars"], ["garden", "stars"], []]):
+            for _ in range(r.randrange(1, 5)):
+                own = r.sample(PHRASES[s], 4)
+                parts.append(r.choice([f"{own[0]} {own[1]} near {own[2]} {own[3]}", f"after {own[0]} {own[1]} {own[2]} we saw {own[3]}", f"{own[0]} {own[1]} {own[2]}"]))
+                count[s] = count.get(s, 0) + 1
+        for _ in range(r.randrange(3)):
+            parts.append(f"{r.choice(PHRASES[r.choice(['garden', 'stars'])])} in the crossword clue list")
+        r.shuffle(parts)
+        docs.append((i, r.choice([". ", "; ", "\n"]).join(parts), "xx"))
+        truth[i] = {s for s, c in count.items() if c >= 2}
+    return docs, truth
+
+
+def test_prose_of_another_build(spark):
+    docs, truth = prose(900)
+    labels = [(i, s) for i in range(500) for s in truth[i]]
+    got = subjects.assigned(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), spark.createDataFrame(labels, "doc_id bigint, subject string"), ["garden", "stars"])
+    said = {(r["doc_id"], r["subject"]) for r in got.collect() if r["doc_id"] >= 500}
+    want = {(i, s) for i in range(500, 900) for s in truth[i]}
+    assert len(said & want) > 0.9 * len(want) and len(said & want) > 0.9 * len(said)
+
+
+def test_every_tied_term_is_kept(spark):
+    text = " ".join(f"w{k}" for k in range(4_100))
+    sample = spark.createDataFrame([(text, [0])] * 3 + [("nothing of the kind", [1])] * 3, "text string, own array<int>")
+    terms, seed, weight = subjects._learned(sample, 2)
+    tied = {f"w{k} w{k + 1}" for k in range(4_099) if (k + 1) % subjects.LONGEST}
+    assert tied <= set(terms) and len(terms) == len(seed) == len(weight)
+
+
+def test_encoding_cuts_where_clauses_do():
+    texts = ["The judge was here, and the judge left.", "x " * 300, "", None, "left. the judge", "Ha\u0301 judge was here"]
+    lexicon = subjects.Lexicon(["the judge", "judge was", "was here", "judge left", "x x"])
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(6), pa.int64()), "text": pa.array(texts, pa.string())})
+    got = {d: ids for b in lexicon.encode(iter([batch])) for d, ids in zip(b["doc_id"].to_pylist(), b["ids"].to_pylist(), strict=True)}
+    split = lambda ids: [sorted(int(i) for i in part.split()) for part in " ".join(map(str, ids)).split("-1")]
+    assert split(got[0]) == [[0, 1, 2], [0, 3]] and split(got[4]) == [[0]] and split(got[5]) == [[1, 2]]
+    assert split(got[1]) == [[4]] * 5  # 300 words are five clauses
+    assert got.keys() == {0, 1, 4, 5}
+
+
+def test_leading_vectors_are_those_of_the_matrix():
+    r = np.random.default_rng(3)
+    a = r.normal(size=(60, 40)) * np.geomspace(1, 0.01, 40)
+    g = a @ a.T
+    i, j = np.nonzero(np.triu(np.ones((60, 60))))
+    v = subjects.leading(i, j, g[i, j], 60, 5)
+    true = np.linalg.eigh(g)[1][:, ::-1][:, :5]
+    assert np.allclose(np.linalg.svd(true.T @ v)[1], 1, atol=1e-3)
+
+
+def test_frequent_pairs_elsewhere_do_not_push_out_terms(spark):
     docs, truth = corpus(300)
     filler = [(5000 + i, " ".join(f"w{k}" for k in range(100)), "en") for i in range(400)]
     labels = [(i, s) for i in range(300) for s in truth[i]]

@@ -1,17 +1,18 @@
 """Subject areas of documents: term weighting, truncated singular value decomposition, seed centroids refined iteratively.
 
-The terms of a document are its pairs of neighbouring words, weighted by how much a sample of
-labelled documents ties them to a subject; the document-term matrix over all documents is cut to its leading singular
-vectors by random projection and power iteration, each step one pass that adds up a bounded matrix. The seeds of a subject
-are its tied terms, by language; centroids are refined until terms keep their subject, and a term belongs to the nearest
-centroid if the cosine is large enough. A statement is a run of such terms that says something of its thing: in a run of
-one subject, terms of what is said stand at varying distances from its beginning, terms of the thing at a fixed one. That
-tells a statement from a mention in passing, which has the thing alone. A document has the subjects it makes at least
-STATEMENTS statements about.
+The row of the matrix is a clause, not a document: a document may have several subjects, and one of them only in passing.
+The terms of a clause are its pairs of neighbouring words. A bounded sample of labelled documents tells which terms are
+tied to a subject, and which belong to remarks: in clauses that hold a remark's term, the terms of a subject do not go
+with the document's labels ("where someone mentioned the ..."). Both kinds are weighted by that and by how rare they are.
+The clauses of all documents, at length one, are cut to their leading singular vectors; the centroids of the subjects and
+the one of remarks begin at their seed terms, and are refined over all clauses until they stand still. Each clause belongs
+to the centroid nearest by cosine, if that is near enough. A clause of a subject with terms enough is a statement about it,
+and a document has the subjects it makes at least STATEMENTS statements about.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -24,230 +25,290 @@ from pyspark.sql import functions as F
 
 from trackloom import shared
 
-#: Statements about a subject that make it one of the document's.
-STATEMENTS = 2
-#: Documents a term must be in.
-LEAST_DOCS = 4
+#: Statements about a subject that make it one of the document's, and the tied terms a clause needs to be one.
+STATEMENTS, TERMS = 2, 2
 #: Labelled documents the ties are learned on, and what a tie takes: of the way from how frequent the subject is at all to
-#: always, how far a term's labelled documents must go, and their number.
-SAMPLE, SHARE, SEEN = 50_000, 0.5, 3
-#: Singular vectors, passes of the power iteration, rounds of refinement, least cosine of a term to its centroid.
-RANK, PASSES, ROUNDS, LEAST_COS = 32, 3, 10, 0.35
-#: Places of a term in runs from which it is judged.
-PLACES = 8
-#: Terms that a run needs to count.
-RUN = 3
-_WORD = regex.compile(r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*|[.!?;\n]|[,:()\[\]{}\"“”«»>|]")
-_BREAK = frozenset(".!?;\n,:()[]{}\"“”«»>|")
-_SENTENCE = frozenset(".!?\n")
-_REMEMBERED = 300_000
+#: always, how far a term's labelled documents must go, and their number. A remark's term is one whose clauses go with the
+#: labels in a smaller part than REMARK.
+SAMPLE, SHARE, SEEN, REMARK = 50_000, 0.5, 3, 0.5
+#: Singular vectors, passes of the power iteration, least cosine of a clause to its centroid, and the rounds of refinement:
+#: they end when no centroid moves by more than STILL.
+RANK, PASSES, LEAST_COS, ROUNDS, STILL = 256, 5, 0.05, 12, 1e-3
+#: Words after which a clause ends at the latest.
+LONGEST = 64
+#: Characters of text taken apart at a time, and terms counted before they are handed on.
+CHUNK, REMEMBERED = 1_000_000, 300_000
+#: The words that join clauses of one rank, in English, Spanish and French.
+JOINING = ("and", "but", "or", "y", "e", "o", "pero", "et", "mais", "ou")
+_WORD = regex.compile(r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*|[.!?;\n,:()\[\]{}\"“”«»>|]")
+_PLAIN = re.compile(r"[a-z0-9]+(?:['-][a-z0-9]+)*|[.!?;\n,:()\[\]{}\"<>|]")
+_BREAK = frozenset(".!?;\n,:()[]{}\"“”«»<>|") | frozenset(JOINING)
 
 
 def words(text: str) -> list[str]:
     """Words in lower case without accents, and the marks that end clauses; what cannot be seen is left out."""
-    t = unicodedata.normalize("NFKD", text.lower())
-    if not t.isascii():
-        t = "".join(c for c in t if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+    t = text.lower()
+    if t.isascii():
+        return _PLAIN.findall(t)
+    t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
     return _WORD.findall(t)
 
 
-def _pairs(text: str) -> Iterator[str | None]:
-    """Pairs of neighbouring words in order; None where a clause ends, and twice where a sentence does."""
-    last = None
+def clauses(text: str) -> list[list[str]]:
+    """The words of each clause, those of two words at least."""
+    out, own = [], []
     for w in words(text):
-        if w in _BREAK:
-            yield None
-            if w in _SENTENCE:
-                yield None
-            last = None
-        else:
-            if last is not None:
-                yield f"{last} {w}"
-            last = w
-
+        if w in _BREAK or len(own) == LONGEST:
+            if len(own) > 1:
+                out.append(own)
+            own = []
+        if w not in _BREAK:
+            own.append(w)
+    if len(own) > 1:
+        out.append(own)
+    return out
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"term": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+def _terms(clause: list[str]) -> set[str]:
+    return {f"{a} {b}" for a, b in zip(clause, clause[1:], strict=False)}
 
-    for b in batches:
-        for text in b["text"]:
-            seen.update({p for p in _pairs(text.as_py() or "") if p and len(p) <= 80})
-            if len(seen) > _REMEMBERED:
-                yield out()
-                seen.clear()
-    yield out()
 
+def _count_terms(kinds: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(text, own) to the labelled documents of each term: how many, and how many of each subject."""
+        seen: dict[str, np.ndarray] = {}
 
-def _encode(place: dict[str, int]):
-    """(doc_id, text) to (doc_id, ids): a term's place, -1 for a pair that is none, -2 and -3 at the end of clause and
-    sentence."""
+        def out() -> pa.RecordBatch:
+            n = np.stack(list(seen.values())) if seen else np.empty((0, kinds + 1), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array(c) for c in n.T)], ["term", "n", *(f"s{i}" for i in range(kinds))])
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs, ids = b["doc_id"].to_pylist(), []
-            for text in b["text"]:
-                own: list[int] = []
-                for p in _pairs(text.as_py() or ""):
-                    if p is not None:
-                        own.append(place.get(p, -1))
-                    elif own and own[-1] == -2:
-                        own[-1] = -3
-                    elif not own or own[-1] != -3:
-                        own.append(-2)
-                ids.append(own)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))})
-
-    return encode
-
-
-def ties(encoded: list[tuple[np.ndarray, set[str], str]], subjects: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From labelled documents (ids, subjects, language): the terms tied to a subject, which, and their weights."""
-    n, by = np.zeros(size), np.zeros((len(subjects), size))
-    base = np.zeros(len(subjects))
-    for ids, own, _ in encoded:
-        t = np.unique(ids[ids >= 0])
-        n[t] += 1
-        for i, s in enumerate(subjects):
-            if s in own:
-                by[i, t] += 1
-                base[i] += 1
-    base /= max(len(encoded), 1)
-    share = (by + 2 * base[:, None]) / (n + 2)
-    best = share.argmax(0)
-    top = share[best, np.arange(size)]
-    tied = np.flatnonzero((n >= SEEN) & (top >= base[best] + SHARE * (1 - base[best])))
-    tied = tied[np.argsort(-n[tied] * top[tied], kind="stable")]
-    return tied, best[tied], (2 * top[tied] - 1).clip(0.05) * np.log(max(len(encoded), 2) / n[tied]).clip(0.5)
-
-
-def _tied(ids: np.ndarray, at: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids of documents (beginnings `at`) to the tied terms and the numbers of their documents."""
-    doc = np.searchsorted(at, np.arange(len(ids)), "right") - 1
-    t = np.where(ids >= 0, of[np.maximum(ids, 0)], -1)
-    keep = t >= 0
-    return t[keep], doc[keep]
-
-
-def _multiply(of: np.ndarray, weight: np.ndarray, q: np.ndarray):
-    """Adds up A'A q over all documents; A holds the weights of a document's distinct terms, at length one."""
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros_like(q)
         for b in batches:
-            ids, at = _flat(b["ids"])
-            t, s = _tied(ids, at, of)
-            if not len(t):
-                continue
-            pair = np.unique(s * np.int64(len(weight)) + t)
-            s, t = pair // len(weight), pair % len(weight)
-            first = np.concatenate([[True], s[1:] != s[:-1]])
-            begin, row = np.flatnonzero(first), np.cumsum(first) - 1
-            w = weight[t] / np.sqrt(np.add.reduceat(weight[t] ** 2, begin))[row]
-            rows = np.add.reduceat(q[t] * w[:, None], begin, axis=0)
-            back = rows[row] * w[:, None]
-            order = np.argsort(t, kind="stable")
-            t, back = t[order], back[order]
-            begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            total[t[begin]] += np.add.reduceat(back, begin, axis=0)
-        some = np.flatnonzero(np.abs(total).max(1) > 0)
-        yield pa.RecordBatch.from_pydict({"t": some, "x": pa.array(list(total[some]), pa.list_(pa.float64()))})
-
-    return multiply
-
-
-def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    off = lists.offsets.to_numpy()
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), (off - off[0])[:-1].astype(np.int64)
-
-
-def refine(vectors: np.ndarray, seed: np.ndarray, group: np.ndarray, weight: np.ndarray, subjects: int) -> np.ndarray:
-    """The subject of each term, -1 for none: centroids by subject and language (group) begin at the seeds' means."""
-    v = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    kinds = np.unique(group)
-    assigned, lang = seed.copy(), group
-    for _ in range(ROUNDS):
-        centres, owner = [], []
-        for s in range(subjects):
-            for g in kinds:
-                own = (assigned == s) & (lang == g)
-                if own.any():
-                    c = (v[own] * weight[own, None]).sum(0)
-                    centres.append(c / max(np.linalg.norm(c), 1e-12))
-                    owner.append(s)
-        if not centres:
-            return np.full(len(v), -1)
-        cos = v @ np.array(centres).T
-        near = cos.argmax(1)
-        now = np.where(cos[np.arange(len(v)), near] >= LEAST_COS, np.array(owner)[near], -1)
-        if (now == assigned).all():
-            break
-        assigned = now
-    return assigned
+            for text, own in zip(b["text"], b["own"].to_pylist(), strict=True):
+                add = np.zeros(kinds + 1, np.int64)
+                add[[0, *(i + 1 for i in own)]] = 1
+                for t in set().union(*map(_terms, clauses(text.as_py() or ""))):
+                    if t in seen:
+                        seen[t] += add
+                    else:
+                        seen[t] = add.copy()
+                if len(seen) > REMEMBERED:
+                    yield out()
+                    seen.clear()
+        yield out()
 
+    return count
 
-def runs(ids: np.ndarray, at: np.ndarray, subject: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of terms with a subject, in order: place, subject and the number of their run.
 
-    Places side by side, or with one between them, are of one run if they have one subject and clause.
-    """
-    s = np.where(ids >= 0, subject[np.maximum(ids, 0)], -1)
-    clause = np.cumsum(ids < -1) + np.searchsorted(at, np.arange(len(ids)), "right") * (len(ids) + 1)
-    place = np.flatnonzero(s >= 0)
-    if not len(place):
-        return place, place, place
-    new = np.concatenate([[True], (np.diff(place) > 2) | (s[place][1:] != s[place][:-1]) | (clause[place][1:] != clause[place][:-1])])
-    return place, s[place], np.cumsum(new) - 1
-
-
-def run_ends(ids: np.ndarray, at: np.ndarray, subject: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(term, side, other, n): how often the run of a term begins (side 0) and ends (side 1) with which other."""
-    place, _, run = runs(ids, at, subject)
-    if not len(place):
-        return place, place, place, place
-    t = ids[place]
-    first = np.flatnonzero(np.concatenate([[True], np.diff(run) > 0]))
-    last = np.append(first[1:], len(run)) - 1
-    size = np.int64(len(subject))
-    key, n = np.unique(np.concatenate([(t * 2 + side) * size + t[end][run] for side, end in enumerate((first, last))]), return_counts=True)
-    return key // size // 2, key // size % 2, key % size, n
-
-
-def _run_ends(subject: np.ndarray):
+def _count_remarks(tied: dict[str, int]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(text, own) to the clauses of each untied term that hold a subject's terms: how many, and in how many of them the
+        subject is among the document's labels. Null stands for all terms."""
+        seen: Counter = Counter()
+        right: Counter = Counter()
         for b in batches:
-            t, side, other, n = run_ends(*_flat(b["ids"]), subject)
-            yield pa.RecordBatch.from_pydict({"t": t, "side": side, "other": other, "n": n})
+            for text, own in zip(b["text"], b["own"].to_pylist(), strict=True):
+                for c in clauses(text.as_py() or ""):
+                    terms = _terms(c)
+                    about = Counter(tied[t] for t in terms if t in tied)
+                    if about:
+                        rest = [t for t in terms if t not in tied]
+                        seen.update(rest)
+                        if min(about, key=lambda s: (-about[s], s)) in own:
+                            right.update(rest)
+        names: list = [*seen, None]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "term": pa.array(names, pa.string()),
+                "n": pa.array([*seen.values(), sum(seen.values())], pa.int64()),
+                "m": pa.array([*(right[t] for t in seen), sum(right.values())], pa.int64()),
+            }
+        )
 
     return count
 
 
-def of_what_is_said(most: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Of the counts of the most frequent first and last terms (2 x terms) and all of a term's places."""
-    return (total >= PLACES) & (most[1] > most[0])
+class Lexicon:
+    """Numbers of terms by the numbers of their words."""
 
+    def __init__(self, terms: list[str]):
+        pairs = [t.split(" ") for t in terms]
+        self.word = {w: i + 1 for i, w in enumerate(sorted({w for p in pairs for w in p}))}
+        self.size = len(self.word) + 2
+        code = np.array([self.word[a] * self.size + self.word[b] for a, b in pairs], np.int64)
+        self.order = np.argsort(code)
+        self.code = code[self.order]
+        self.word.update(dict.fromkeys(_BREAK, self.size - 1))
 
-def statements(ids: np.ndarray, at: np.ndarray, subject: np.ndarray, said: np.ndarray, kinds: int) -> np.ndarray:
-    """Statements about each subject in each document: what is said in runs of at least RUN terms, apart by more than two
-    terms."""
-    place, s, run = runs(ids, at, subject)
-    out = np.zeros((len(at), kinds), np.int64)
-    if not len(place):
+    def encode(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, text) to (doc_id, ids): the terms' numbers, -1 between clauses; documents without terms go."""
+        for b in batches:
+            begin, chars = 0, 0
+            texts = b["text"]
+            for i in range(b.num_rows):
+                chars += len(texts[i].as_py() or "")
+                if chars > CHUNK or i == b.num_rows - 1:
+                    yield self._encoded(b["doc_id"].slice(begin, i + 1 - begin), texts.slice(begin, i + 1 - begin))
+                    begin, chars = i + 1, 0
+
+    def _encoded(self, docs: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        end, get = self.size - 1, self.word.get
+        flat: list[int] = []
+        size = []
+        for t in texts:
+            own = [get(w, 0) for w in words(t.as_py() or "")]
+            flat += own
+            flat.append(end)
+            size.append(len(own) + 1)
+        w = np.array(flat, np.int64)
+        doc = np.repeat(np.arange(len(size)), size)
+        stop = w == end
+        # places since the last mark; a clause is cut behind LONGEST of them
+        at = np.arange(len(w))
+        since = at - np.maximum.accumulate(np.where(stop, at, -1)) if len(w) else at
+        piece = np.cumsum(stop | ((since - 1) % LONGEST == 0))
+        code = w[:-1] * self.size + w[1:]
+        ok = (w[:-1] > 0) & (w[1:] > 0) & ~stop[:-1] & ~stop[1:] & (piece[:-1] == piece[1:]) if len(w) else np.empty(0, bool)
+        place = np.searchsorted(self.code, code[ok])
+        hit = self.code[np.minimum(place, len(self.code) - 1)] == code[ok]
+        where = np.flatnonzero(ok)[hit]
+        ids, doc, piece = self.order[place[hit]], doc[where], piece[where]
+        once = np.unique(np.stack([piece, ids]), axis=1, return_index=True)[1] if len(ids) else np.empty(0, np.int64)
+        ids, doc, piece = ids[once], doc[once], piece[once]
+        order = np.argsort(piece, kind="stable")
+        ids, doc, piece = ids[order], doc[order], piece[order]
+        # a mark before each clause but a document's first
+        new = np.flatnonzero(np.diff(piece) != 0) + 1
+        new = new[doc[new] == doc[new - 1]] if len(new) else new
+        ids, doc = np.insert(ids, new, -1), np.insert(doc, new, doc[new] if len(new) else [])
+        some, n = np.unique(doc, return_counts=True)
+        off = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        return pa.RecordBatch.from_arrays([docs.take(pa.array(some)), pa.ListArray.from_arrays(off, pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
+
+
+class _Clauses:
+    """The clauses of a batch of encoded documents: for each term its clause, and for each clause its document's row."""
+
+    def __init__(self, b: pa.RecordBatch, weight: np.ndarray):
+        off = b["ids"].offsets.to_numpy()
+        flat = b["ids"].flatten().to_numpy(zero_copy_only=False)
+        new = flat < 0
+        first = np.zeros(len(flat), bool)
+        first[(off[:-1] - off[0])[np.diff(off) > 0]] = True
+        clause = np.cumsum(new | first) - 1
+        self.term, self.of = flat[~new].astype(np.int64), clause[~new]
+        self.n = int(clause[-1]) + 1 if len(flat) else 0
+        self.begin = np.searchsorted(self.of, np.arange(self.n))
+        row = np.repeat(np.arange(b.num_rows), np.diff(off))[~new]
+        self.row = row[self.begin] if self.n else row
+        w = weight[self.term]
+        self.value = w / np.sqrt(np.bincount(self.of, w**2, self.n))[self.of]
+
+    def nearest(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The centroid of each clause, and its cosine; near: terms x centroids, the cosines of the terms."""
+        if not self.n:
+            return np.empty(0, np.int64), np.empty(0)
+        cos = np.add.reduceat(near[self.term] * self.value[:, None], self.begin, axis=0)
+        best = cos.argmax(1)
+        return best, cos[np.arange(self.n), best]
+
+
+def _gram(weight: np.ndarray):
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The products of the values of each two terms of a clause, added up by pair of terms (i <= j)."""
+        size = np.int64(len(weight))
+        for b in batches:
+            c = _Clauses(b, weight)
+            n = np.diff(np.append(c.begin, len(c.term)))
+            later = np.repeat(c.begin + n, n) - np.arange(len(c.term))  # of the clause, from the term on
+            left = np.repeat(np.arange(len(c.term)), later)
+            right = left + np.arange(later.sum()) - np.repeat(np.cumsum(later) - later, later)
+            i, j = c.term[left], c.term[right]
+            key, at = np.unique(np.minimum(i, j) * size + np.maximum(i, j), return_inverse=True)
+            x = np.bincount(at, c.value[left] * c.value[right], len(key))
+            yield pa.RecordBatch.from_pydict({"i": key // size, "j": key % size, "x": x})
+
+    return gram
+
+
+def leading(i: np.ndarray, j: np.ndarray, x: np.ndarray, size: int, rank: int) -> np.ndarray:
+    """The leading eigenvectors of a symmetric matrix (its entries with i <= j), by power iteration on a random block."""
+    other = i != j
+    i, j, x = np.concatenate([i, j[other]]), np.concatenate([j, i[other]]), np.concatenate([x, x[other]])
+    order = np.argsort(i, kind="stable")
+    i, j, x = i[order], j[order], x[order]
+
+    def times(q: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(q)
+        for s in range(0, len(i), 20_000):
+            a = i[s : s + 20_000]
+            begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            out[a[begin]] += np.add.reduceat(q[j[s : s + 20_000]] * x[s : s + 20_000, None], begin, axis=0)
         return out
-    own = said[ids[place]] & (np.bincount(run)[run] >= RUN)
-    place, s, doc = place[own], s[own], np.searchsorted(at, place[own], "right") - 1
-    order = np.lexsort((place, s))
-    place, s, doc = place[order], s[order], doc[order]
-    if len(place):
-        new = np.concatenate([[True], (s[1:] != s[:-1]) | (doc[1:] != doc[:-1]) | (np.diff(place) > 2)])
-        np.add.at(out, (doc[new], s[new]), 1)
-    return out
+
+    q = np.linalg.qr(np.random.default_rng(11).normal(size=(size, min(rank + 16, size))))[0]
+    for _ in range(PASSES):
+        q = np.linalg.qr(times(q))[0]
+    small = q.T @ times(q)
+    turn = np.linalg.eigh((small + small.T) / 2)[1][:, ::-1][:, :rank]
+    return q @ turn
+
+
+def _assigned_sums(weight: np.ndarray, near: np.ndarray):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The values of the terms of the clauses of each centroid, added up: centroid, term, x."""
+        total = np.zeros(near.shape)
+        for b in batches:
+            c = _Clauses(b, weight)
+            best, cos = c.nearest(near)
+            own = np.where(cos >= LEAST_COS, best, -1)[c.of]
+            ok = own >= 0
+            total += np.bincount(c.term[ok] * near.shape[1] + own[ok], c.value[ok], near.size).reshape(near.shape)
+        t, s = np.nonzero(total)
+        yield pa.RecordBatch.from_pydict({"s": pa.array(s, pa.int32()), "t": pa.array(t, pa.int32()), "x": total[t, s]})
+
+    return add
+
+
+def _statements(weight: np.ndarray, near: np.ndarray, is_tied: np.ndarray, names: list[str]):
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = len(names)
+        for b in batches:
+            c = _Clauses(b, weight)
+            best, cos = c.nearest(near)
+            ok = (cos >= LEAST_COS) & (best < kinds) & (np.bincount(c.of, is_tied[c.term], c.n) >= TERMS)
+            key, n = np.unique(c.row[ok] * kinds + best[ok], return_counts=True)
+            key, n = key[n >= STATEMENTS], n[n >= STATEMENTS]
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(key // kinds)), pa.array(names, pa.string()).take(pa.array(key % kinds)), pa.array(n.astype(np.int64))], ["doc_id", "subject", "statements"])
+
+    return judge
+
+
+def _learned(sample: DataFrame, kinds: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """From labelled documents (text, own): terms, the subject each is tied to (`kinds` for remarks), and their weights."""
+    facts = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.array_contains("own", i).cast("bigint")).alias(f"s{i}") for i in range(kinds)]).first()
+    docs = facts["n"]
+    if not docs:
+        return [], np.empty(0, np.int64), np.empty(0)
+    base = [facts[f"s{i}"] / docs for i in range(kinds)]
+    cols = [f"s{i}" for i in range(kinds)]
+    counts = sample.mapInArrow(_count_terms(kinds), "term string, n bigint, " + ", ".join(f"{c} bigint" for c in cols)).groupBy("term").agg(*[F.sum(c).alias(c) for c in ["n", *cols]]).filter(F.col("n") >= SEEN)
+    best = F.greatest(*[F.struct(((F.col(c) + 2 * p) / (F.col("n") + 2)).alias("share"), F.lit(-i).alias("s"), F.lit(p + SHARE * (1 - p)).alias("least")) for i, (c, p) in enumerate(zip(cols, base, strict=True))])
+    found = counts.select("term", "n", best.alias("b")).filter(F.col("b.share") >= F.col("b.least")).select("term", "n", "b.share", (-F.col("b.s")).alias("s")).orderBy("term").collect()  # terms of the sample
+    tied = {r["term"]: r["s"] for r in found}
+    seed = [r["s"] for r in found]
+    weight = [max(2 * r["share"] - 1, 0.05) * max(np.log(docs / r["n"]), 0.5) for r in found]
+    told = shared.stored(sample.mapInArrow(_count_remarks(tied), "term string, n bigint, m bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "remarks")
+    whole = told.filter("term is null").first()
+    usual = whole["m"] / whole["n"] if whole and whole["n"] else 1.0
+    share = (F.col("m") + 2 * usual) / (F.col("n") + 2)
+    remarks = told.filter(F.col("term").isNotNull() & (F.col("n") >= SEEN) & (share < REMARK)).select("term", "n", share.alias("share")).orderBy("term").collect()  # terms of the sample
+    seed += [kinds] * len(remarks)
+    weight += [(1 - r["share"]) * max(np.log(docs / r["n"]), 0.5) for r in remarks]
+    return [*tied, *(r["term"] for r in remarks)], np.array(seed, np.int64), np.array(weight)
 
 
 def assigned(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
-    """documents(doc_id, text, lang) and labels(doc_id, subject) to doc_id, subject, statements: each subject about which a
+    """documents(doc_id, text) and labels(doc_id, subject) to doc_id, subject, statements: each subject about which a
     document makes at least STATEMENTS statements.
 
     Labels are compared in lower case without outer blanks; those that are no subject, and labels of documents that do not
@@ -256,69 +317,33 @@ def assigned(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> Da
     spark = documents.sparkSession
     names = sorted(subjects)
     schema = "doc_id bigint, subject string, statements bigint"
-    docs = documents.select("doc_id", "text")
-    counts = lambda some: some.filter("text is not null").select("text").mapInArrow(_count_pairs, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    own = labels.select("doc_id", F.lower(F.btrim("subject")).alias("subject")).filter(F.col("subject").isin(names)).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))  # at most len(names) each
-    chosen = shared.stored(docs.select("doc_id").join(own, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(3))).limit(SAMPLE), "sample").distinct()  # SAMPLE numbers at most
-    # no other term can be tied: those of the sample's documents that are in enough of them
-    able = counts(docs.join(F.broadcast(chosen), "doc_id", "left_semi")).filter(F.col("n") >= SEEN).select("term")
-    vocabulary = [r["term"] for r in counts(docs).filter(F.col("n") >= LEAST_DOCS).join(able, "term", "left_semi").orderBy(F.desc("n"), "term").select("term").collect()]
-    if not vocabulary:
+    docs = documents.select("doc_id", "text").filter("text is not null and text <> ''")
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.lower(F.btrim("subject"))) - 1
+    own = labels.select("doc_id", place.cast("int").alias("s")).filter("s >= 0").groupBy("doc_id").agg(F.collect_set("s").alias("own"))  # at most len(names) each
+    chosen = own.orderBy(F.xxhash64("doc_id", F.lit(3))).limit(SAMPLE)
+    sample = shared.stored(docs.join(F.broadcast(chosen), "doc_id").select("text", "own"), "labelled")
+    terms, seed, weight = _learned(sample, len(names))
+    if not terms:
         return spark.createDataFrame([], schema)
-    place = {t: i for i, t in enumerate(vocabulary)}
-    ids = shared.stored(docs.mapInArrow(_encode(place), "doc_id bigint, ids array<int>"), "terms")
-    sample = ids.join(own, "doc_id").join(documents.select("doc_id", F.lower(F.substring("lang", 1, 2)).alias("lang")).dropDuplicates(["doc_id"]), "doc_id")
-    held = sample.orderBy(F.xxhash64("doc_id", F.lit(3))).limit(SAMPLE).select("ids", "subjects", "lang").toArrow()  # not as rows of Python numbers
-    rows = [(i.values.to_numpy().astype(np.int64), set(s.as_py()), lang.as_py() or "") for i, s, lang in zip(held["ids"], held["subjects"], held["lang"], strict=True)]
-    if not rows:
+    ids = shared.stored(docs.mapInArrow(Lexicon(terms).encode, "doc_id bigint, ids array<int>"), "clauses")
+    # pairs of the sample's terms: their number is bounded by the sample, not by the documents
+    gram = ids.mapInArrow(_gram(weight), "i bigint, j bigint, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toArrow()
+    if not gram.num_rows:
         return spark.createDataFrame([], schema)
-    tied, seed, weight = ties(rows, names, len(vocabulary))
-    if not len(tied):
-        return spark.createDataFrame([], schema)
-    of = np.full(len(vocabulary), -1)
-    of[tied] = np.arange(len(tied))
-    q = np.linalg.qr(np.random.default_rng(11).normal(size=(len(tied), min(RANK, len(tied)))))[0]
-
-    def gram(q: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(q)
-        for r in ids.mapInArrow(_multiply(of, weight, q), "t bigint, x array<double>").groupBy("t").agg(*[F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(q.shape[1])]).collect():  # tied terms x RANK
-            out[r["t"]] = r[1:]
-        return out
+    vectors = leading(gram["i"].to_numpy(), gram["j"].to_numpy(), gram["x"].to_numpy(), len(terms), min(RANK, len(terms)))
+    centres = _unit(np.stack([(vectors[seed == s] * weight[seed == s, None]).sum(0) for s in range(len(names) + 1)]))
+    for _ in range(ROUNDS):
+        sums = np.zeros((len(centres), len(terms)))
+        for r in ids.mapInArrow(_assigned_sums(weight, vectors @ centres.T), "s int, t int, x double").groupBy("s", "t").agg(F.sum("x").alias("x")).toLocalIterator():  # centroids x terms
+            sums[r["s"], r["t"]] = r["x"]
+        now = sums @ vectors
+        now = _unit(np.where(np.abs(now).max(1, keepdims=True) > 0, now, centres))
+        moved = np.linalg.norm(now - centres, axis=1).max()
+        centres = now
+        if moved <= STILL:
+            break
+    return ids.mapInArrow(_statements(weight, vectors @ centres.T, (seed < len(names)).astype(float), names), schema)
 
-    for _ in range(PASSES):
-        q = np.linalg.qr(gram(q))[0]
-    small = q.T @ gram(q)
-    values, turn = np.linalg.eigh((small + small.T) / 2)
-    vectors = (q @ turn) * np.sqrt(np.maximum(values, 0))
-    mark = np.array([l for _, _, l in rows])
-    kinds = [k for k, n in Counter(mark.tolist()).most_common(8) if k and n >= 5]
-    lang = _language(rows, kinds, tied, len(vocabulary))
-    subject = np.full(len(vocabulary), -1)
-    subject[tied] = refine(vectors / np.maximum(weight, 1e-12)[:, None], seed, lang, weight, len(names))
-    ends = ids.mapInArrow(_run_ends(subject), "t bigint, side bigint, other bigint, n bigint").groupBy("t", "side", "other").agg(F.sum("n").alias("n"))
-    most, total = np.zeros((2, len(vocabulary)), np.int64), np.zeros(len(vocabulary), np.int64)
-    for r in ends.groupBy("t", "side").agg(F.max("n").alias("most"), F.sum("n").alias("all")).collect():  # tied terms x 2
-        most[r["side"], r["t"]], total[r["t"]] = r["most"], r["all"]
-    said = of_what_is_said(most, total)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat, at = _flat(b["ids"])
-            n = statements(flat, at, subject, said, len(names))
-            d, s = np.nonzero(n >= STATEMENTS)
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"].take(pa.array(d)), "subject": pa.array(names).take(pa.array(s)), "statements": n[d, s]})
-
-    return ids.mapInArrow(judge, schema)
-
-
-def _language(rows: list[tuple[np.ndarray, set[str], str]], kinds: list[str], tied: np.ndarray, size: int) -> np.ndarray:
-    """The language most frequent among a term's labelled documents, measured against how frequent it is at all."""
-    if not kinds:
-        return np.zeros(len(tied), np.int64)
-    n = np.zeros((len(kinds), size))
-    whole = np.ones(len(kinds))
-    for ids, _, lang in rows:
-        if lang in kinds:
-            n[kinds.index(lang), np.unique(ids[ids >= 0])] += 1
-            whole[kinds.index(lang)] += 1
-    return (n[:, tied] / whole[:, None]).argmax(0)
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
