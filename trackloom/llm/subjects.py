@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from trackloom import shared
 
 #: Statements about a subject that make it one of the document's, and the tied terms a clause needs to be one.
-STATEMENTS, TERMS = 2, 2
+STATEMENTS, TERMS = 2, 3
 #: Labelled documents the ties are learned on, and what a tie takes: of the way from how frequent the subject is at all to
-#: always, how far a term's labelled documents must go, and their number. A remark's term is one whose clauses go with the
-#: labels in a smaller part than REMARK.
+#: always, how far a term's labelled documents must go, and their number. A remark's term is one whose clauses go less than
+#: REMARK of the way from chance to always with the labels.
 SAMPLE, SHARE, SEEN, REMARK = 50_000, 0.5, 3, 0.5
 #: Singular vectors, passes of the power iteration, least cosine of a clause to its centroid, and the rounds of refinement:
 #: they end when no centroid moves by more than STILL.
@@ -40,18 +40,34 @@ LONGEST = 64
 CHUNK, REMEMBERED = 1_000_000, 300_000
 #: The words that join clauses of one rank, in English, Spanish and French.
 JOINING = ("and", "but", "or", "y", "e", "o", "pero", "et", "mais", "ou")
-_WORD = regex.compile(r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*|[.!?;\n,:()\[\]{}\"“”«»>|]")
+_WORD = regex.compile(r"[\p{L}\p{N}]+(?:['-][\p{L}\p{N}]+)*|[.!?;\n,:()\[\]{}\"<>|]")
 _PLAIN = re.compile(r"[a-z0-9]+(?:['-][a-z0-9]+)*|[.!?;\n,:()\[\]{}\"<>|]")
-_BREAK = frozenset(".!?;\n,:()[]{}\"“”«»<>|") | frozenset(JOINING)
+_OTHER = re.compile(r"[^\x00-\x7f]+")
+_BREAK = frozenset('.!?;\n,:()[]{}"<>|') | frozenset(JOINING)
+
+
+class _Bare(dict):
+    """Characters beyond ASCII, by code: letters without accents, quotes as the plain ones, other signs as blanks; what
+    cannot be seen is nothing."""
+
+    def __missing__(self, code: int) -> str:
+        out = ""
+        for c in unicodedata.normalize("NFKD", chr(code)):
+            if not unicodedata.combining(c) and unicodedata.category(c) != "Cf":
+                out += c if c.isascii() or c.isalnum() else "'" if c == "’" else '"' if c in "“”«»" else " "
+        self[code] = out
+        return out
+
+
+_BARE = _Bare()
 
 
 def words(text: str) -> list[str]:
     """Words in lower case without accents, and the marks that end clauses; what cannot be seen is left out."""
     t = text.lower()
-    if t.isascii():
-        return _PLAIN.findall(t)
-    t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
-    return _WORD.findall(t)
+    if not t.isascii():
+        t = _OTHER.sub(lambda m: m[0].translate(_BARE), t)
+    return (_PLAIN if t.isascii() else _WORD).findall(t)
 
 
 def clauses(text: str) -> list[list[str]]:
@@ -99,12 +115,13 @@ def _count_terms(kinds: int):
     return count
 
 
-def _count_remarks(tied: dict[str, int]):
+def _count_remarks(tied: dict[str, int], base: list[float]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(text, own) to the clauses of each untied term that hold a subject's terms: how many, and in how many of them the
-        subject is among the document's labels. Null stands for all terms."""
+        """(text, own) to the clauses of each untied term that hold a subject's terms: how many, in how many of them the subject
+        is among the document's labels, and in how many it would be by chance. Null stands for all terms."""
         seen: Counter = Counter()
         right: Counter = Counter()
+        chance: Counter = Counter()
         for b in batches:
             for text, own in zip(b["text"], b["own"].to_pylist(), strict=True):
                 for c in clauses(text.as_py() or ""):
@@ -112,8 +129,10 @@ def _count_remarks(tied: dict[str, int]):
                     about = Counter(tied[t] for t in terms if t in tied)
                     if about:
                         rest = [t for t in terms if t not in tied]
+                        subject = min(about, key=lambda s: (-about[s], s))
                         seen.update(rest)
-                        if min(about, key=lambda s: (-about[s], s)) in own:
+                        chance.update(dict.fromkeys(rest, base[subject]))
+                        if subject in own:
                             right.update(rest)
         names: list = [*seen, None]
         yield pa.RecordBatch.from_pydict(
@@ -121,6 +140,7 @@ def _count_remarks(tied: dict[str, int]):
                 "term": pa.array(names, pa.string()),
                 "n": pa.array([*seen.values(), sum(seen.values())], pa.int64()),
                 "m": pa.array([*(right[t] for t in seen), sum(right.values())], pa.int64()),
+                "e": pa.array([*(chance[t] for t in seen), sum(chance.values())], pa.float64()),
             }
         )
 
@@ -172,10 +192,8 @@ class Lexicon:
         hit = self.code[np.minimum(place, len(self.code) - 1)] == code[ok]
         where = np.flatnonzero(ok)[hit]
         ids, doc, piece = self.order[place[hit]], doc[where], piece[where]
-        once = np.unique(np.stack([piece, ids]), axis=1, return_index=True)[1] if len(ids) else np.empty(0, np.int64)
-        ids, doc, piece = ids[once], doc[once], piece[once]
-        order = np.argsort(piece, kind="stable")
-        ids, doc, piece = ids[order], doc[order], piece[order]
+        key, once = np.unique(piece * len(self.code) + ids, return_index=True)
+        ids, doc, piece = key % len(self.code), doc[once], piece[once]
         # a mark before each clause but a document's first
         new = np.flatnonzero(np.diff(piece) != 0) + 1
         new = new[doc[new] == doc[new - 1]] if len(new) else new
@@ -297,10 +315,11 @@ def _learned(sample: DataFrame, kinds: int) -> tuple[list[str], np.ndarray, np.n
     tied = {r["term"]: r["s"] for r in found}
     seed = [r["s"] for r in found]
     weight = [max(2 * r["share"] - 1, 0.05) * max(np.log(docs / r["n"]), 0.5) for r in found]
-    told = shared.stored(sample.mapInArrow(_count_remarks(tied), "term string, n bigint, m bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "remarks")
+    told = shared.stored(sample.mapInArrow(_count_remarks(tied, base), "term string, n bigint, m bigint, e double").groupBy("term").agg(*[F.sum(c).alias(c) for c in "nme"]), "remarks")
     whole = told.filter("term is null").first()
-    usual = whole["m"] / whole["n"] if whole and whole["n"] else 1.0
-    share = (F.col("m") + 2 * usual) / (F.col("n") + 2)
+    usual = (whole["m"] - whole["e"]) / (whole["n"] - whole["e"]) if whole and whole["n"] > whole["e"] else 1.0
+    # of the way from chance to always
+    share = F.greatest((F.col("m") - F.col("e") + 2 * usual) / (F.col("n") - F.col("e") + 2), F.lit(0.0))
     remarks = told.filter(F.col("term").isNotNull() & (F.col("n") >= SEEN) & (share < REMARK)).select("term", "n", share.alias("share")).orderBy("term").collect()  # terms of the sample
     seed += [kinds] * len(remarks)
     weight += [(1 - r["share"]) * max(np.log(docs / r["n"]), 0.5) for r in remarks]
