@@ -1,16 +1,19 @@
 """The most similar vectors of every vector, by counting collisions on single projections.
 
 Vectors are scaled to length one and projected onto M directions fitted on a bounded sample. Two vectors collide on a
-projection if they lie within a window of it; for a radius, the windows are as wide as the sample's similar pairs need. A
-query's window on the first projection is a slice of the array sorted by it; vectors of the slice that collide on at least
-COLLISIONS of the projections are verified by their cosine. The search begins with a small radius and widens its windows
-(virtual rehashing: nothing is indexed again) for queries that have not yet k neighbours within the radius. Queries are
-taken in small groups that lie close together on all projections; a vector outside a group's span by more than the window
-on too many projections collides often enough with none of them, and is passed over for the whole group.
-
-Distribution. The first projection (for very many vectors the first two) is cut into tiles at the sample's quantiles; a
-vector is a query in one tile and a candidate in each that its widest window meets. Exact copies are folded before and
-expanded behind the search, so that a group of copies costs one vector however large it is.
+projection if they lie within a window of it; for a radius, the windows are as wide as the sample's similar pairs need.
+Queries are taken in small groups that lie close together on all projections, and a group's window on a projection spans
+the windows of its queries: vectors that collide with it on at least COLLISIONS of the projections are verified by their
+cosine, all others are passed over. The search begins with a small radius and widens its windows (virtual rehashing:
+nothing is indexed again) for queries that have not yet k neighbours within the radius.
+
+Distribution. The sorted arrays of the projections are cut jointly into tiles of about TILE vectors, each cut at the
+median of the projection on which the sample of its part lies widest. A vector is a candidate in one tile. A query asks its
+own tile first; the similarity of the k-th it finds there is the radius with which it then asks the other tiles its
+windows on the cut projections meet. So a vector that has found its like travels little, however many tiles there are,
+and only one without any like asks widely. A task holds the candidates of one tile and one Arrow batch of the queries that
+come to it. Exact copies are folded before and expanded behind the search, so that a group of copies costs one vector however
+large it is.
 """
 
 from __future__ import annotations
@@ -19,26 +22,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom import shared
+from trackloom.arrow import grouped
 
 #: Vectors of the sample on which directions, windows and tiles are fitted.
 SAMPLE = 20_000
 #: Projections, and on how many of them two vectors must collide to be verified.
 M, COLLISIONS = 16, 13
 #: Share of similar pairs of the sample that a window must hold, and the least a window is, in standard deviations of an
-#: equal spread of the difference over all dimensions; and the same for the slice of a sorted array, which every pair must
-#: pass.
-HELD, LEAST, HELD_SLICE, LEAST_SLICE = 0.955, 2.0, 0.999, 3.0
-#: Radii tried, as parts of the one that belongs to the least cosine.
-RADII = (0.6, 1.0)
-#: Vectors of a tile's own; above FLAT vectors the second projection is cut too.
-TILE, FLAT = 40_000, 4_000_000
-#: Queries and candidates compared at a time.
-Q, P = 64, 4_096
+#: equal spread of the difference over all dimensions; and the same for the cut projections, on which every pair must
+#: collide for a query to reach a tile.
+HELD, LEAST, HELD_CUT, LEAST_CUT = 0.955, 2.0, 0.999, 3.0
+#: The first radius, as part of the one that belongs to the least cosine.
+FIRST = 0.6
+#: Vectors of a tile, and the fewest tiles.
+TILE, TILES = 20_000, 12
+#: Queries of a group.
+Q = 64
 
 
 def usable(z: Column, width: int = 64) -> Column:
@@ -54,9 +59,9 @@ def unit(flat: np.ndarray, width: int) -> np.ndarray:
 
 
 class Index:
-    """What the sample fits: directions, steps of the rounded projections, windows for each radius, cuts between tiles."""
+    """What the sample fits: directions, steps of the rounded projections, windows for a radius of 1, cuts between tiles."""
 
-    def __init__(self, sample: np.ndarray, rows: int, least_cos: float, grid: tuple[int, int] | None = None):
+    def __init__(self, sample: np.ndarray, rows: int, least_cos: float, tiles: int | None = None):
         width = sample.shape[1]
         m = min(M, width)
         values, vectors = np.linalg.eigh(np.cov(sample.T) if len(sample) > 1 else np.eye(width))
@@ -74,57 +79,90 @@ class Index:
             a, b = a[keep], b[keep]
         # without pairs to learn from, differences are taken to lie as the data do; a window never needs to pass the radius
         lie = np.sqrt(np.maximum(np.maximum(values[::-1][:m], 0) / max(values.sum(), 1e-12), 1 / width))
-        per, far = np.minimum(LEAST * lie, 1), np.minimum(LEAST_SLICE * lie, 1)
+        self.window, self.cut_window = np.minimum(LEAST * lie, 1), np.minimum(LEAST_CUT * lie, 1)
         if len(a) >= 200:
             apart = np.sqrt(np.maximum(2 - 2 * cos[a, b], 1e-12))
             ok = apart > 1e-3
             if ok.sum() >= 200:
                 part = np.abs(h[a] - h[b])[ok] / apart[ok, None]
-                per, far = np.maximum(per, np.quantile(part, HELD, axis=0)), np.maximum(far, np.quantile(part, HELD_SLICE, axis=0))
-        self.windows = [per * self.radius * r for r in RADII]
-        self.slices = [far * self.radius * r for r in RADII]
-        if grid is None:
-            tiles = max(12, -(-rows // TILE))
-            grid = (tiles, 1) if rows <= FLAT else (int(np.ceil(np.sqrt(tiles))), int(np.ceil(np.sqrt(tiles))))
-        self.cuts = [np.quantile(h[:, i], np.linspace(0, 1, n + 1)[1:-1]) if n > 1 else np.empty(0) for i, n in enumerate(grid)]
-
-    @property
-    def tiles(self) -> int:
-        return (len(self.cuts[0]) + 1) * (len(self.cuts[1]) + 1)
+                self.window = np.maximum(self.window, np.quantile(part, HELD, axis=0))
+                self.cut_window = np.maximum(self.cut_window, np.quantile(part, HELD_CUT, axis=0))
+        self.dim, self.cut, self.left, self.right, self.tile, self.tiles = [], [], [], [], [], 0
+        self._cut(h, tiles or max(TILES, -(-rows // TILE)))
+        self.dim, self.left, self.right, self.tile = (np.array(x, np.int64) for x in (self.dim, self.left, self.right, self.tile))
+        self.cut = np.array(self.cut)
+
+    def _cut(self, h: np.ndarray, n: int) -> int:
+        i = len(self.dim)
+        for part in (self.dim, self.left, self.right, self.tile):
+            part.append(-1)
+        self.cut.append(0.0)
+        if n > 1 and len(h) > 1:
+            d = int(np.argmax(h.std(0) / self.cut_window))
+            c = float(np.quantile(h[:, d], (n // 2) / n))
+            right = h[:, d] >= c
+            if right.any() and not right.all():
+                self.dim[i], self.cut[i] = d, c
+                self.left[i], self.right[i] = self._cut(h[~right], n // 2), self._cut(h[right], n - n // 2)
+                return i
+        self.tile[i], self.tiles = self.tiles, self.tiles + 1
+        return i
 
     def project(self, u: np.ndarray) -> np.ndarray:
         return u @ self.directions
 
+    def meets(self, h: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, tile) of the tiles that the windows of the cut projections meet; with a radius of 0 each row's own."""
+        row, node = np.arange(len(h)), np.zeros(len(h), np.int64)
+        rows, tiles = [], []
+        while len(row):
+            done = self.dim[node] < 0
+            rows.append(row[done])
+            tiles.append(self.tile[node[done]])
+            row, node = row[~done], node[~done]
+            d = self.dim[node]
+            off, far = h[row, d] - self.cut[node], self.cut_window[d] * radius[row]
+            to_left, to_right = (off < 0) | (off < far), (off >= 0) | (off >= -far)
+            row, node = np.concatenate([row[to_left], row[to_right]]), np.concatenate([self.left[node[to_left]], self.right[node[to_right]]])
+        return np.concatenate(rows), np.concatenate(tiles)
+
     def rounded(self, h: np.ndarray) -> np.ndarray:
         """To steps in -63..63, so that differences fit a byte; what lies beyond is taken nearer, never farther."""
         return np.clip(np.round((h - self.middle) / self.step), -63, 63).astype(np.int8)
 
+    def steps(self, radius: float) -> np.ndarray:
+        return np.minimum(np.ceil(self.window * radius / self.step), 126).astype(np.int16) + 1  # 127: any two collide
+
+
+def _raw(u: np.ndarray) -> pa.Array:
+    """float32 rows as binary values."""
+    u = np.ascontiguousarray(u, np.float32)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * u.shape[1]), len(u), [None, pa.py_buffer(u.tobytes())]).cast(pa.binary())
+
+
+def _from_raw(col: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Back from binary values, none of them null."""
+    chunks = col.chunks if isinstance(col, pa.ChunkedArray) else [col]
+    got = []
+    for c in chunks:
+        if len(c):
+            off = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+            got.append(np.frombuffer(c.buffers()[2], np.float32, (off[-1] - off[0]) // 4, int(off[0])))
+    return (np.concatenate(got) if got else np.empty(0, np.float32)).reshape(-1, width)
+
 
-def _spread(index: Index, width: int):
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, label, z) to (tile, is_query, id, label, u)."""
-        wide = index.slices[-1]
+def _placed(index: Index, width: int):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(id, label, z) to (tile, id, label, u): each vector in its tile."""
         for b in batches:
-            if not b.num_rows:
-                continue
-            u = unit(b["z"].flatten().to_numpy(zero_copy_only=False), width)
-            h = index.project(u)
-            row, tile, own = np.arange(len(u)), np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
-            for i, cuts in enumerate(index.cuts):
-                lo, hi = np.searchsorted(cuts, h[row, i] - wide[i], "right"), np.searchsorted(cuts, h[row, i] + wide[i], "right")
-                n = hi - lo + 1
-                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                tile = np.repeat(tile, n) * (len(cuts) + 1) + np.repeat(lo, n) + within
-                row = np.repeat(row, n)
-                own = own * (len(cuts) + 1) + np.searchsorted(cuts, h[:, i], "right")
-            raw = u.astype(np.float32)
-            for s in range(0, len(row), 5_000):
-                r, t = row[s : s + 5_000], tile[s : s + 5_000]
-                bytes_ = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * width), len(r), [None, pa.py_buffer(np.ascontiguousarray(raw[r]).tobytes())]).cast(pa.binary())
-                at = pa.array(r)
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(t == own[r]), b["id"].take(at), b["label"].take(at), bytes_], ["tile", "is_query", "id", "label", "u"])
-
-    return spread
+            if b.num_rows:
+                u = unit(b["z"].flatten().to_numpy(zero_copy_only=False), width)
+                row, tile = index.meets(index.project(u), np.zeros(len(u)))
+                own = np.empty(len(u), np.int64)
+                own[row] = tile
+                yield pa.RecordBatch.from_arrays([pa.array(own), b["id"], b["label"], _raw(u)], ["tile", "id", "label", "u"])
+
+    return place
 
 
 def _best(q: np.ndarray, ids: np.ndarray, cos: np.ndarray, k: int) -> np.ndarray:
@@ -142,7 +180,7 @@ def groups(h: np.ndarray, rows: np.ndarray, size: int) -> list[np.ndarray]:
         return [rows] if len(rows) else []
     x = h[rows]
     centre = x[:: max(1, size // 2)].copy()
-    for last in (False, False, False, True):
+    for last in (False, False, True):
         near, far = np.empty(len(x), np.int64), np.empty(len(x), np.float32)
         square = (centre**2).sum(1)
         for i in range(0, len(x), 4_096):
@@ -158,99 +196,127 @@ def groups(h: np.ndarray, rows: np.ndarray, size: int) -> list[np.ndarray]:
     return [rows[order[i : min(i + size, end)]] for at, end in zip(begin, np.append(begin[1:], len(x)), strict=True) for i in range(at, end, size)]
 
 
-def _collide(index: Index, width: int, k: int, least_cos: float, apart: bool):
-    def ask(level: int, open_: np.ndarray, u: np.ndarray, ids: np.ndarray, label: np.ndarray, first: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, candidate, cosine) of the best for a group of queries with the windows of a level."""
-        steps = np.minimum(np.ceil(index.windows[level] / index.step), 126).astype(np.int16) + 1  # 127: any two collide
-        lo = np.searchsorted(first, first[open_].min() - index.slices[level][0])
-        hi = np.searchsorted(first, first[open_].max() + index.slices[level][0], "right")
-        mine = np.ascontiguousarray(key[:, open_])
-        low, high = mine.min(1) - steps, mine.max(1) + steps  # int16
-        missed = np.zeros(hi - lo, np.int8)
+class _Tile:
+    """The candidates of a tile, and the search among them."""
+
+    def __init__(self, index: Index, t: pa.Table, width: int, k: int, least_cos: float, apart: bool):
+        self.index, self.k, self.least_cos, self.apart = index, k, least_cos, apart
+        self.u = _from_raw(t["u"], width)
+        self.ids, self.label = t["id"].to_numpy(), t["label"].to_numpy()
+        self.h = index.project(self.u).astype(np.float32)
+        self.key = np.ascontiguousarray(index.rounded(self.h).T)
+
+    def ask(self, u: np.ndarray, ids: np.ndarray, label: np.ndarray, key: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, candidate, cosine) of the best for a group of queries, key: projections x queries."""
+        steps = self.index.steps(radius)
+        low, high = key.min(1) - steps, key.max(1) + steps  # int16
+        missed = np.zeros(len(self.ids), np.int8)
         for i in range(key.shape[0]):
-            missed += ((key[i, lo:hi] < low[i]) | (key[i, lo:hi] > high[i])).view(np.int8)
-        near = np.flatnonzero(missed <= key.shape[0] - index.least) + lo
-        found_q, found_p, found_c = [], [], []
-        for s in range(0, len(near), P):
-            at = near[s : s + P]
-            theirs = np.ascontiguousarray(key[:, at])
-            count = np.zeros((len(open_), len(at)), np.int8)
-            gap = np.empty_like(count)
-            for i in range(key.shape[0]):
-                np.subtract(theirs[i][None, :], mine[i][:, None], out=gap)
-                np.abs(gap, out=gap)
-                count += (gap <= np.int8(steps[i])).view(np.int8)
-            hit = count >= index.least
-            if apart:
-                hit &= label[at][None, :] != label[open_][:, None]
-            n_hit = int(hit.sum())
-            if not n_hit:
-                continue
-            if n_hit > 0.05 * hit.size:  # dense: all cosines of the block at once
-                c = u[open_] @ u[at].T
-                a, b = np.nonzero(hit & (c >= least_cos - 1e-5))
-                c = c[a, b]
-            else:
-                a, b = np.nonzero(hit)
-                c = np.einsum("ij,ij->i", u[open_[a]], u[at[b]])
-                ok = c >= least_cos - 1e-5
-                a, b, c = a[ok], b[ok], c[ok]
-            b = at[b]
-            other = open_[a] != b
-            a, b, c = a[other], b[other], c[other]
-            if len(a) > 4 * len(open_) * k:  # keep what can still be among the best
-                by = np.lexsort((-c, a))
-                a, b, c = a[by], b[by], c[by]
-                begin = np.maximum.accumulate(np.where(np.concatenate([[True], a[1:] != a[:-1]]), np.arange(len(a)), 0))
-                few = np.arange(len(a)) - begin < k + 12
-                a, b, c = a[few], b[few], c[few]
-            found_q.append(a), found_p.append(b), found_c.append(c)
-        a, b, c = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((found_q, np.int64), (found_p, np.int64), (found_c, np.float32)))
-        few = _best(a, ids[b], c.astype(np.float64), k + 12)
-        a, b = a[few], b[few]
-        x, y = u[open_[a]].astype(np.float64), u[b].astype(np.float64)
+            missed += ((self.key[i] < low[i]) | (self.key[i] > high[i])).view(np.int8)
+        near = np.flatnonzero(missed <= key.shape[0] - self.index.least)
+        if not len(near):
+            return (np.empty(0, np.int64),) * 2 + (np.empty(0),)
+        c = u @ self.u[near].T
+        hit = c >= self.least_cos - 1e-5
+        hit &= ids[:, None] != self.ids[near][None, :]
+        if self.apart:
+            hit &= label[:, None] != self.label[near][None, :]
+        # with many, only what can still be among the best, to float error
+        n = hit.sum(1)
+        many = np.flatnonzero(n > 4 * self.k)
+        if len(many):
+            part = np.where(hit[many], c[many], -2)
+            hit[many] &= c[many] >= np.partition(part, -self.k, axis=1)[:, -self.k, None] - 4e-6
+        a, b = np.nonzero(hit)
+        b = near[b]
+        x, y = u[a].astype(np.float64), self.u[b].astype(np.float64)
         exact = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-        ok = exact >= least_cos - 1e-7
+        ok = exact >= self.least_cos - 1e-7
         a, b, exact = a[ok], b[ok], exact[ok]
-        few = _best(a, ids[b], exact, k)
+        few = _best(a, self.ids[b], exact, self.k)
         return a[few], b[few], exact[few]
 
-    def tile_pairs(tile: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        raw = tile["u"].combine_chunks()
-        u = np.frombuffer(b"".join(raw.to_pylist()), np.float32).reshape(-1, width)
-        ids, label, is_query = tile["id"].to_numpy(), tile["label"].to_numpy(), tile["is_query"].to_numpy(zero_copy_only=False)
-        h = index.project(u.astype(np.float64))
-        order = np.argsort(h[:, 0], kind="stable")  # the sorted array
-        u, ids, label, is_query, h = u[order], ids[order], label[order], is_query[order], h[order]
-        key, first = np.ascontiguousarray(index.rounded(h).T), h[:, 0].copy()
-        h = h.astype(np.float32)
-        left = np.flatnonzero(is_query)
-        for level in range(len(index.windows)):
-            again = []
-            for open_ in groups(h, left, Q):
-                a, b, cos = ask(level, open_, u, ids, label, first, key)
-                if level == len(index.windows) - 1:
-                    done = np.ones(len(open_), bool)
-                else:  # the k-th is within the radius that these windows serve
-                    reach = 1 - (index.radius * RADII[level]) ** 2 / 2
-                    done = np.bincount(a[cos >= reach], minlength=len(open_)) >= k
-                own = done[a]
-                yield ids[open_[a[own]]], ids[b[own]], cos[own]
-                again.append(open_[~done])
-            left = np.concatenate(again) if again else left[:0]
-
-    def collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        where = t["tile"].to_numpy()
-        for one in np.unique(where):
-            for q, n, c in tile_pairs(t.filter(pa.array(where == one))):
-                if len(q):
-                    yield pa.RecordBatch.from_pydict({"id": q, "other": n, "cos": c})
-
-    return collide
+
+def _at_home(index: Index, width: int, k: int, least_cos: float, apart: bool):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tiles to (id, other, cos) of the best found at home, and for vectors that must ask elsewhere (id, label, u, asks,
+        radius), others null."""
+        for t in grouped(batches, ["tile"]):
+            tile, own = _Tile(index, t, width, k, least_cos, apart), int(t["tile"][0].as_py())
+            left = np.arange(len(t))
+            for part in (FIRST, 1.0):
+                again = []
+                for rows in groups(tile.h, left, Q):
+                    a, b, cos = tile.ask(tile.u[rows], tile.ids[rows], tile.label[rows], tile.key[:, rows], index.radius * part)
+                    # the k-th, if it is within the radius that these windows serve
+                    reach = 1 - (index.radius * part) ** 2 / 2
+                    done = np.bincount(a[cos >= reach], minlength=len(rows)) >= k if part < 1 else np.ones(len(rows), bool)
+                    keep = done[a]
+                    if keep.any():
+                        yield _found(tile.ids[rows[a[keep]]], tile.ids[b[keep]], cos[keep])
+                    again.append(rows[~done])
+                    worst = np.full(len(rows), -2.0)
+                    full = np.bincount(a, minlength=len(rows)) >= k
+                    last = np.append(np.flatnonzero(np.diff(a)), len(a) - 1) if len(a) else a
+                    worst[a[last]] = cos[last]  # the best come in order
+                    radius = np.where(full, np.sqrt(np.maximum(2 - 2 * worst, 0)), index.radius)
+                    radius = np.minimum(radius, index.radius)[done]
+                    settled = rows[done]
+                    if not len(settled):
+                        continue
+                    r, met = index.meets(tile.h[settled], radius)
+                    r, met = r[met != own], met[met != own]
+                    if len(r):
+                        who, n = np.unique(r), np.bincount(r, minlength=len(settled))
+                        order = np.argsort(r, kind="stable")
+                        off = pa.array(np.concatenate([[0], np.cumsum(n[who])]).astype(np.int32))
+                        rows_ = settled[who]
+                        none = pa.nulls(len(who), pa.int64())
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(tile.ids[rows_]), none, pa.nulls(len(who), pa.float64()), pa.array(tile.label[rows_]), _raw(tile.u[rows_]), pa.ListArray.from_arrays(off, pa.array(met[order])), pa.array(radius[who])],
+                            ["id", "other", "cos", "label", "u", "asks", "radius"],
+                        )
+                left = np.concatenate(again) if again else left[:0]
+
+    return search
+
+
+def _found(q: np.ndarray, other: np.ndarray, cos: np.ndarray) -> pa.RecordBatch:
+    n = len(q)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(q), pa.array(other), pa.array(cos), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.float64())], ["id", "other", "cos", "label", "u", "asks", "radius"]
+    )
+
+
+def _elsewhere(index: Index, width: int, k: int, least_cos: float, apart: bool):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The candidates of a tile (radius null) and then, in order of radius, the queries that come to it, an Arrow batch at a
+        time, to (id, other, cos)."""
+        held: list[pa.Table] = []
+        tile, at = None, None
+        for b in batches:
+            for t in grouped(iter([b]), ["tile"]):
+                where = int(t["tile"][0].as_py())
+                if where != at:
+                    held, tile, at = [], None, where
+                is_query = t["radius"].is_valid()
+                own, t = t.filter(pc.invert(is_query)), t.filter(is_query)
+                if len(own):
+                    held.append(own)
+                if not len(t) or not held:
+                    continue
+                tile = tile or _Tile(index, pa.concat_tables(held), width, k, least_cos, apart)
+                u, ids, label, radius = _from_raw(t["u"], width), t["id"].to_numpy(), t["label"].to_numpy(), t["radius"].to_numpy()
+                h = index.project(u).astype(np.float32)
+                key = np.ascontiguousarray(index.rounded(h).T)
+                level = np.ceil(radius / index.radius * 8).astype(np.int64)
+                for one in np.unique(level):
+                    for rows in groups(h, np.flatnonzero(level == one), Q):
+                        q, p, cos = tile.ask(u[rows], ids[rows], label[rows], key[:, rows], float(radius[rows].max()))
+                        if len(q):
+                            yield pa.RecordBatch.from_pydict({"id": ids[rows[q]], "other": tile.ids[p], "cos": cos})
+
+    return search
 
 
 def even_keys(spark: SparkSession, n: int) -> list[int]:
@@ -260,7 +326,7 @@ def even_keys(spark: SparkSession, n: int) -> list[int]:
     return [got.get(i, i) for i in range(n)]
 
 
-def similar(vectors: DataFrame, k: int, least_cos: float, width: int = 64, apart: bool = False) -> DataFrame:
+def similar(vectors: DataFrame, k: int, least_cos: float, width: int = 64, apart: bool = False, tiles: int | None = None) -> DataFrame:
     """vectors(id bigint, label bigint, z array<float>), usable and distinct, to id, other, cos: for each its k most similar
     others with at least that cosine (ties to the smaller id); with `apart`, only others of another label.
 
@@ -268,15 +334,26 @@ def similar(vectors: DataFrame, k: int, least_cos: float, width: int = 64, apart
     """
     spark = vectors.sparkSession
     schema = "id bigint, other bigint, cos double"
-    sample = vectors.select("id", "z").orderBy(F.xxhash64("id", F.lit(7))).limit(SAMPLE).select("z").toPandas()["z"]
+    n = vectors.count()
+    h = F.xxhash64("id", F.lit(7))
+    # about twice the sample, of which it then is the smallest numbers
+    some = vectors.select("id", "z") if n <= 2 * SAMPLE else vectors.select("id", "z").filter(F.pmod(h, F.lit(1 << 20)) < int((1 << 20) * 2 * SAMPLE / n) + 1)
+    sample = some.orderBy(h).limit(SAMPLE).select("z").toArrow()["z"]
     if not len(sample):
         return spark.createDataFrame([], schema)
-    index = Index(unit(np.concatenate([np.asarray(x, np.float64) for x in sample]), width), vectors.count(), least_cos)
-    keys = even_keys(spark, index.tiles)
-    spread = vectors.select("id", "label", "z").mapInArrow(_spread(index, width), "tile bigint, is_query boolean, id bigint, label bigint, u binary")
-    to_key = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in keys]), (F.col("tile") + 1).cast("int")) if index.tiles <= 2_000 else F.col("tile")
-    placed = spread.withColumn("key", to_key).repartition(index.tiles, "key").drop("key")
-    return placed.mapInArrow(_collide(index, width, k, least_cos, apart), schema)
+    index = Index(unit(sample.combine_chunks().flatten().to_numpy(zero_copy_only=False), width), n, least_cos, tiles)
+    keys = F.array(*[F.lit(x).cast("bigint") for x in even_keys(spark, index.tiles)])
+    parts = index.tiles
+    at_tile = lambda df, *order: df.withColumn("key", F.element_at(keys, (F.col("tile") + 1).cast("int"))).repartition(parts, "key").sortWithinPartitions("tile", *order).drop("key")
+    placed = shared.stored(vectors.select("id", "label", "z").mapInArrow(_placed(index, width), "tile bigint, id bigint, label bigint, u binary"), "tiles")
+    home = at_tile(placed).mapInArrow(_at_home(index, width, k, least_cos, apart), "id bigint, other bigint, cos double, label bigint, u binary, asks array<bigint>, radius double")
+    first = shared.stored(home, "home")
+    found = first.filter("other is not null").select("id", "other", "cos")
+    asking = first.filter("other is null").select(F.explode("asks").alias("tile"), "id", "label", "u", "radius")
+    both = placed.withColumn("radius", F.lit(None).cast("double")).unionByName(asking)
+    more = at_tile(both, "radius").mapInArrow(_elsewhere(index, width, k, least_cos, apart), schema)
+    rank = Window.partitionBy("id").orderBy(F.desc(F.round("cos", 12)), "other")
+    return found.unionByName(more).withColumn("_n", F.row_number().over(rank)).filter(F.col("_n") <= k).drop("_n")
 
 
 def folded(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
