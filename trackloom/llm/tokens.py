@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
+from pyspark import Broadcast, SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,6 +128,10 @@ class Automaton:
         return cls(dict(zip(cls.FIELDS, (np.array(first, np.int32), np.array(label, np.uint8), np.array(target, np.int32), np.array(skip, np.int32), np.array(final, np.bool_), at, ids), strict=True)))
 
     def save(self, path: str) -> None:
+        with open(path, "wb") as out:
+            out.write(self.packed())
+
+    def packed(self) -> bytes:
         """A line of JSON with each array's kind, length and place, then the arrays."""
         head, at = {}, 0
         for f in self.FIELDS:
@@ -136,11 +140,8 @@ class Automaton:
             at += -(-a.nbytes // 8) * 8
         text = json.dumps(head).encode()
         text += b" " * (-(len(text) + 1) % 8) + b"\n"
-        with open(path, "wb") as out:
-            out.write(text)
-            for f in self.FIELDS:
-                raw = self.arrays[f].tobytes()
-                out.write(raw + b"\0" * (-len(raw) % 8))
+        raws = [self.arrays[f].tobytes() for f in self.FIELDS]
+        return text + b"".join(raw + b"\0" * (-len(raw) % 8) for raw in raws)
 
     @classmethod
     def open(cls, path: str) -> Automaton:
@@ -195,21 +196,18 @@ def frequent_words(texts: DataFrame, most: int = WORDS) -> DataFrame:
 _OPEN: dict[str, tuple[Automaton, dict]] = {}
 
 
-def _encoder(name: str, tokenizers: str, vocabulary: str) -> Callable[[str], list[int]]:
-    """What encodes one word, with the automaton of that file; one for each worker process."""
+def _encoder(name: str, rank: Broadcast) -> Callable[[str], list[int]]:
+    """What encodes a text, with the automaton of that file; one for each worker process."""
     if name not in _OPEN:
         _OPEN.clear()
         _OPEN[name] = (Automaton.open(SparkFiles.get(name)), {})
     automaton, memory = _OPEN[name]
-    rank: dict[bytes, int] = {}
 
     def encode(word: str) -> list[int]:
         raw = word.encode("utf-8", "surrogatepass")
         found = automaton.find(raw)
         if found is None:
-            if not rank:
-                rank.update(ranks(tokenizers, vocabulary))
-            found = merge(raw, rank)
+            found = merge(raw, rank.value)
         if len(memory) >= REMEMBERED:
             memory.clear()
         if len(raw) <= 4 * WORD_BYTES:
@@ -228,22 +226,17 @@ def _encoder(name: str, tokenizers: str, vocabulary: str) -> Callable[[str], lis
     return whole
 
 
-def lexicon(texts: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> str:
-    """Compiles the frequent words of all texts; the name under which every executor has the file."""
+def lexicon(texts: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> tuple[str, Broadcast]:
+    """Compiles the frequent words of all texts; the name under which every executor has the file, and the vocabulary's ranks
+    (a fixed table), which a worker fetches when it meets a word that is not in it."""
     spark = texts.sparkSession
     rank = ranks(tokenizers, vocabulary)
     words = [r["word"].encode() for r in frequent_words(texts).collect()]  # at most WORDS of WORD_BYTES bytes
     name = f"lexicon-{uuid.uuid4().hex[:12]}.bin"
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as folder:
-        Automaton.compile({w: merge(w, rank) for w in words}).save(f"{folder}/{name}")
-        with open(f"{folder}/{name}", "rb") as f:
-            raw = f.read()
     path = f"{shared.scratch(spark, 'lexicon')}/{name}"
-    shared.write_bytes(spark, path, raw)
+    shared.write_bytes(spark, path, Automaton.compile({w: merge(w, rank) for w in words}).packed())
     spark.sparkContext.addFile(path)
-    return name
+    return name, spark.sparkContext.broadcast(rank)
 
 
 def encoded(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -253,10 +246,10 @@ def encoded(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str
     Repeated rows come out repeated; further columns are left out.
     """
     docs = documents.select("doc_id", "text")
-    name = lexicon(docs, tokenizers, vocabulary)
+    name, rank = lexicon(docs, tokenizers, vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = _encoder(name, tokenizers, vocabulary)
+        whole = _encoder(name, rank)
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
@@ -270,10 +263,10 @@ def encoded(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str
 
 def token_counts(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """documents to their rows with n_tokens (int; 0 for a null or empty text) added."""
-    name = lexicon(documents.select("text"), tokenizers, vocabulary)
+    name, rank = lexicon(documents.select("text"), tokenizers, vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = _encoder(name, tokenizers, vocabulary)
+        whole = _encoder(name, rank)
         for b in batches:
             n = pa.array([len(whole(t)) for t in _texts(b["text"])], pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, n], [*b.schema.names, "n_tokens"])
