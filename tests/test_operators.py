@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from trackloom.functions import columns as K
 from trackloom.functions import geo
-from trackloom.operators import classify, cluster, graph, hourly, models, nearest, simulate, statistics, stitch, textprep, timeseries
+from trackloom.operators import agents, classify, cluster, graph, hourly, models, nearest, statistics, stitch, textprep, timeseries
 from trackloom.operators import composition as C
 from trackloom.sources import io
 
@@ -219,14 +219,14 @@ def test_rules(spark):
 
 def test_draws(spark):
     people = spark.range(1000).select(F.col("id").alias("person_id"))
-    homes = simulate.homes(people, spark.createDataFrame([("a", 300), ("b", 700), ("z", 0)], "county string, population bigint"), spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "place int, county string"))
+    homes = agents.homes(people, spark.createDataFrame([("a", 300), ("b", 700), ("z", 0)], "county string, population bigint"), spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "place int, county string"))
     n = {r["county"]: r["count"] for r in homes.groupBy("county").count().collect()}
     assert sum(n.values()) == 1000 and 240 < n["a"] < 360
-    c = {r["cohort"]: r["count"] for r in simulate.cohorts(people, ["x", "y", "z"]).groupBy("cohort").count().collect()}
+    c = {r["cohort"]: r["count"] for r in agents.cohorts(people, ["x", "y", "z"]).groupBy("cohort").count().collect()}
     assert sorted(c.values()) == [333, 333, 334]
     p = spark.createDataFrame([("near", "food", "a", -80.0, 26.0), ("far", "food", "a", -80.0, 27.0)], "place string, category string, county string, lon double, lat double")
     who = people.withColumns({"lon": F.lit(-80.0), "lat": F.lit(26.0), "home_county": F.lit("a")})
-    day = simulate.day_plans(who, p, ["food", "none", "home"])
+    day = agents.day_plans(who, p, ["food", "none", "home"])
     near = day.filter("step = 1 and place = 'near'").count()
     assert near > 980 and day.filter("step = 2 and place = 'near'").count() == near and day.filter("step = 3 and place = 'home'").count() == 1000
 

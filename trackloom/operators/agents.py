@@ -1,4 +1,4 @@
-"""Draws that depend on keys, not on order: homes by population, cohorts, weighted choice of the next place, day plans."""
+"""People drawn by keys, not by order: homes by population, cohorts, weighted choice of the next place, day plans."""
 
 from __future__ import annotations
 

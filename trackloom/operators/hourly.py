@@ -27,7 +27,7 @@ DWELL = [
     (r"restaurant|eating place|cafe|diner", 2700.0, 5400.0),
     (r"", 600.0, 3600.0),
 ]
-HOME = r"real estate|home|residence"
+HOME = r"home|residential|apartment|house"
 
 
 def dwell_seconds(poi_text: Column, hour: Column, is_home: Column, u: Column) -> Column:

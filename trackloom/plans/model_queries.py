@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import geo
-from trackloom.operators import classify, cluster, graph, hourly, models, nearest, proximity, simulate, stitch, textprep
+from trackloom.operators import agents, classify, cluster, graph, hourly, models, nearest, proximity, stitch, textprep
 from trackloom.operators import statistics as S
 from trackloom.plans.registry import query, read
 from trackloom.plans.views import METRES, PLACES, TRIPS, places, trips
@@ -164,7 +164,7 @@ def _people(s: SparkSession, d: str) -> DataFrame:
 @query("select count(*) as people, true as even from customer")
 def cohort_split(s: SparkSession, d: str) -> DataFrame:
     """Customers in three cohorts as even as can be."""
-    c = simulate.cohorts(_people(s, d), ["sip_home_grocery", "sip_hospital", "evac_out_of_zone"]).groupBy("cohort").count()
+    c = agents.cohorts(_people(s, d), ["sip_home_grocery", "sip_hospital", "evac_out_of_zone"]).groupBy("cohort").count()
     return c.agg(F.sum("count").alias("people"), (F.max("count") - F.min("count") <= 1).alias("even"))
 
 
@@ -173,7 +173,7 @@ def homes_by_population(s: SparkSession, d: str) -> DataFrame:
     n = read(s, d, "nation").select(F.col("n_name").alias("county"), F.col("n_nationkey"))
     pop = read(s, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("population")).join(n, "n_nationkey").select("county", "population")
     h = read(s, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("place"), "county")
-    return simulate.homes(_people(s, d), pop, h)
+    return agents.homes(_people(s, d), pop, h)
 
 
 @query()
@@ -182,7 +182,7 @@ def simulate_agents(s: SparkSession, d: str) -> DataFrame:
     first = trips(s, d).groupBy("person_id").agg(F.min_by(F.struct("lon0", "lat0"), F.struct("start_s", "end_s", "trip_id")).alias("h"))
     people = first.select("person_id", F.col("h.lon0").alias("lon"), F.col("h.lat0").alias("lat"), F.floor("h.lon0").cast("string").alias("home_county"))
     p = places(s, d).select(F.col("PLACEKEY").alias("place"), F.trim("top").alias("category"), F.floor("lon").cast("string").alias("county"), "lon", "lat")
-    return simulate.day_plans(people, p, ["Grocery", "Eating Out", "home"])
+    return agents.day_plans(people, p, ["Grocery", "Eating Out", "home"])
 
 
 # clusters and models over the embeddings

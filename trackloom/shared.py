@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder of our own only where it is unset (tests, local mode)."""
+    """The session's spark.checkpoint.dir; a temporary folder of our own only where it is unset in local mode. On a cluster a
+    folder of one machine would lose rows, so that it must be set there."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = held.get() if held.isDefined() else None
     if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="trackloom-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
