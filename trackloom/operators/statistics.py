@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trackloom import shared
 from trackloom.functions.columns import mixer
 from trackloom.operators import composition as C
 
@@ -41,16 +42,104 @@ def composition_statistic(at: DataFrame, poi_counts: DataFrame, baseline: DataFr
     return full.withColumn("d", d).groupBy(*by, "cluster", C.CAT).agg(F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("l2"), F.max(F.abs("d")).alias("maxabs"))
 
 
+def _deal(draw_of: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Labels in the order of keys, dealt anew: the row of the i-th key takes the label of the row of the i-th draw."""
+    return label[np.argsort(draw_of, kind="stable")]
+
+
+def mixed_numbers(x: np.ndarray, seed: int = 1) -> np.ndarray:
+    """`mixer` over arrays of bigints."""
+    p = 2147483647
+    return (x % p * 48271 + seed * 12345 + 1) % p * 16807 % p
+
+
+def _permuted_sums(visits: DataFrame, labels: DataFrame, poi_counts: DataFrame, permutations: int, min_hex: int, seed: int, pairs: bool) -> DataFrame:
+    """For the labels as they are (b = 0) and dealt anew within each hour: b, cluster (or a and b_cluster), cat_name, with the
+    number of valid hours n, the sum of squared deviations s and the largest m, in points; deviations of a cluster's shares
+    from the baseline, or of two clusters' from each other in hours valid for both.
+
+    An hour's rows and the places of its cells go to one task once, and all draws are made there: what is shuffled is an
+    hour's rows, and one array of sums for each draw and cluster from each task, whatever the number of draws.
+    """
+    import pyarrow as pa
+
+    from trackloom.arrow import grouped
+
+    spark = visits.sparkSession
+    first = visits.filter("pt_idx is not null and hex_id is not null").groupBy("traj_id", C.TIME).agg(F.min("hex_id").alias("hex_id"))
+    kinds = dict(poi_counts.dtypes) | dict(labels.dtypes)
+    cats = [r[0] for r in poi_counts.select(C.CAT).distinct().orderBy(C.CAT).collect()]  # a dimension of the model
+    names = [r[0] for r in labels.filter("cluster is not null").select("cluster").distinct().orderBy("cluster").collect()]  # one row a cluster
+    unit = "a {k}, b_cluster {k}".format(k=kinds["cluster"]) if pairs else f"cluster {kinds['cluster']}"
+    schema = f"b int, {unit}, cat_name {kinds[C.CAT]}, n bigint, s double, m double"
+    if not cats or not names:
+        return spark.createDataFrame([], schema)
+    code = lambda values, col: F.array_position(F.array(*[F.lit(v) for v in values]), F.col(col)).cast("int") - 1
+    rows = first.join(labels.filter("cluster is not null"), "traj_id").select(C.TIME, F.col("traj_id").cast("bigint").alias("traj"), F.xxhash64("hex_id").alias("hex"), code(names, "cluster").alias("code"), F.lit(None).cast("double").alias("n"))
+    active = first.select(C.TIME, "hex_id").distinct()
+    every = visits.filter("pt_idx is not null and hex_id is not null").select(C.TIME, "hex_id").distinct()
+    mark = every.join(active.withColumn("own", F.lit(True)), [C.TIME, "hex_id"], "left").join(poi_counts, "hex_id")
+    # places of the hour's cells: for the baseline all visited, for the clusters those that are somebody's first
+    held = mark.select(C.TIME, F.when(F.col("own"), F.lit(-1)).otherwise(F.lit(-2)).cast("bigint").alias("traj"), F.xxhash64("hex_id").alias("hex"), code(cats, C.CAT).alias("code"), F.col("cat_count").cast("double").alias("n"))
+    k, width = len(names), len(cats)
+    one, two = np.triu_indices(k, 1) if pairs else (np.arange(k), None)
+    chunk = max(1, 2_000_000 // max(1, len(one) * width))
+
+    def draw(batches):
+        hours = []
+        for t in grouped(batches, [C.TIME]):
+            hour = int(t[C.TIME][0].as_py())
+            n = t["n"].to_numpy()
+            is_place = ~np.isnan(n)
+            traj, hex_, code_ = (t[c].to_numpy() for c in ("traj", "hex", "code"))
+            cells, at = np.unique(hex_, return_inverse=True)
+            whole = np.bincount(code_[is_place], n[is_place], width)
+            if not whole.sum():
+                continue
+            counts = np.zeros((len(cells), width))
+            np.add.at(counts, (at[is_place], code_[is_place]), n[is_place])
+            order = np.argsort(traj[~is_place], kind="stable")
+            cell, label, key = at[~is_place][order], code_[~is_place][order], traj[~is_place][order]
+            known = counts.any(1)
+            hours.append((hour, whole / whole.sum(), whole > 0, counts, known, cell, label, key))
+        for begin in range(0, permutations + 1, chunk):
+            some = range(begin, min(begin + chunk, permutations + 1))
+            total, square, most = np.zeros((len(some), len(one), width), np.int64), np.zeros((len(some), len(one), width)), np.zeros((len(some), len(one), width))
+            for hour, base, in_base, counts, known, cell, label, key in hours:
+                for i, b in enumerate(some):
+                    own = label if b == 0 else _deal(mixed_numbers(key * 7919 + hour * 104_729 + b * 15_485_863, seed), label)
+                    there = np.zeros((k, len(known)), bool)
+                    there[own, cell] = True
+                    there &= known
+                    valid = there.sum(1) >= min_hex
+                    n = there @ counts
+                    share = n / np.maximum(n.sum(1, keepdims=True), 1e-300)
+                    d = 100 * (share[one] - (base if two is None else share[two]))
+                    ok = (valid if two is None else valid[one] & valid[two])[:, None] & (in_base if two is None else np.ones(width, bool))
+                    d = np.where(ok, d, 0)
+                    total[i] += ok
+                    square[i] += d * d
+                    np.maximum(most[i], np.abs(d), out=most[i])
+            i, u = np.nonzero(total.any(2))
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, len(i) * width + 1, width, dtype=np.int32)), pa.array(x[i, u].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array((i + begin).astype(np.int32)), pa.array(u.astype(np.int32)), lists(total), lists(square), lists(most)], ["b", "u", "n", "s", "m"])
+
+    cols = [C.TIME, "traj", "hex", "code", "n"]
+    part = rows.select(cols).unionByName(held.select(cols)).withColumn(C.TIME, F.col(C.TIME).cast("bigint")).repartition(C.TIME).sortWithinPartitions(C.TIME)
+    sums = part.mapInArrow(draw, "b int, u int, n array<bigint>, s array<double>, m array<double>")
+    flat = sums.select("b", "u", F.posexplode(F.arrays_zip("n", "s", "m")).alias("c", "x")).groupBy("b", "u", "c").agg(F.sum("x.n").alias("n"), F.sum("x.s").alias("s"), F.max("x.m").alias("m")).filter("n > 0")
+    named = lambda values, col: F.get(F.array(*[F.lit(v) for v in values]), F.col(col))
+    where = {"a": named([names[x] for x in one], "u"), "b_cluster": named([names[x] for x in two], "u")} if pairs else {"cluster": named(names, "u")}
+    return flat.select("b", *[c.cast(kinds["cluster"]).alias(name) for name, c in where.items()], named(cats, "c").alias(C.CAT), "n", "s", "m")
+
+
 def permutation_test(visits: DataFrame, labels: DataFrame, poi_counts: DataFrame, permutations: int, stat: str = "l2", min_hex: int = 1, seed: int = 1) -> DataFrame:
     """cluster, cat_name, observed, exceed, p: how often the statistic of permuted labels reaches the observed one, plus one
     over permutations plus one. A permutation in which a cluster has no valid hour counts as minus infinity."""
-    baseline = C.global_baseline(visits, poi_counts)
-    first = visits.filter("pt_idx is not null and hex_id is not null").groupBy("traj_id", C.TIME).agg(F.min("hex_id").alias("hex_id"))
-    rows = first.join(labels.filter("cluster is not null"), "traj_id")
-    observed = composition_statistic(rows, poi_counts, baseline, [], min_hex).select("cluster", C.CAT, F.col(stat).alias("observed"))
-    null = permuted_within_time(rows, permutations, seed).join(first, ["traj_id", C.TIME])
-    drawn = composition_statistic(null, poi_counts, baseline, ["b"], min_hex).select("cluster", C.CAT, F.col(stat).alias("t"))
-    ge = observed.join(drawn, ["cluster", C.CAT], "left").groupBy("cluster", C.CAT).agg(F.first("observed").alias("observed"), F.sum((F.round("t", 9) >= F.round("observed", 9)).cast("int")).alias("exceed"))
+    t = (F.sqrt(F.col("s") / F.col("n")) if stat == "l2" else F.col("m")).alias("t")
+    drawn = shared.stored(_permuted_sums(visits, labels, poi_counts, permutations, min_hex, seed, False).select("b", "cluster", C.CAT, t), "drawn")
+    observed = drawn.filter("b = 0").select("cluster", C.CAT, F.col("t").alias("observed"))
+    ge = observed.join(drawn.filter("b > 0"), ["cluster", C.CAT], "left").groupBy("cluster", C.CAT).agg(F.first("observed").alias("observed"), F.sum((F.round("t", 9) >= F.round("observed", 9)).cast("int")).alias("exceed"))
     exceed = F.coalesce("exceed", F.lit(0))
     return ge.select("cluster", C.CAT, "observed", exceed.alias("exceed"), ((exceed + 1) / (permutations + 1)).alias("p"))
 
@@ -217,15 +306,6 @@ def bootstrap(rows: DataFrame, draws: int, seed: int, *sums: Column) -> DataFram
     return every.groupBy("b").agg(*[F.sum(F.col("w") * s).alias(f"s{i}") for i, s in enumerate(sums)])
 
 
-def _drawn(visits: DataFrame, labels: DataFrame, permutations: int, seed: int) -> DataFrame:
-    """b, cluster, pt_idx, hex_id: the observed labels as draw 0, and the permuted ones."""
-    first = visits.filter("pt_idx is not null and hex_id is not null").groupBy("traj_id", C.TIME).agg(F.min("hex_id").alias("hex_id"))
-    rows = first.join(labels.filter("cluster is not null"), "traj_id")
-    null = permuted_within_time(rows, permutations, seed).join(first, ["traj_id", C.TIME])
-    cols = ["b", "cluster", C.TIME, "hex_id"]
-    return rows.withColumn("b", F.lit(0)).select(cols).unionByName(null.select(cols))
-
-
 def _p_values(drawn: DataFrame, keys: list[str], permutations: int) -> DataFrame:
     """drawn(b, keys, t) to keys, observed, p."""
     own = drawn.filter("b = 0").select(*keys, F.col("t").alias("observed"))
@@ -236,24 +316,15 @@ def _p_values(drawn: DataFrame, keys: list[str], permutations: int) -> DataFrame
 def omnibus_test(visits: DataFrame, labels: DataFrame, poi_counts: DataFrame, permutations: int, min_hex: int = 1, seed: int = 1) -> DataFrame:
     """cluster, observed, p: one test a cluster, the root of the mean over hours and categories of the squared points by
     which its shares leave the baseline."""
-    baseline = C.global_baseline(visits, poi_counts)
-    per = composition_statistic(_drawn(visits, labels, permutations, seed), poi_counts, baseline, ["b"], min_hex)
-    pooled = per.groupBy("b", "cluster").agg(F.sqrt(F.avg(F.col("l2") * F.col("l2"))).alias("t"))
+    per = _permuted_sums(visits, labels, poi_counts, permutations, min_hex, seed, False)
+    pooled = shared.stored(per.groupBy("b", "cluster").agg(F.sqrt(F.avg(F.col("s") / F.col("n"))).alias("t")), "pooled")
     return _p_values(pooled, ["cluster"], permutations)
 
 
 def pairwise_contrasts(visits: DataFrame, labels: DataFrame, poi_counts: DataFrame, permutations: int, per_category: bool = False, min_hex: int = 1, seed: int = 1) -> DataFrame:
     """a, b_cluster[, cat_name], observed, p, q: for each two clusters, the root of the mean over the hours valid for both
     (and categories) of the squared difference of their shares in points; q over all tests."""
-    keys = ["b", "cluster", C.TIME]
-    cells = _drawn(visits, labels, permutations, seed).select(*keys, "hex_id").distinct().join(poi_counts.select("hex_id").distinct(), "hex_id", "left_semi")
-    valid = cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_hex).drop("n")
-    share = C.shares(cells.join(poi_counts, "hex_id").groupBy(*keys, C.CAT).agg(F.sum("cat_count").alias("n")), keys).select(*keys, C.CAT, "share")
-    cats = poi_counts.select(C.CAT).distinct()
-    full = valid.join(F.broadcast(cats.agg(F.collect_set(C.CAT).alias("cats")))).select(*keys, F.explode("cats").alias(C.CAT)).join(share, [*keys, C.CAT], "left").fillna(0, ["share"])
-    one = full.withColumnsRenamed({"cluster": "a", "share": "sa"})
-    two = full.withColumnsRenamed({"cluster": "b_cluster", "share": "sb"})
-    d = 100 * (F.col("sa") - F.col("sb"))
     by = ["a", "b_cluster", *([C.CAT] if per_category else [])]
-    t = one.join(two, ["b", C.TIME, C.CAT]).filter("a < b_cluster").groupBy("b", *by).agg(F.sqrt(F.avg(d * d)).alias("t"))
+    per = _permuted_sums(visits, labels, poi_counts, permutations, min_hex, seed, True)
+    t = shared.stored(per.groupBy("b", *by).agg(F.sqrt(F.sum("s") / F.sum("n")).alias("t")), "contrasts")
     return benjamini_hochberg(_p_values(t, by, permutations).withColumn("_k", F.struct(*by)), tie="_k").drop("_k")

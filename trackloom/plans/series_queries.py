@@ -88,14 +88,19 @@ def _mix(x: str) -> str:
     return f"((({x}) % 2147483647 * 48271 + 12346) % 2147483647 * 16807 % 2147483647)"
 
 
-_PERM = f"""{BASE}, fv as (select traj_id, pt_idx, min(hex_id) as hex_id from visits group by all),
+#: Permutations of the registered tests: p can be as small as 1/200.
+PERMUTATIONS = 199
+
+
+def _perm(n: int) -> str:
+    return f"""{BASE}, fv as (select traj_id, pt_idx, min(hex_id) as hex_id from visits group by all),
 obs0 as (select 0 as b, cluster, pt_idx, hex_id from fv join labels using (traj_id)),
-dr as (select b, traj_id, pt_idx, cluster, {_mix('traj_id * 7919 + pt_idx * 104729 + b * 15485863')} as draw from fv join labels using (traj_id), (select unnest(range(1, 6)) as b)),
+dr as (select b, traj_id, pt_idx, cluster, {_mix('traj_id * 7919 + pt_idx * 104729 + b * 15485863')} as draw from fv join labels using (traj_id), (select unnest(range(1, {n + 1})) as b)),
 rk as (select *, row_number() over (partition by b, pt_idx order by traj_id) as i, row_number() over (partition by b, pt_idx order by draw, traj_id) as j from dr),
 pm as (select a.b, a.traj_id, a.pt_idx, c.cluster from rk a join rk c on a.b = c.b and a.pt_idx = c.pt_idx and a.i = c.j)"""
 
 
-@query(f"with {_PERM} select b::int as b, traj_id, pt_idx, cluster from pm")
+@query(f"with {_perm(5)} select b::int as b, traj_id, pt_idx, cluster from pm")
 def permute_within_time(s: SparkSession, d: str) -> DataFrame:
     v = visits(s, d).groupBy("traj_id", "pt_idx").agg(F.min("hex_id").alias("hex_id"))
     return S.permuted_within_time(v.join(labels(s, d), "traj_id"), 5)
@@ -108,10 +113,13 @@ _STAT = """{p}c as (select distinct {b}, cluster, pt_idx, hex_id from {src} wher
 {p}t as (select {p}v.{b}, {p}v.cluster, base.cat_name, round(sqrt(avg(pow(100 * (coalesce({p}s.share, 0) - base.share), 2))), 9) as t from {p}v join base using (pt_idx) left join {p}s on {p}s.{b} = {p}v.{b} and {p}s.cluster = {p}v.cluster and {p}s.pt_idx = {p}v.pt_idx and {p}s.cat_name = base.cat_name group by all)"""
 
 
-@query(f"""with {_PERM}, ph as (select b, cluster, pt_idx, hex_id from pm join fv using (traj_id, pt_idx)), {_STAT.format(p='ob', b='b', src='obs0')}, {_STAT.format(p='q', b='b', src='ph')}
-select o.cluster, o.cat_name, round(any_value(o.t), {R}) as observed, coalesce(sum((q.t >= o.t)::int), 0)::int as exceed, round((coalesce(sum((q.t >= o.t)::int), 0) + 1) / 6.0, {R}) as p from obt o left join qt q using (cluster, cat_name) group by 1, 2""")
+_DRAWN = f"{_perm(PERMUTATIONS)}, ph as (select b, cluster, pt_idx, hex_id from obs0 union all select b, cluster, pt_idx, hex_id from pm join fv using (traj_id, pt_idx)), {_STAT.format(p='q', b='b', src='ph')}"
+
+
+@query(f"""with {_DRAWN}, o as (select * from qt where b = 0), r as (select * from qt where b > 0)
+select o.cluster, o.cat_name, round(any_value(o.t), {R}) as observed, coalesce(sum((r.t >= o.t)::int), 0)::int as exceed, round((coalesce(sum((r.t >= o.t)::int), 0) + 1) / {PERMUTATIONS + 1}.0, {R}) as p from o left join r using (cluster, cat_name) group by 1, 2""")
 def perm_test_composition(s: SparkSession, d: str) -> DataFrame:
-    t = S.permutation_test(visits(s, d), labels(s, d), poi_counts(s, d), 5, min_hex=2)
+    t = S.permutation_test(visits(s, d), labels(s, d), poi_counts(s, d), PERMUTATIONS, min_hex=2)
     return _r(t, "observed", "p").withColumn("exceed", F.col("exceed").cast("int"))
 
 
@@ -182,11 +190,17 @@ def bootstrap_mean_ci(s: SparkSession, d: str) -> DataFrame:
     return b.select((F.col("s0") / F.col("s1")).alias("mean")).agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("ci")).select(F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"))
 
 
-@query()
+@query(f"""with {_DRAWN}, t as (select b, cluster, round(sqrt(avg(t * t)), 8) as t from qt group by all), o as (select * from t where b = 0), r as (select * from t where b > 0)
+select o.cluster, round(any_value(o.t), {R}) as observed, round((coalesce(sum((r.t >= o.t)::int), 0) + 1) / {PERMUTATIONS + 1}.0, {R}) as p from o left join r using (cluster) group by 1""")
 def omnibus_composition(s: SparkSession, d: str) -> DataFrame:
-    return S.omnibus_test(visits(s, d), labels(s, d), poi_counts(s, d), 9, 2)
+    return _r(S.omnibus_test(visits(s, d), labels(s, d), poi_counts(s, d), PERMUTATIONS, 2), "observed", "p")
 
 
-@query()
+@query(f"""with {_DRAWN}, cats as (select distinct cat_name from poi_counts), full_ as (select qv.b, qv.cluster, qv.pt_idx, cats.cat_name, coalesce(qs.share, 0) as share from qv cross join cats left join qs on qs.b = qv.b and qs.cluster = qv.cluster and qs.pt_idx = qv.pt_idx and qs.cat_name = cats.cat_name),
+t as (select x.b, x.cluster as a, y.cluster as b_cluster, round(sqrt(avg(pow(100 * (x.share - y.share), 2))), 9) as t from full_ x join full_ y on x.b = y.b and x.pt_idx = y.pt_idx and x.cat_name = y.cat_name and x.cluster < y.cluster group by all),
+o as (select * from t where b = 0), r as (select * from t where b > 0),
+p as (select o.a, o.b_cluster, any_value(o.t) as observed, (coalesce(sum((r.t >= o.t)::int), 0) + 1) / {PERMUTATIONS + 1}.0 as p from o left join r using (a, b_cluster) group by 1, 2),
+k as (select *, row_number() over (order by p, a, b_cluster) as i, count(*) over () as m from p)
+select a, b_cluster, round(observed, {R}) as observed, round(p, {R}) as p, round(least(1, min(p * m / i) over (order by i rows between current row and unbounded following)), {R}) as q from k""")
 def contrasts_composition(s: SparkSession, d: str) -> DataFrame:
-    return S.pairwise_contrasts(visits(s, d), labels(s, d), poi_counts(s, d), 9, min_hex=2)
+    return _r(S.pairwise_contrasts(visits(s, d), labels(s, d), poi_counts(s, d), PERMUTATIONS, min_hex=2), "observed", "p", "q")
