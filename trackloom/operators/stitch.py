@@ -13,6 +13,34 @@ from trackloom.functions import geo
 JOIN_M, JOIN_S, HARD_S = 100.0, 4 * 3600, 8 * 3600
 
 
+#: Seconds of a chunk of a person's time, and segments of a chunk of their segments.
+CHUNK_S, CHUNK_SEGMENTS = 30 * 86_400, 4_096
+
+
+def beside(df: DataFrame, by: str, at: Column, order: list[str], value: Column, name: str, ahead: bool = False) -> DataFrame:
+    """Adds the value of the row before (or ahead) in the order of its key. `at` numbers chunks of a key along that order: the
+    rows of a chunk are one window, and what lies over its border comes from a table with one row a chunk, so that a key
+    with a third of all rows is many tasks."""
+    step, edge = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
+    chunked = df.withColumn("_chunk", at).withColumn("_value", value)
+    w = Window.partitionBy(by, "_chunk").orderBy(*order)
+    ends = chunked.groupBy(by, "_chunk").agg(edge("_value", F.struct(*order)).alias("_end"))
+    near = ends.select(by, "_chunk", step("_end").over(Window.partitionBy(by).orderBy("_chunk")).alias("_border"))
+    inner = chunked.withColumn("_near", step("_value").over(w))
+    return inner.join(near, [by, "_chunk"], "left").withColumn(name, F.coalesce("_near", "_border")).drop("_chunk", "_value", "_near", "_border")
+
+
+def running_sum(df: DataFrame, by: str, at: Column, order: list[str], value: Column, name: str) -> DataFrame:
+    """Adds the sum of the values up to the row, by chunks as in `beside`."""
+    chunked = df.withColumn("_chunk", at).withColumn("_value", value)
+    w = Window.partitionBy(by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = chunked.groupBy(by, "_chunk").agg(F.sum("_value").alias("_sum"))
+    before = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(by, "_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inner = chunked.withColumn("_own", F.sum("_value").over(w))
+    return inner.join(base, [by, "_chunk"], "left").withColumn(name, F.col("_base") + F.col("_own")).drop("_chunk", "_value", "_own", "_base")
+
+
 def tagged(trips: DataFrame, metres: Callable[..., Column] = geo.geodesic, join_m: float = JOIN_M, join_s: int = JOIN_S, hard_s: int = HARD_S) -> DataFrame:
     """trips(person_id, trip_id, start_s, end_s, lon0, lat0, lon1, lat1) with gap_s and dist_m from the trip before, its
     seg_id (from 0, without holes) and the tag of what separates it from the one before: `continue` within join_s and join_m
@@ -20,14 +48,15 @@ def tagged(trips: DataFrame, metres: Callable[..., Column] = geo.geodesic, join_
 
     Order within a person: start, end, trip_id.
     """
-    w = Window.partitionBy("person_id").orderBy("start_s", "end_s", "trip_id")
-    before = trips.select("*", F.lag("end_s").over(w).alias("prev_end"), F.lag("lon1").over(w).alias("prev_lon"), F.lag("lat1").over(w).alias("prev_lat"))
+    order, month = ["start_s", "end_s", "trip_id"], F.floor(F.col("start_s") / CHUNK_S)
+    before = beside(trips, "person_id", month, order, F.struct("end_s", "lon1", "lat1"), "_before")
+    before = before.withColumns({"prev_end": F.col("_before.end_s"), "prev_lon": F.col("_before.lon1"), "prev_lat": F.col("_before.lat1")}).drop("_before")
     gap = F.col("start_s") - F.col("prev_end")
     t = before.withColumn("gap_s", gap).withColumn("dist_m", F.when(F.col("prev_end").isNotNull(), metres(F.col("prev_lat"), F.col("prev_lon"), F.col("lat0"), F.col("lon0"))))
     near = F.col("dist_m") <= join_m
     tag = F.when(F.col("gap_s").isNull(), None).when((F.col("gap_s") <= join_s) & near, "continue").when((F.col("gap_s") <= hard_s) & near, "soft_break").otherwise("hard_break")
     t = t.withColumn("tag", tag)
-    return t.withColumn("seg_id", F.sum((F.coalesce(F.col("tag") != "continue", F.lit(False))).cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return running_sum(t, "person_id", month, order, F.coalesce(F.col("tag") != "continue", F.lit(False)).cast("bigint"), "seg_id")
 
 
 def segments(stitched: DataFrame) -> DataFrame:
@@ -45,8 +74,9 @@ def segments(stitched: DataFrame) -> DataFrame:
         zero(F.sum(linked)).alias("total_gap_h"),
         F.min_by("tag", F.struct("start_s", "end_s", "trip_id")).alias("_opened"),
     )
-    w = Window.partitionBy("person_id").orderBy("seg_id")
-    return s.withColumn("ended_by", F.coalesce(F.lead("_opened").over(w), F.lit("final"))).drop("_opened")
+    opened = F.struct(F.col("_opened").alias("tag"))  # never null itself
+    s = beside(s, "person_id", F.floor(F.col("seg_id") / CHUNK_SEGMENTS), ["seg_id"], opened, "_next", ahead=True)
+    return s.withColumn("ended_by", F.coalesce("_next.tag", F.lit("final"))).drop("_opened", "_next")
 
 
 def segment_lines(stitched: DataFrame) -> DataFrame:
@@ -75,7 +105,8 @@ def links(stitched: DataFrame) -> DataFrame:
     )
 
 
-def legs(steps: DataFrame, key: str = "person_id", order: str = "step_order", carried: tuple[str, ...] = ("poi", "lon", "lat")) -> DataFrame:
-    """Each step with the next of its person as next_...; a person's last step has none and is left out."""
-    w = Window.partitionBy(key).orderBy(order)
-    return steps.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in (*carried, order)]).filter(F.col(f"next_{order}").isNotNull())
+def legs(steps: DataFrame, key: str = "person_id", order: str = "step_order", carried: tuple[str, ...] = ("poi", "lon", "lat"), at: Column | None = None) -> DataFrame:
+    """Each step with the next of its person as next_...; a person's last step has none and is left out. `at` numbers the
+    chunks of a person that are one window; without it the order is a number and CHUNK_SEGMENTS of it are one."""
+    here = beside(steps, key, F.floor(F.col(order) / CHUNK_SEGMENTS) if at is None else at, [order], F.struct(*carried, order), "_next", ahead=True)
+    return here.withColumns({f"next_{c}": F.col(f"_next.{c}") for c in (*carried, order)}).drop("_next").filter(F.col(f"next_{order}").isNotNull())

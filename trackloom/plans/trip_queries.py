@@ -132,7 +132,7 @@ def union_endpoints(s: SparkSession, d: str) -> DataFrame:
 @query(f"with {TRIPS}, n as (select *, lead(trip_id) over w as next_trip, lead(start_s) over w as next_start_s from own window w as (partition by person_id order by start_s, end_s, trip_id)) select person_id, trip_id, next_trip, next_start_s from n where next_trip is not null")
 def lead_legs(s: SparkSession, d: str) -> DataFrame:
     t = trips(s, d).withColumn("step_order", F.struct("start_s", "end_s", "trip_id"))
-    return stitch.legs(t, carried=("trip_id", "start_s")).select("person_id", "trip_id", F.col("next_trip_id").alias("next_trip"), "next_start_s")
+    return stitch.legs(t, carried=("trip_id", "start_s"), at=F.floor(F.col("start_s") / stitch.CHUNK_S)).select("person_id", "trip_id", F.col("next_trip_id").alias("next_trip"), "next_start_s")
 
 
 @query(f"with {TRIPS}, m as (select *, lon0 = lon1 and lat0 = lat1 as zero from own) select zero, count(*) as trips from m group by 1")
