@@ -16,14 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom import shared
 from trackloom.arrow import grouped, ordinals
 from trackloom.functions import geo
-from trackloom.operators.proximity import placed
+from trackloom.operators.proximity import containing_region, placed, region_borders
 
 #: Places of a leaf, positions of the sample that fits the tree, points of a leaf that go to one task.
 LEAF, SAMPLE, SALT = 1_500, 200_000, 50_000
@@ -236,6 +236,62 @@ def k_nearest(points: DataFrame, places: DataFrame, k: int, leaf: int = LEAF, sa
     return final.select("point", F.posexplode("found").alias("i", "x")).select("point", "x.place", "x.dist_m", (F.col("i") + 1).alias("rank"))
 
 
-def nearest_region(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """points and centres(region, lon, lat) to point, region, dist_m: the nearest centre, one a point, ties by the region."""
-    return k_nearest(points, centres.withColumnRenamed("region", "place"), 1).select("point", F.col("place").alias("region"), "dist_m")
+#: Metres of the pieces into which segments are cut.
+PIECE_M = 500.0
+
+
+def _vector(lon: Column, lat: Column) -> list[Column]:
+    a, b = F.radians(lon), F.radians(lat)
+    return [F.cos(b) * F.cos(a), F.cos(b) * F.sin(a), F.sin(b)]
+
+
+def _to_piece(p: list[Column], a: list[Column], b: list[Column]) -> Column:
+    """Metres from a point in space to a short segment, along the sphere."""
+    ab, ap = [y - x for x, y in zip(a, b, strict=True)], [y - x for x, y in zip(a, p, strict=True)]
+    square = sum((x * x for x in ab[1:]), ab[0] * ab[0])
+    dot = sum((x * y for x, y in zip(ab[1:], ap[1:], strict=True)), ab[0] * ap[0])
+    t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / square))).otherwise(0.0)
+    off = [x - t * y for x, y in zip(ap, ab, strict=True)]
+    chord = F.sqrt(sum((x * x for x in off[1:]), off[0] * off[0]))
+    return F.asin(F.least(chord / 2, F.lit(1.0))) * (2 * geo.SPHERE)
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, piece_m: float = PIECE_M, k: int = 8) -> DataFrame:
+    """points(point, lon, lat) and segments(name, x0, y0, x1, y1) to point, name, dist_m: the segment nearest to each point,
+    distances to the millimetre, ties by the name.
+
+    Segments are cut into pieces of piece_m at most (straight in degrees), and a point asks its k nearest middles. It is
+    settled where the farthest of them is half a piece farther than the nearest piece, since no other can then be nearer;
+    others ask for four times as many.
+    """
+    long = F.greatest(F.lit(1), F.ceil(geo.haversine(F.col("y0"), F.col("x0"), F.col("y1"), F.col("x1")) / piece_m)).cast("int")
+    cut = segments.select("name", *[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")]).dropna().withColumn("n", long).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    part = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * (i / F.col("n"))
+    i = F.col("i")
+    ends = {"ax": part("x0", "x1", i), "ay": part("y0", "y1", i), "bx": part("x0", "x1", i + 1), "by": part("y0", "y1", i + 1)}
+    pieces = shared.stored(cut.select("name", F.xxhash64("name", "x0", "y0", "x1", "y1", "i").alias("place"), *[c.alias(n) for n, c in ends.items()]), "pieces")
+    middles = pieces.select("place", ((F.col("ax") + F.col("bx")) / 2).alias("lon"), ((F.col("ay") + F.col("by")) / 2).alias("lat")).distinct()
+    open_ = points.select("point", F.col("lon").cast("double"), F.col("lat").cast("double")).filter(placed(F.col("lon"), F.col("lat")))
+    done: DataFrame | None = None
+    while True:
+        near = k_nearest(open_, middles, k).join(pieces, "place").join(open_, "point")
+        d = F.round(_to_piece(_vector(F.col("lon"), F.col("lat")), _vector(F.col("ax"), F.col("ay")), _vector(F.col("bx"), F.col("by"))), 3)
+        best = near.groupBy("point").agg(F.min(F.struct(d.alias("dist_m"), "name")).alias("b"), F.max("dist_m").alias("far"), F.max("rank").alias("asked"))
+        sure = (F.col("asked") < k) | (F.col("far") >= F.col("b.dist_m") + piece_m / 2 + 0.01)
+        told = shared.stored(best.select("point", "b.name", "b.dist_m", sure.alias("sure")), "segment")
+        found = told.filter("sure").drop("sure")
+        done = found if done is None else done.unionByName(found)
+        left = told.filter("not sure").select("point")
+        if not left.limit(1).count():
+            return done
+        open_ = shared.stored(open_.join(left, "point"), "open")
+        k *= 4
+
+
+def nearest_region(points: DataFrame, regions: DataFrame) -> DataFrame:
+    """points(point, lon, lat) and regions(region, geometry WKB) to point, region, dist_m: 0 for each region that holds
+    the point, else the one with the nearest border (ties by the region)."""
+    inside = shared.stored(containing_region(points, regions), "inside").withColumn("dist_m", F.lit(0.0))
+    outside = points.join(inside.select("point").distinct(), "point", "left_anti")
+    edges = regions.select("region", "geometry").filter("region is not null and geometry is not null").mapInArrow(region_borders, "name string, x0 double, y0 double, x1 double, y1 double")
+    return inside.unionByName(nearest_segment(outside, edges).select("point", F.col("name").alias("region"), "dist_m"))

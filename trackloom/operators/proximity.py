@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.arrow import grouped
+
 #: Metres, of the sphere on which distances are taken.
 RADIUS = 6_371_008.8
 #: A key is hot with more than max(HOT_ROWS, rows / HOT_KEYS) rows, which bounds the number of hot keys by HOT_KEYS.
@@ -207,78 +209,116 @@ def region_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"region": pa.array(region, pa.string()), "x0": e[:, 0], "y0": e[:, 1], "x1": e[:, 2], "y1": e[:, 3]})
 
 
-def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Points and edges of whole slabs to (point, region).
+def region_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(region, geometry) to all edges of its rings: name, x0, y0, x1, y1."""
+    for b in batches:
+        name, edges = [], [np.empty((0, 4))]
+        for one, wkb in zip(b["region"].to_pylist(), b["geometry"].to_pylist(), strict=True):
+            for ring in _rings(wkb) if wkb else []:
+                e = np.hstack([ring[:-1], ring[1:]])
+                edges.append(e[np.isfinite(e).all(1)])
+                name += [one] * len(edges[-1])
+        e = np.vstack(edges)
+        yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), *(pa.array(c) for c in e.T)], ["name", "x0", "y0", "x1", "y1"])
+
+
+def trapezoids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(region, geometry) to the trapezoids of each region: between two heights (y0, y1), from a left edge to a right one, each
+    edge as the whole edge it is part of (lx0, ly0, lx1, ly1, rx0, ...), and the least and largest longitude they span.
 
-    Within its slab the vertices cut thinner slabs, in which edges do not begin or end; those are ordered by their middle,
-    and a point finds its place among them by binary search with the side of each edge as the comparison. The regions
-    whose edges to the left of it are odd in number hold it.
+    A region's vertices cut it into slabs in which no edge begins or ends; in a slab its edges, in order, open and close it.
     """
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    t = pa.Table.from_batches(held)
-    is_point = t["region"].is_null().to_numpy()
-    slab = t["slab"].to_numpy()
-    c = {k: t[k].to_numpy() for k in ("x0", "y0", "x1", "y1")}
-    out_p, out_r = [], []
-    names = t["region"].combine_chunks()
-    ids = t["point"].fill_null(0).to_numpy()  # not through floats
-    order = np.argsort(slab, kind="stable")
-    for members in np.split(order, np.flatnonzero(np.diff(slab[order])) + 1):
-        pts, edg = members[is_point[members]], members[~is_point[members]]
-        if not len(pts) or not len(edg):
-            continue
-        ys = np.unique(np.concatenate([c["y0"][edg], c["y1"][edg]]))
-        thin = np.searchsorted(ys, c["y0"][pts], "right") - 1
-        inside = (thin >= 0) & (thin < len(ys) - 1)
-        pts, thin = pts[inside], thin[inside]
-        by = np.argsort(thin, kind="stable")
-        for some in np.split(by, np.flatnonzero(np.diff(thin[by])) + 1):
-            if not len(some):
-                continue
-            k = thin[some[0]]
-            e = edg[(c["y0"][edg] <= ys[k]) & (c["y1"][edg] >= ys[k + 1])]
+    names = ["region", "y0", "y1", "xmin", "xmax", *(f"{side}{c}" for side in "lr" for c in ("x0", "y0", "x1", "y1"))]
+    for b in batches:
+        region, parts = [], []
+        for name, wkb in zip(b["region"].to_pylist(), b["geometry"].to_pylist(), strict=True):
+            rings = _rings(wkb) if wkb else []
+            e = np.vstack([np.hstack([r[:-1], r[1:]]) for r in rings if len(r) > 1] or [np.empty((0, 4))])
+            e = e[np.isfinite(e).all(1) & (e[:, 1] != e[:, 3])]
             if not len(e):
                 continue
-            x_at = lambda q, y: c["x0"][q] + (c["x1"][q] - c["x0"][q]) * (y - c["y0"][q]) / (c["y1"][q] - c["y0"][q])
-            e = e[np.argsort(x_at(e, (ys[k] + ys[k + 1]) / 2), kind="stable")]
-            p = pts[some]
-            lo, hi = np.zeros(len(p), np.int64), np.full(len(p), len(e))
-            while (open_ := lo < hi).any():  # edges at or left of the point
-                mid = (lo + hi) // 2
-                q = e[np.minimum(mid, len(e) - 1)]
-                is_left = x_at(q, c["y0"][p]) <= c["x0"][p]
-                lo, hi = np.where(open_ & is_left, mid + 1, lo), np.where(open_ & ~is_left, mid, hi)
-            region = names.take(pa.array(e)).to_pylist()
-            open_sets: list[tuple] = [()]
-            for r in region:  # which regions are open behind each edge of the slab
-                s = set(open_sets[-1])
-                s.symmetric_difference_update({r})
-                open_sets.append(tuple(s))
-            for i, at in zip(p, lo, strict=True):
-                for r in open_sets[at]:
-                    out_p.append(ids[i])
-                    out_r.append(r)
-    yield pa.RecordBatch.from_pydict({"point": pa.array(out_p, pa.int64()), "region": pa.array(out_r, pa.string())})
-
-
-def containing_region(points: DataFrame, regions: DataFrame, slab: float = 0.05) -> DataFrame:
-    """points(point bigint, lon, lat) and regions(region string, geometry WKB) to (point, region) for every region that
+            e = np.where((e[:, 1] > e[:, 3])[:, None], e[:, [2, 3, 0, 1]], e)
+            ys = np.unique(e[:, [1, 3]])
+            lo, hi = np.searchsorted(ys, e[:, 1]), np.searchsorted(ys, e[:, 3])
+            n = hi - lo
+            of = np.repeat(np.arange(len(e)), n)
+            slab = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            order = np.lexsort((_x_at(e[of], (ys[slab] + ys[slab + 1]) / 2), slab))
+            of, slab = of[order], slab[order]
+            begin = np.searchsorted(slab, slab)
+            left = np.flatnonzero((np.arange(len(slab)) - begin) % 2 == 0)
+            left = left[(left + 1 < len(slab))]
+            left = left[slab[left] == slab[left + 1]]
+            el, er, y0, y1 = e[of[left]], e[of[left + 1]], ys[slab[left]], ys[slab[left] + 1]
+            at = np.stack([_x_at(side, y) for side in (el, er) for y in (y0, y1)])
+            parts.append(np.column_stack([y0, y1, at.min(0), at.max(0), el, er]))
+            region += [name] * len(left)
+        x = np.vstack(parts) if parts else np.empty((0, 12))
+        yield pa.RecordBatch.from_arrays([pa.array(region, pa.string()), *(pa.array(c) for c in x.T)], names)
+
+
+def _x_at(e: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The longitude of edges (x0, y0, x1, y1) at a height."""
+    return e[:, 0] + (e[:, 2] - e[:, 0]) * (y - e[:, 1]) / (e[:, 3] - e[:, 1])
+
+
+_SIDES = [f"{side}{c}" for side in "lr" for c in ("x0", "y0", "x1", "y1")]
+
+
+def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trapezoids (point null) and then points of one tile at a time, to (point, region).
+
+    In the order of their least longitude, the trapezoids over a point lie between two places found by binary search: the last
+    that begins at or left of it, and the first behind which one reaches it. Height and edges settle each.
+    """
+    for t in grouped(batches, ["slab", "tile", "part"]):
+        is_point = t["region"].is_null().to_numpy()
+        pts, box = np.flatnonzero(is_point), np.flatnonzero(~is_point)
+        if not len(pts) or not len(box):
+            continue
+        c = {k: t[k].to_numpy() for k in ("y0", "y1", "xmin", "xmax", *_SIDES)}
+        box = box[np.argsort(c["xmin"][box], kind="stable")]
+        reach = np.maximum.accumulate(c["xmax"][box])
+        x, y = c["xmin"][pts], c["y0"][pts]
+        lo, hi = np.searchsorted(reach, x), np.searchsorted(c["xmin"][box], x, "right")
+        n = np.maximum(hi - lo, 0)
+        keep = n > 0
+        pts, lo, n = pts[keep], lo[keep], n[keep]
+        total, begin = np.cumsum(n), 0
+        left, right = (np.column_stack([c[f"{side}{k}"] for k in ("x0", "y0", "x1", "y1")]) for side in "lr")
+        while begin < len(pts):
+            done = total[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(total, done + STEP, "right")))
+            m = n[begin:end]
+            within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            p, e = np.repeat(pts[begin:end], m), box[np.repeat(lo[begin:end], m) + within]
+            x, y = c["xmin"][p], c["y0"][p]
+            near = (c["y0"][e] <= y) & (y < c["y1"][e])
+            p, e, x, y = p[near], e[near], x[near], y[near]
+            near = (_x_at(left[e], y) <= x) & (x < _x_at(right[e], y))
+            p, e = p[near], e[near]
+            for i in range(0, len(p), 50_000):
+                yield from pa.table({"point": t["point"].take(pa.array(p[i : i + 50_000])), "region": t["region"].take(pa.array(e[i : i + 50_000]))}).to_batches()
+            begin = end
+
+
+def containing_region(points: DataFrame, regions: DataFrame, slab: float = 0.25) -> DataFrame:
+    """points(point, lon, lat) and regions(region string, geometry WKB) to (point, region) for every region that
     holds the point; a border belongs to the region to its east or north.
 
-    Boundaries are cut into edges, edges and points distributed by slabs of `slab` degrees of latitude (an edge to all it
-    meets) and by columns of points, and located there; a slab with many points is split by the points' hash, and its edges
-    copied to each part. Positions that do not count and regions without a readable geometry give no rows.
+    Regions are cut into trapezoids, and these and the points dealt to tiles of `slab` degrees; only tiles with points are
+    filled. A tile with many points is split by their hash, each part with a copy of the tile's trapezoids. Positions that do
+    not count and regions without a readable geometry give no rows.
     """
-    pts = points.select("point", F.col("lon").cast("double").alias("x0"), F.col("lat").cast("double").alias("y0")).filter(F.col("point").isNotNull() & placed(F.col("lon"), F.col("lat")))
-    pts = pts.withColumn("band", F.floor((F.col("y0") + 90) / slab).cast("int"))
-    edges = regions.select("region", "geometry").filter("region is not null and geometry is not null").mapInArrow(region_edges, "region string, x0 double, y0 double, x1 double, y1 double")
-    edges = edges.withColumn("band", F.explode(F.sequence(F.floor((F.col("y0") + 90) / slab).cast("int"), F.floor((F.col("y1") + 90) / slab).cast("int"))))
-    counts = pts.groupBy("band").count().withColumn("parts", F.ceil(F.col("count") / HOT_ROWS).cast("int")).select("band", "parts")  # at most 180 / slab rows
-    pts = pts.join(F.broadcast(counts), "band").withColumn("part", F.pmod(F.xxhash64("point"), F.col("parts")).cast("int"))
-    edges = edges.join(F.broadcast(counts), "band").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cols = ["point", "region", "x0", "y0", "x1", "y1", F.xxhash64("band", "part").alias("slab")]
-    none = lambda kind: F.lit(None).cast(kind)
-    rows = pts.withColumns({"region": none("string"), "x1": none("double"), "y1": none("double")}).select(cols).unionByName(edges.withColumn("point", none("bigint")).select(cols))
-    return rows.repartition("slab").mapInArrow(_locate, "point bigint, region string").distinct()
+    at = lambda c: F.floor((c + 540) / slab).cast("int")
+    pts = points.select("point", F.col("lon").cast("double").alias("xmin"), F.col("lat").cast("double").alias("y0")).filter(F.col("point").isNotNull() & placed(F.col("xmin"), F.col("y0")))
+    pts = pts.withColumns({"slab": at(F.col("y0")), "tile": at(F.col("xmin"))})
+    numbers = ["y0", "y1", "xmin", "xmax", *_SIDES]
+    boxes = regions.select("region", "geometry").filter("region is not null and geometry is not null").mapInArrow(trapezoids, "region string, " + ", ".join(f"{c} double" for c in numbers))
+    boxes = boxes.withColumn("slab", F.explode(F.sequence(at(F.col("y0")), at(F.col("y1"))))).withColumn("tile", F.explode(F.sequence(at(F.col("xmin")), at(F.col("xmax")))))
+    counts = pts.groupBy("slab", "tile").count().withColumn("parts", F.ceil(F.col("count") / HOT_ROWS).cast("int")).select("slab", "tile", "parts")
+    pts = pts.join(counts, ["slab", "tile"]).withColumn("part", F.pmod(F.xxhash64("point"), F.col("parts")).cast("int"))
+    boxes = boxes.join(counts, ["slab", "tile"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cols, kind = ["slab", "tile", "part", "point", "region", *numbers], dict(points.dtypes)["point"]
+    rows = boxes.withColumn("point", F.lit(None).cast(kind)).select(cols).unionByName(pts.select("slab", "tile", "part", "point", "xmin", "y0"), allowMissingColumns=True)
+    return rows.repartition("slab", "tile", "part").sortWithinPartitions("slab", "tile", "part").mapInArrow(_locate, f"point {kind}, region string").distinct()

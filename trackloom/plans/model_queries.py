@@ -9,7 +9,7 @@ from trackloom.functions import geo
 from trackloom.operators import agents, classify, cluster, graph, hourly, models, nearest, proximity, stitch, textprep
 from trackloom.operators import statistics as S
 from trackloom.plans.registry import query, read
-from trackloom.plans.views import METRES, PLACES, TRIPS, places, trips
+from trackloom.plans.views import EDGES, METRES, OK, PLACES, TRIPS, holding, nearest_of, places, trips
 from trackloom.sources import io
 
 R = 6
@@ -39,9 +39,13 @@ def degrees(s: SparkSession, d: str) -> DataFrame:
     return graph.degrees(_nodes(s, d), graph.undirected(_edges(s, d)))
 
 
-@query()
+@query(f"with {EDGES}, v as (select distinct hex_id, round(x, 7) as x, round(y, 7) as y from corner) select distinct a.hex_id as src, b.hex_id as dst from v a join v b on a.x = b.x and a.y = b.y and a.hex_id < b.hex_id")
 def cell_contiguity(s: SparkSession, d: str) -> DataFrame:
-    return graph.queen_contiguity(read(s, d, "cells").select(F.col("hex_id").alias("region"), "geometry"))
+    return graph.queen_contiguity(_cells(s, d))
+
+
+def _cells(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "cells").select(F.col("hex_id").alias("region"), "geometry")
 
 
 def _centres(s: SparkSession, d: str) -> DataFrame:
@@ -54,21 +58,20 @@ def cell_knn_graph(s: SparkSession, d: str) -> DataFrame:
     return graph.knn_graph(_centres(s, d).withColumnRenamed("region", "id"), 6)
 
 
-@query()
+@query(f"""with {PLACES}, {EDGES}, q as (select PLACEKEY as point, lon, lat from places), {holding("q")}, rest as (select * from q where point not in (select point from held)),
+seg as (select hex_id as name, x0, y0, x1, y1 from edge), {nearest_of("rest", "seg")} select point, hex_id as region, 0.0 as dist_m from held union all select point, name, dist_m from nearest""")
 def nearest_cell_join(s: SparkSession, d: str) -> DataFrame:
-    """The cell whose centre is nearest to each place."""
-    p = places(s, d).select(F.col("PLACEKEY").alias("point"), "lon", "lat")
-    return nearest.nearest_region(p, _centres(s, d))
+    """The cell that holds each place, or the one whose border is nearest."""
+    return nearest.nearest_region(places(s, d).select(F.col("PLACEKEY").alias("point"), "lon", "lat"), _cells(s, d))
 
 
-@query()
+@query(f"""with {EDGES}, q as (select distinct trip_id as point, tripEndLongitude as lon, tripEndLatitude as lat from trips where {OK.format(x="tripEndLongitude", y="tripEndLatitude")}), {holding("q")}, rest as (select * from q where point not in (select point from held)),
+seg as (select hex_id as name, x0, y0, x1, y1 from edge), {nearest_of("rest", "seg")} select point, hex_id as region, 'within' as how, 0.0 as dist_m from held union all select point, name, 'nearest', dist_m from nearest""")
 def within_or_nearest_cell(s: SparkSession, d: str) -> DataFrame:
-    """The cell that holds each place, and for those outside all cells the nearest: joined exactly, settled for the rest."""
-    p = places(s, d).select(F.xxhash64("PLACEKEY").alias("point"), "lon", "lat")
-    cells = read(s, d, "cells").select(F.col("hex_id").alias("region"), "geometry")
-    inside = proximity.containing_region(p, cells)
-    rest = nearest.nearest_region(p.join(inside.select("point").distinct(), "point", "left_anti"), _centres(s, d)).select("point", "region")
-    return inside.select("point", "region", F.lit("within").alias("how")).unionByName(rest.select("point", "region", F.lit("nearest").alias("how")))
+    """The cell that holds the end of each trip, and for ends outside all cells the one whose border is nearest."""
+    ends = read(s, d, "trips").select(F.col("trip_id").alias("point"), F.col("tripEndLongitude").alias("lon"), F.col("tripEndLatitude").alias("lat")).filter(proximity.placed(F.col("lon"), F.col("lat"))).distinct()
+    found = nearest.nearest_region(ends, _cells(s, d))
+    return found.select("point", "region", F.when(F.col("dist_m") > 0, "nearest").otherwise("within").alias("how"), "dist_m")
 
 
 @query()
@@ -101,10 +104,15 @@ def route_stats(s: SparkSession, d: str) -> DataFrame:
     return graph.path_stats(graph.shortest_paths(edges, _legs(s, d)).select("leg", "path"), edges)
 
 
-@query()
+@query(f"""with {TRIPS}, q as (select distinct trip_id as point, lon1 as lon, lat1 as lat from own), node as (select i::bigint as id, -80 + (i % 30) * 0.001 as lon, 26 + floor(i / 30) * 0.001 as lat from (select unnest(range(0, 900)) as i)),
+link as (select a.id as u, b.id as v, a.lon as x0, a.lat as y0, b.lon as x1, b.lat as y1 from node a join node b on (b.id = a.id + 1 and a.id % 30 < 29) or b.id = a.id + 30),
+seg as (select {{'u': u, 'v': v}} as name, x0, y0, x1, y1 from link), {nearest_of("q", "seg")},
+end_ as (select q.point, n.id as node, round({METRES.format(lat1="q.lat", lon1="q.lon", lat2="n.lat", lon2="n.lon")}, 3) as dist_m from nearest e join q using (point) join node n on n.id in (e.name.u, e.name.v))
+select point, min_by(node, (dist_m, node)) as node, min(dist_m) as dist_m from end_ group by 1""")
 def snapped_nodes(s: SparkSession, d: str) -> DataFrame:
-    nodes, _ = _network(s)
-    return graph.snapped(trips(s, d).select(F.col("trip_id").alias("point"), F.col("lon1").alias("lon"), F.col("lat1").alias("lat")), nodes)
+    """The nearer end of the road nearest to the end of each trip."""
+    nodes, edges = _network(s)
+    return graph.snapped(trips(s, d).select(F.col("trip_id").alias("point"), F.col("lon1").alias("lon"), F.col("lat1").alias("lat")), nodes, edges)
 
 
 # paths of persons

@@ -9,6 +9,7 @@ from trackloom.functions.times import usable_trips
 from trackloom.operators.intervals import periods_and_gaps
 from trackloom.operators.proximity import containing_region, within_distance
 from trackloom.operators.sessions import sessions_by_batches
+from trackloom.plans.geometry_sql import EDGES, holding
 from trackloom.sources import records
 
 SESSION_GAP_S = 4 * 3600
@@ -104,5 +105,7 @@ a as (select *, floor(y / 0.001)::int as i, floor(x / 0.002)::int as j from t wh
 b as (select *, floor(v / 0.001)::int + di as i, floor(u / 0.002)::int + dj as j from q, (select unnest([-1, 0, 1]) as di), (select unnest([-1, 0, 1]) as dj) where abs(u) <= 180 and abs(v) <= 90 and not isnan(u) and not isnan(v) and not (u = 0 and v = 0))
 select distinct trip_id, PLACEKEY from a join b using (i, j)
 where 2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians(v - y) / 2), 2) + cos(radians(y)) * cos(radians(v)) * pow(sin(radians(u - x) / 2), 2)))) <= {NEAR_M}""",
+    "p4_cells": f"""with {EDGES}, q as (select distinct trip_id as point, tripEndLongitude as lon, tripEndLatitude as lat from trips where abs(tripEndLongitude) <= 180 and abs(tripEndLatitude) <= 90 and not isnan(tripEndLongitude) and not isnan(tripEndLatitude) and not (tripEndLongitude = 0 and tripEndLatitude = 0)),
+{holding("q")} select point as trip_id, hex_id from held""",
     "p7_found": _P7,
 }

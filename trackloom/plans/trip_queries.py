@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from trackloom.functions import geo
 from trackloom.operators import nearest, shapes, stitch
 from trackloom.plans.registry import query, read
-from trackloom.plans.views import METRES, PLACES, TRIPS, places, trips
+from trackloom.plans.views import METRES, PLACES, TRIPS, _double, places, trips
 
 _GAP = METRES.format(lat1="prev_lat", lon1="prev_lon", lat2="lat0", lon2="lon0")
 STITCHED = f"""{TRIPS}, lagged as (select *, lag(end_s) over w as prev_end, lag(lon1) over w as prev_lon, lag(lat1) over w as prev_lat from own window w as (partition by person_id order by start_s, end_s, trip_id)),
@@ -100,7 +100,7 @@ def albers_round_trip(s: SparkSession, d: str) -> DataFrame:
     return t.select("trip_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(F.greatest(F.abs(lon - F.col("lon1")), F.abs(lat - F.col("lat1"))), 8).alias("error"))
 
 
-@query()
+@query(f"with h as (select vec_id, hex(geometry) as h from poi_vectors where geometry is not null) select vec_id, {double('substr(h, 11, 16)')} as lon, {double('substr(h, 27, 16)')} as lat from h")
 def wkb_points(s: SparkSession, d: str) -> DataFrame:
     p = read(s, d, "poi_vectors").filter("geometry is not null").select("vec_id", geo.wkb_point(F.col("geometry")).alias("p"))
     return p.select("vec_id", "p.lon", "p.lat")
