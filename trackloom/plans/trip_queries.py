@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from trackloom.functions import geo
 from trackloom.operators import nearest, shapes, stitch
 from trackloom.plans.registry import query, read
-from trackloom.plans.views import METRES, PLACES, TRIPS, _double, places, trips
+from trackloom.plans.views import METRES, PLACES, TRIPS, double, places, trips
 
 _GAP = METRES.format(lat1="prev_lat", lon1="prev_lon", lat2="lat0", lon2="lon0")
 STITCHED = f"""{TRIPS}, lagged as (select *, lag(end_s) over w as prev_end, lag(lon1) over w as prev_lon, lag(lat1) over w as prev_lat from own window w as (partition by person_id order by start_s, end_s, trip_id)),
