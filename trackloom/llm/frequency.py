@@ -88,7 +88,9 @@ def term_frequencies(records: DataFrame, least: int = 3, most_share: float = 0.0
     """
     counts = shared.stored(records.select("field", "terms").mapInArrow(_count_block, "field string, term string, occurrences bigint, records bigint"), "blocks")
     named = dictionary(counts)
-    encoded = counts.join(named, ["field", "term"]).select("id", "occurrences", "records")
+    # combined before the join, so that a term of every block is one row of it
+    blocks = counts.groupBy("field", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    encoded = blocks.join(named, ["field", "term"]).select("id", "occurrences", "records")
     summed = encoded.repartition(F.floor(F.col("id") / RANGE)).mapInArrow(_sum_ranges, "id bigint, occurrences bigint, records bigint")
     totals = records.groupBy("field").agg(F.count(F.lit(1)).alias("all_records"))
     mark = F.when(F.col("records") < least, "rare").when(F.col("records") > F.col("all_records") * most_share, "common")

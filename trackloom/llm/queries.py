@@ -101,6 +101,9 @@ SQL = {
     "p9_shares_met": "select source, true as met from mix_targets",
     "p5_found": _COUNTS + "select field, term, mark from m where mark is not null",
     "p5_counts": _COUNTS + "select field, term, records as occurrences, records, mark from m",
+    "p5_text_terms": f"""with w as (select doc_id, row_number() over () as r, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) as term from documents),
+c as (select term, count(*) as occurrences, count(distinct r) as records from w group by 1)
+select *, case when records < {RARE} then 'rare' when records > (select count(*) from documents) * {COMMON_SHARE} then 'common' end as mark from c""",
     "p6_found": f"""{USABLE},
 pairs as (select a.vec_id, b.vec_id as neighbor_id, row_number() over (partition by a.vec_id order by round(list_dot_product(a.u, b.u), 12) desc, b.vec_id) as n, list_dot_product(a.u, b.u) as c from unit a join unit b on a.vec_id <> b.vec_id)
 select vec_id, neighbor_id from pairs where n <= {K} and c >= {LEAST_COS}""",
