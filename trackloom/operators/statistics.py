@@ -53,10 +53,12 @@ def mixed_numbers(x: np.ndarray, seed: int = 1) -> np.ndarray:
     return (x % p * 48271 + seed * 12345 + 1) % p * 16807 % p
 
 
-def _permuted_sums(visits: DataFrame, labels: DataFrame, poi_counts: DataFrame, permutations: int, min_hex: int, seed: int, pairs: bool) -> DataFrame:
+def _permuted_sums(visits: DataFrame, labels: DataFrame, poi_counts: DataFrame, permutations: int, min_hex: int, seed: int, kind: str) -> DataFrame:
     """For the labels as they are (b = 0) and dealt anew within each hour: b, cluster (or a and b_cluster), cat_name, with the
     number of valid hours n, the sum of squared deviations s and the largest m, in points; deviations of a cluster's shares
-    from the baseline, or of two clusters' from each other in hours valid for both.
+    from the baseline (`baseline`), or of two clusters' from each other in hours valid for both (`pairs`), both over a
+    trajectory's first cell of the hour and each cell once; or, over all visits, of a cluster's shares of the places its
+    devices are at from the mean of the clusters' (`centred`, as parts and not points).
 
     An hour's rows and the places of its cells go to one task once, and all draws are made there: what is shuffled is an
     hour's rows, and one array of sums for each draw and cluster from each task, whatever the number of draws.
@@ -67,6 +69,8 @@ def _permuted_sums(visits: DataFrame, labels: DataFrame, poi_counts: DataFrame,
 
     spark = visits.sparkSession
     first = visits.filter("pt_idx is not null and hex_id is not null").groupBy("traj_id", C.TIME).agg(F.min("hex_id").alias("hex_id"))
+    pairs, centred = kind == "pairs", kind == "centred"
+    taken = visits.filter("pt_idx is not null and hex_id is not null").select("traj_id", C.TIME, "hex_id") if centred else first
     kinds = dict(poi_counts.dtypes) | dict(labels.dtypes)
     cats = [r[0] for r in poi_counts.select(C.CAT).distinct().orderBy(C.CAT).collect()]  # a dimension of the model
     names = [r[0] for r in labels.filter("cluster is not null").select("cluster").distinct().orderBy("cluster").collect()]  # one row a cluster
@@ -75,12 +79,10 @@ def _permuted_sums(visits: DataFrame, labels: DataFrame, poi_counts: DataFrame,
     if not cats or not names:
         return spark.createDataFrame([], schema)
     code = lambda values, col: F.array_position(F.array(*[F.lit(v) for v in values]), F.col(col)).cast("int") - 1
-    rows = first.join(labels.filter("cluster is not null"), "traj_id").select(C.TIME, F.col("traj_id").cast("bigint").alias("traj"), F.xxhash64("hex_id").alias("hex"), code(names, "cluster").alias("code"), F.lit(None).cast("double").alias("n"))
-    active = first.select(C.TIME, "hex_id").distinct()
+    rows = taken.join(labels.filter("cluster is not null"), "traj_id").select(C.TIME, F.col("traj_id").cast("bigint").alias("traj"), F.xxhash64("hex_id").alias("hex"), code(names, "cluster").alias("code"), F.lit(None).cast("double").alias("n"))
     every = visits.filter("pt_idx is not null and hex_id is not null").select(C.TIME, "hex_id").distinct()
-    mark = every.join(active.withColumn("own", F.lit(True)), [C.TIME, "hex_id"], "left").join(poi_counts, "hex_id")
-    # places of the hour's cells: for the baseline all visited, for the clusters those that are somebody's first
-    held = mark.select(C.TIME, F.when(F.col("own"), F.lit(-1)).otherwise(F.lit(-2)).cast("bigint").alias("traj"), F.xxhash64("hex_id").alias("hex"), code(cats, C.CAT).alias("code"), F.col("cat_count").cast("double").alias("n"))
+    # places of the hour's cells: for the baseline all that are visited
+    held = every.join(poi_counts, "hex_id").select(C.TIME, F.lit(None).cast("bigint").alias("traj"), F.xxhash64("hex_id").alias("hex"), code(cats, C.CAT).alias("code"), F.col("cat_count").cast("double").alias("n"))
     k, width = len(names), len(cats)
     one, two = np.triu_indices(k, 1) if pairs else (np.arange(k), None)
     chunk = max(1, 2_000_000 // max(1, len(one) * width))
@@ -91,31 +93,34 @@ def _permuted_sums(visits: DataFrame, labels: DataFrame, poi_counts: DataFrame,
             hour = int(t[C.TIME][0].as_py())
             n = t["n"].to_numpy()
             is_place = ~np.isnan(n)
-            traj, hex_, code_ = (t[c].to_numpy() for c in ("traj", "hex", "code"))
+            traj, hex_, code_ = t["traj"].fill_null(0).to_numpy(), t["hex"].to_numpy(), t["code"].to_numpy()
             cells, at = np.unique(hex_, return_inverse=True)
             whole = np.bincount(code_[is_place], n[is_place], width)
             if not whole.sum():
                 continue
             counts = np.zeros((len(cells), width))
             np.add.at(counts, (at[is_place], code_[is_place]), n[is_place])
-            order = np.argsort(traj[~is_place], kind="stable")
-            cell, label, key = at[~is_place][order], code_[~is_place][order], traj[~is_place][order]
+            key, begin, who = np.unique(traj[~is_place], return_index=True, return_inverse=True)
+            cell, label = at[~is_place], code_[~is_place][begin]
             known = counts.any(1)
-            hours.append((hour, whole / whole.sum(), whole > 0, counts, known, cell, label, key))
+            hours.append((hour, whole / whole.sum(), whole > 0, counts, known, cell, label, key, who))
         for begin in range(0, permutations + 1, chunk):
             some = range(begin, min(begin + chunk, permutations + 1))
             total, square, most = np.zeros((len(some), len(one), width), np.int64), np.zeros((len(some), len(one), width)), np.zeros((len(some), len(one), width))
-            for hour, base, in_base, counts, known, cell, label, key in hours:
+            for hour, base, in_base, counts, known, cell, label, key, who in hours:
                 for i, b in enumerate(some):
                     own = label if b == 0 else _deal(mixed_numbers(key * 7919 + hour * 104_729 + b * 15_485_863, seed), label)
-                    there = np.zeros((k, len(known)), bool)
-                    there[own, cell] = True
-                    there &= known
-                    valid = there.sum(1) >= min_hex
+                    there = np.bincount(own[who] * len(known) + cell, minlength=k * len(known)).reshape(k, len(known))
+                    if not centred:
+                        there = (there > 0) & known
                     n = there @ counts
+                    valid = n.sum(1) > 0 if centred else there.sum(1) >= min_hex
                     share = n / np.maximum(n.sum(1, keepdims=True), 1e-300)
-                    d = 100 * (share[one] - (base if two is None else share[two]))
-                    ok = (valid if two is None else valid[one] & valid[two])[:, None] & (in_base if two is None else np.ones(width, bool))
+                    if centred:
+                        d = share - share[valid].sum(0) / max(valid.sum(), 1)
+                    else:
+                        d = 100 * (share[one] - (base if two is None else share[two]))
+                    ok = (valid if two is None else valid[one] & valid[two])[:, None] & (in_base if kind == "baseline" else np.ones(width, bool))
                     d = np.where(ok, d, 0)
                     total[i] += ok
                     square[i] += d * d
@@ -137,13 +142,23 @@ def permutation_test(visits: DataFrame, labels: DataFrame, poi_counts: DataFrame
     """cluster, cat_name, observed, exceed, p: how often the statistic of permuted labels reaches the observed one, plus one
     over permutations plus one. A permutation in which a cluster has no valid hour counts as minus infinity."""
     t = (F.sqrt(F.col("s") / F.col("n")) if stat == "l2" else F.col("m")).alias("t")
-    drawn = shared.stored(_permuted_sums(visits, labels, poi_counts, permutations, min_hex, seed, False).select("b", "cluster", C.CAT, t), "drawn")
+    drawn = shared.stored(_permuted_sums(visits, labels, poi_counts, permutations, min_hex, seed, "baseline").select("b", "cluster", C.CAT, t), "drawn")
     observed = drawn.filter("b = 0").select("cluster", C.CAT, F.col("t").alias("observed"))
     ge = observed.join(drawn.filter("b > 0"), ["cluster", C.CAT], "left").groupBy("cluster", C.CAT).agg(F.first("observed").alias("observed"), F.sum((F.round("t", 9) >= F.round("observed", 9)).cast("int")).alias("exceed"))
     exceed = F.coalesce("exceed", F.lit(0))
     return ge.select("cluster", C.CAT, "observed", exceed.alias("exceed"), ((exceed + 1) / (permutations + 1)).alias("p"))
 
 
+def centred_count_test(visits: DataFrame, labels: DataFrame, poi_counts: DataFrame, permutations: int, stat: str = "l2", seed: int = 1) -> DataFrame:
+    """cluster, cat_name, observed, hours, p: the shares of the places at which a cluster's devices are (each visit counts),
+    less the mean of the clusters' at that hour; the root of the sum of their squares over the hours, or the largest. Labels
+    are dealt anew among the trajectories of an hour. Hours in which a cluster has no place count for nothing."""
+    t = (F.sqrt("s") if stat == "l2" else F.col("m")).alias("t")
+    drawn = shared.stored(_permuted_sums(visits, labels, poi_counts, permutations, 0, seed, "centred").select("b", "cluster", C.CAT, "n", t), "drawn")
+    own = drawn.filter("b = 0").select("cluster", C.CAT, F.col("n").alias("hours"))
+    return own.join(_p_values(drawn.drop("n"), ["cluster", C.CAT], permutations), ["cluster", C.CAT])
+
+
 def benjamini_hochberg(df: DataFrame, p: str = "p", by: tuple[str, ...] = (), tie: str | None = None) -> DataFrame:
     """Adds q: the smallest p m / rank of this and all larger p, at most 1; null p have a null q and are not counted."""
     there = Window.partitionBy(*by, F.col(p).isNull())
@@ -316,7 +331,7 @@ def _p_values(drawn: DataFrame, keys: list[str], permutations: int) -> DataFrame
 def omnibus_test(visits: DataFrame, labels: DataFrame, poi_counts: DataFrame, permutations: int, min_hex: int = 1, seed: int = 1) -> DataFrame:
     """cluster, observed, p: one test a cluster, the root of the mean over hours and categories of the squared points by
     which its shares leave the baseline."""
-    per = _permuted_sums(visits, labels, poi_counts, permutations, min_hex, seed, False)
+    per = _permuted_sums(visits, labels, poi_counts, permutations, min_hex, seed, "baseline")
     pooled = shared.stored(per.groupBy("b", "cluster").agg(F.sqrt(F.avg(F.col("s") / F.col("n"))).alias("t")), "pooled")
     return _p_values(pooled, ["cluster"], permutations)
 
@@ -325,6 +340,6 @@ def pairwise_contrasts(visits: DataFrame, labels: DataFrame, poi_counts: DataFra
     """a, b_cluster[, cat_name], observed, p, q: for each two clusters, the root of the mean over the hours valid for both
     (and categories) of the squared difference of their shares in points; q over all tests."""
     by = ["a", "b_cluster", *([C.CAT] if per_category else [])]
-    per = _permuted_sums(visits, labels, poi_counts, permutations, min_hex, seed, True)
+    per = _permuted_sums(visits, labels, poi_counts, permutations, min_hex, seed, "pairs")
     t = shared.stored(per.groupBy("b", *by).agg(F.sqrt(F.sum("s") / F.sum("n")).alias("t")), "contrasts")
     return benjamini_hochberg(_p_values(t, by, permutations).withColumn("_k", F.struct(*by)), tie="_k").drop("_k")

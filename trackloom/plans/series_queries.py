@@ -219,3 +219,14 @@ k as (select *, row_number() over (order by p, a, b_cluster) as i, count(*) over
 select a, b_cluster, round(observed, {R}) as observed, round(p, {R}) as p, round(least(1, min(p * m / i) over (order by i rows between current row and unbounded following)), {R}) as q from k""")
 def contrasts_composition(s: SparkSession, d: str) -> DataFrame:
     return _r(S.pairwise_contrasts(visits(s, d), labels(s, d), poi_counts(s, d), PERMUTATIONS, min_hex=2), "observed", "p", "q")
+
+
+@query(f"""with {_perm(PERMUTATIONS)}, lab as (select 0 as b, traj_id, pt_idx, cluster from fv join labels using (traj_id) union all select b, traj_id, pt_idx, cluster from pm),
+n as (select b, cluster, pt_idx, cat_name, sum(cat_count) as n from lab join visits using (traj_id, pt_idx) join poi_counts using (hex_id) group by all),
+ok as (select b, cluster, pt_idx, sum(n) as whole from n group by all), cats as (select distinct cat_name from poi_counts),
+sh as (select ok.b, ok.cluster, ok.pt_idx, cats.cat_name, coalesce(n.n, 0) / whole as share from ok cross join cats left join n on n.b = ok.b and n.cluster = ok.cluster and n.pt_idx = ok.pt_idx and n.cat_name = cats.cat_name),
+dv as (select b, cluster, cat_name, share - avg(share) over (partition by b, pt_idx, cat_name) as d from sh),
+t as (select b, cluster, cat_name, round(sqrt(sum(d * d)), 9) as t, count(*) as hours from dv group by all), o as (select * from t where b = 0), r as (select * from t where b > 0)
+select o.cluster, o.cat_name, any_value(o.hours) as hours, round(any_value(o.t), {R}) as observed, round((coalesce(sum((r.t >= o.t)::int), 0) + 1) / {PERMUTATIONS + 1}.0, {R}) as p from o left join r using (cluster, cat_name) group by 1, 2""")
+def perm_test_centred_counts(s: SparkSession, d: str) -> DataFrame:
+    return _r(S.centred_count_test(visits(s, d), labels(s, d), poi_counts(s, d), PERMUTATIONS), "observed", "p")
