@@ -6,7 +6,6 @@ without forming a pair, except for the exact silhouette, where a row is compared
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -18,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trackloom import shared
 from trackloom.functions.columns import euclidean, mixer
+from trackloom.operators.pairwise import assignment
 
 
 def _vectors(df: DataFrame, x: str = "x") -> DataFrame:
@@ -167,16 +168,12 @@ def mixture_criteria(df: DataFrame, ks: list[int], seed: int = 0, x: str = "x")
 
 
 def best_mapping(df: DataFrame, cluster: str, truth: str) -> tuple[dict, dict[str, float]]:
-    """The assignment of clusters to labels that fits most rows (over all permutations; at most eight of either), with its
-    accuracy and the mean recall, precision and F1 of the labels."""
+    """The assignment of clusters to labels that fits most rows, with its accuracy and the mean recall, precision and F1 of
+    the labels. Only the table of counts comes to the driver."""
     t = df.groupBy(cluster, truth).count().toPandas().pivot(index=cluster, columns=truth, values="count").fillna(0)
     rows, cols = list(t.index), list(t.columns)
-    if max(len(rows), len(cols)) > 8:
-        raise ValueError("more than eight clusters or labels")
-    m = np.zeros((max(len(rows), len(cols)),) * 2)
-    m[: len(rows), : len(cols)] = t.to_numpy()
-    best = max(itertools.permutations(range(len(m))), key=lambda p: (sum(m[i, j] for i, j in enumerate(p)), tuple(-j for j in p)))
-    to = {rows[i]: cols[j] for i, j in enumerate(best) if i < len(rows) and j < len(cols)}
+    best = assignment(t.to_numpy(float))
+    to = {rows[i]: cols[j] for i, j in enumerate(best) if j >= 0}
     hit = np.array([sum(t.loc[r, c] for r, v in to.items() if v == c) for c in cols])
     said = np.array([sum(t.loc[r].sum() for r, v in to.items() if v == c) for c in cols])
     have = t.to_numpy().sum(0)
@@ -189,8 +186,6 @@ def constrained(df: DataFrame, centres: list[list[float]], most: int, x: str = "
     """key, cluster with at most `most` rows in each: every row bids for its nearest centre still open; a centre keeps its
     nearest bidders and the rest bid again. Each round is one window by centre; at least one centre fills a round."""
     c = df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(centres)], "cluster int, _c array<double>")
-    from trackloom import shared
-
     bids = shared.stored(df.select(key, x).join(F.broadcast(c)).select(key, "cluster", euclidean(F.col(x), F.col("_c")).alias("d")), "bids")
     held, full = None, []
     left = bids
@@ -212,6 +207,52 @@ def constrained(df: DataFrame, centres: list[list[float]], most: int, x: str = "
     raise ValueError("the clusters have no room for all rows")
 
 
+def constrained_kmeans(df: DataFrame, k: int, most: int, seeds: tuple[int, ...] = (0,), x: str = "x", key: str = "id", rounds: int = 20) -> tuple[DataFrame, float]:
+    """key, cluster with at most `most` rows in each, and the inertia: from each seed's centres, rows are assigned within the
+    bounds and centres moved to their means until the inertia no longer falls; the best seed's is kept."""
+    best: tuple[DataFrame, float] | None = None
+    for seed in seeds:
+        centres = kmeans(df, k, seed, x)[1]
+        last = math.inf
+        for _ in range(rounds):
+            own = shared.stored(constrained(df, centres, most, x, key), "assigned")
+            sums = cluster_sums(df.join(own, key), x).collect()  # clusters x dimensions
+            inertia = sum(r["q"] - r["s"] ** 2 / r["n"] for r in sums)
+            if inertia >= last * (1 - 1e-9):
+                break
+            last = inertia
+            if best is None or inertia < best[1]:
+                best = own, inertia
+            for r in sums:
+                centres[r["cluster"]][r["k"]] = r["s"] / r["n"]
+    return best
+
+
+def separability(df: DataFrame, step: str, x: str = "x", label: str = "label", key: str = "id") -> DataFrame:
+    """step, n, silhouette: the mean silhouette (squared distances) of the labels among each step's rows, by their sums; null
+    for a step with fewer than two labels."""
+    sums = df.select(step, label, F.posexplode(x).alias("k", "_v")).groupBy(step, label, "k").agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("s"), F.sum(F.col("_v") * F.col("_v")).alias("q"))
+    per = sums.groupBy(step, F.col(label).alias("_l")).agg(F.max("n").alias("n"), F.sum("q").alias("q"), F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda z: z["s"]).alias("s"))  # one entry a dimension
+    row = df.select(step, key, label, x, F.aggregate(x, F.lit(0.0), lambda t, v: t + v * v).alias("_xx"))
+    dot = F.aggregate(F.zip_with(x, "s", lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+    total, own = F.col("n") * F.col("_xx") + F.col("q") - 2 * dot, F.col(label) == F.col("_l")
+    mean = F.when(own, total / F.when(F.col("n") > 1, F.col("n") - 1)).otherwise(total / F.col("n"))
+    ab = row.join(per, step).withColumn("_m", mean).groupBy(step, key).agg(F.max(F.when(own, F.col("_m"))).alias("a"), F.min(F.when(~own, F.col("_m"))).alias("b"))
+    value = F.when(F.col("b").isNotNull(), F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0)))
+    return ab.groupBy(step).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("silhouette"))
+
+
+def soft_assignment(df: DataFrame, centres: list[list[float]], alpha: float = 1.0, x: str = "x") -> DataFrame:
+    """df with q: for each centre the part by Student's t kernel of the squared distance; and target: q squared over its sum
+    over all rows, made to add up to one (what a clustering head is sharpened towards)."""
+    far = [F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v) for c in centres]
+    raw = F.array(*[F.pow(1 + d / alpha, F.lit(-(alpha + 1) / 2)) for d in far])
+    part = lambda a: F.transform(a, lambda v: v / F.aggregate(a, F.lit(0.0), lambda t, w: t + w))
+    soft = df.withColumn("_raw", raw).withColumn("q", part(F.col("_raw"))).drop("_raw")
+    sums = soft.agg(F.array(*[F.sum(F.col("q")[i]) for i in range(len(centres))]).alias("_f"))
+    return soft.join(F.broadcast(sums)).withColumn("_t", F.zip_with("q", "_f", lambda a, b: a * a / b)).withColumn("target", part(F.col("_t"))).drop("_f", "_t")
+
+
 def principal_components(df: DataFrame, k: int, x: str = "x") -> tuple[DataFrame, list[float]]:
     """df with pc (array of k), and the parts of the variance explained."""
     v = _vectors(df, x)

@@ -100,3 +100,41 @@ def hit_rates(df: DataFrame, true: str, guessed: str, null_label: str) -> DataFr
     any_, all_ = (overlap >= 1).cast("double"), (overlap == F.size(F.array_distinct(true))).cast("double")
     known = ~(F.col(true) == F.array(F.lit(null_label)))
     return df.agg(F.count(F.lit(1)).alias("cells"), F.avg(any_).alias("hit_any"), F.avg(all_).alias("hit_perfect"), F.avg(F.when(known, any_)).alias("known_any"), F.avg(F.when(known, all_)).alias("known_perfect"))
+
+
+def reconstruction(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """feature, rmse, nrmse_pct (over the range of the true values), n: how well each feature's guess (second) meets its value
+    (first); rows in which either is null count for nothing."""
+    each = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(a).cast("double").alias("v"), F.col(b).cast("double").alias("g")) for n, (a, b) in pairs.items()])
+    rows = df.select(F.explode(each).alias("e")).select("e.*").filter("v is not null and g is not null")
+    rmse, width = F.sqrt(F.avg((F.col("v") - F.col("g")) * (F.col("v") - F.col("g")))), F.max("v") - F.min("v")
+    return rows.groupBy("feature").agg(rmse.alias("rmse"), (100 * rmse / F.when(width > 0, width)).alias("nrmse_pct"), F.count(F.lit(1)).alias("n"))
+
+
+def step_cosine(df: DataFrame, step: str, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """step, cosine, n: the mean cosine between the vectors of true and guessed features of a row; rows with a null, or a
+    vector of zeros, count for nothing."""
+    total = lambda f: sum((f(F.col(a).cast("double"), F.col(b).cast("double")) for a, b in pairs.values()), F.lit(0.0))
+    dot, vv, gg = total(lambda a, b: a * b), total(lambda a, b: a * a), total(lambda a, b: b * b)
+    cos = dot / F.sqrt(F.when((vv > 0) & (gg > 0), vv * gg))
+    return df.select(step, cos.alias("c")).filter("c is not null").groupBy(step).agg(F.avg("c").alias("cosine"), F.count(F.lit(1)).alias("n"))
+
+
+def sampled_keys(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n distinct keys drawn by a mixed number, the same in every run."""
+    return df.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+
+
+def substituted(wide: DataFrame, key: str, columns: list[str], vectors: DataFrame) -> DataFrame:
+    """key, column, value, vector: the i-th filled cell of a row of `wide` (in the order of the columns) takes the i-th vector of
+    its key in vectors(key, i from 0, vector). A row whose numbers of cells and vectors differ is an error."""
+    cells = F.filter(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]), lambda x: x["value"].isNotNull())
+    long = wide.select(key, F.posexplode(cells).alias("i", "x")).select(key, "i", "x.column", "x.value")
+    both = long.join(vectors.select(key, F.col("i").cast("int").alias("i"), "vector"), [key, "i"], "full")
+    torn = F.col("column").isNull() | F.col("vector").isNull()
+    return both.withColumn("vector", F.when(torn, F.raise_error(F.concat(F.lit("cells and vectors differ for "), F.col(key).cast("string")))).otherwise(F.col("vector"))).select(key, "column", "value", "vector")
+
+
+def columns_to_fill(df: DataFrame, exempt: tuple[str, ...]) -> list[str]:
+    """The columns in order, without those exempt."""
+    return [c for c in df.columns if c not in exempt]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions import geo
-from trackloom.operators import agents, classify, cluster, graph, hourly, models, nearest, proximity, stitch, textprep
+from trackloom.operators import agents, classify, cluster, features, graph, hourly, models, nearest, pairwise, proximity, stitch, textprep
 from trackloom.operators import statistics as S
 from trackloom.plans.registry import query, read
 from trackloom.plans.views import EDGES, METRES, OK, PLACES, TRIPS, holding, nearest_of, places, trips
@@ -282,6 +282,78 @@ def mmd2_fixed_gamma(s: SparkSession, d: str) -> DataFrame:
     return S.mmd2_features(_emb(s, d), 0.5)
 
 
+_ALL = "e as (select vec_id as id, label, cast(embedding as double[]) as x from embeddings), p as (select a.id as i, b.id as j, a.label as la, b.label as lb, list_sum(list_transform(list_zip(a.x, b.x), lambda z: pow(z[1] - z[2], 2))) as d2 from e a join e b on a.id <> b.id)"
+
+
+@query(f"""with {_ALL}, k as (select i, la = lb as same from p qualify row_number() over (partition by i order by round(sqrt(d2), 9), j) <= 10)
+select round((select sqrt(min(d2)) from p where la <> lb) / (select sqrt(max(d2)) from p where la = lb), {R}) as dunn, (select round(avg(m), {R}) from (select avg(same::int) as m from k group by i)) as knn_purity""")
+def pair_geometry(s: SparkSession, d: str) -> DataFrame:
+    g = pairwise.geometry(_emb(s, d))
+    return g.select(F.round("dunn", R).alias("dunn"), F.round("knn_purity", R).alias("knn_purity"))
+
+
+@query(f"""with {_ALL}, k as (select la, lb, sum(exp(-0.5 * d2)) as s from p group by 1, 2), n as (select label, count(*) as n from e group by 1)
+select x.la::int as a, x.lb::int as b, round(aa.s / (na.n * (na.n - 1)) + bb.s / (nb.n * (nb.n - 1)) - 2 * x.s / (na.n * nb.n), {R}) as mmd2
+from k x join n na on na.label = x.la join n nb on nb.label = x.lb join k aa on aa.la = x.la and aa.lb = x.la join k bb on bb.la = x.lb and bb.lb = x.lb where x.la < x.lb""")
+def mmd2_pairs(s: SparkSession, d: str) -> DataFrame:
+    """Exactly, between each two labels, from the test with its draws."""
+    return pairwise.mmd_test(_emb(s, d), 99, 0.5).select("a", "b", F.round("mmd2", R).alias("mmd2"))
+
+
+@query(f"""with {_ALL}, n as (select label, count(*) as m from e group by 1), g as (select count(*) as g, sum(m) as n from n), w as (select sum(d2 / 2 / m) as ssw from p join n on n.label = p.la where la = lb), t as (select sum(d2) / 2 / (select n from g) as sst from p)
+select round(((sst - ssw) / (g - 1)) / (ssw / (n - g)), {R}) as f, round((sst - ssw) / sst, {R}) as r2 from w, t, g""")
+def permanova_of_distances(s: SparkSession, d: str) -> DataFrame:
+    """From a table of distances between every two rows, as any distance may be given."""
+    e = _emb(s, d)
+    pairs = pairwise.warped_pairs(e, dims=64)  # of one step each: the Euclidean distance
+    t = pairwise.permanova_distances(pairs, e.select("id", F.col("label").cast("int").alias("label")), 19)
+    return t.select(F.round("f", R).alias("f"), F.round("r2", R).alias("r2"))
+
+
+@query(f"""with e as (select vec_id as id, label, vec_id % 4 as step, cast(embedding as double[]) as x from embeddings), p as (select a.id, a.step, a.label as la, b.label as lb, avg(list_sum(list_transform(list_zip(a.x, b.x), lambda z: pow(z[1] - z[2], 2)))) as m from e a join e b on a.step = b.step and a.id <> b.id group by all),
+ab as (select id, step, max(m) filter (la = lb) as a, min(m) filter (la <> lb) as b from p group by 1, 2) select step, count(*) as n, round(avg(coalesce((b - a) / greatest(a, b), 0)), {R}) as silhouette from ab group by 1""")
+def separability_per_step(s: SparkSession, d: str) -> DataFrame:
+    e = _emb(s, d).withColumn("step", F.col("id") % 4)
+    return cluster.separability(e, "step").withColumn("silhouette", F.round("silhouette", R))
+
+
+@query(f"""with e as (select vec_id as id, label, cast(embedding as double[]) as x from embeddings), f as (select id, x[1] as x, x[2] as y from e),
+r as (select id, 1 / (1 + x * x + y * y) as a, 1 / (1 + pow(x - 1, 2) + pow(y - 1, 2)) as b from f), q as (select id, a / (a + b) as qa, b / (a + b) as qb from r),
+t as (select id, qa, qa * qa / sum(qa) over () as ta, qb * qb / sum(qb) over () as tb from q) select id, round(qa, {R}) as q0, round(ta / (ta + tb), {R}) as target0 from t""")
+def soft_clusters(s: SparkSession, d: str) -> DataFrame:
+    e = _emb(s, d).select("id", F.slice("x", 1, 2).alias("x"))  # two dimensions of their own, compared with two centres
+    t = cluster.soft_assignment(e, [[0.0, 0.0], [1.0, 1.0]])
+    return t.select("id", F.round(F.col("q")[0], R).alias("q0"), F.round(F.col("target")[0], R).alias("target0"))
+
+
+_GUESS = "g as (select l_returnflag, avg(l_quantity::double) as gq, avg(l_discount::double * 100) as gd from lineitem group by 1), r as (select l_linestatus, l_quantity::double as q, l_discount::double * 100 as d, gq, gd from lineitem join g using (l_returnflag))"
+
+
+def _guessed(s: SparkSession, d: str) -> DataFrame:
+    l = read(s, d, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_quantity").cast("double").alias("q"), (F.col("l_discount").cast("double") * 100).alias("d"))  # noqa: E741
+    return l.join(l.groupBy("l_returnflag").agg(F.avg("q").alias("gq"), F.avg("d").alias("gd")), "l_returnflag")
+
+
+@query(f"with {_GUESS} select 'quantity' as feature, round(sqrt(avg(pow(q - gq, 2))), {R}) as rmse, round(100 * sqrt(avg(pow(q - gq, 2))) / (max(q) - min(q)), {R}) as nrmse_pct, count(*) as n from r union all select 'discount', round(sqrt(avg(pow(d - gd, 2))), {R}), round(100 * sqrt(avg(pow(d - gd, 2))) / (max(d) - min(d)), {R}), count(*) from r")
+def reconstruction_errors(s: SparkSession, d: str) -> DataFrame:
+    t = features.reconstruction(_guessed(s, d), {"quantity": ("q", "gq"), "discount": ("d", "gd")})
+    return t.select("feature", F.round("rmse", R).alias("rmse"), F.round("nrmse_pct", R).alias("nrmse_pct"), "n")
+
+
+@query(f"with {_GUESS} select l_linestatus, round(avg((q * gq + d * gd) / sqrt((q * q + d * d) * (gq * gq + gd * gd))), {R}) as cosine, count(*) as n from r where q * q + d * d > 0 group by 1")
+def reconstruction_cosines(s: SparkSession, d: str) -> DataFrame:
+    t = features.step_cosine(_guessed(s, d), "l_linestatus", {"quantity": ("q", "gq"), "discount": ("d", "gd")})
+    return t.withColumn("cosine", F.round("cosine", R))
+
+
+@query()
+def warped_sequences(s: SparkSession, d: str) -> DataFrame:
+    """The warped distance between the hourly values of every two persons of the events."""
+    e = read(s, d, "events").select("user_id", (F.col("event_id") % 48).alias("h"), "value").groupBy("user_id", "h").agg(F.avg("value").alias("v"))
+    seq = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "v"))), lambda p: p["v"]).alias("x"))  # 48 at most
+    return pairwise.warped_pairs(seq, "user_id", band=6, every=3)
+
+
 @query()
 def lm_blocks(s: SparkSession, d: str) -> DataFrame:
     named = read(s, d, "pois").groupBy("PLACEKEY").agg(F.min("LOCATION_NAME").alias("LOCATION_NAME"))
