@@ -6,6 +6,7 @@ without forming a pair, except for the exact silhouette, where a row is compared
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np

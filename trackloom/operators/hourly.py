@@ -19,7 +19,8 @@ from pyspark.sql.window import Window
 
 from trackloom.functions.columns import HOURS, uniform
 
-#: Hours between which nobody leaves, days on which everybody may, the first stay, and what parts a move.
+#: The parameters of a move's speed, least and most; hours between which nobody leaves, days on which everybody may, the first stay, and what parts a move.
+WARP = (0.8, 2.2)
 CURFEW_END, CURFEW_START, FREE_DAYS, FIRST_STAY_H, SAMPLE_S = 5.0, 22.0, (2, 3), 4.0, 300
 #: Dwell times in seconds by what a place is called, least and most; the first that fits holds.
 DWELL = [
@@ -45,24 +46,38 @@ def travel_seconds(nominal: Column, u: Column) -> Column:
     return F.greatest(F.lit(60.0), nominal * (0.8 + 0.55 * u))
 
 
+#: The coefficients of Lanczos' series for the gamma function (g = 7).
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """For arguments of at least a half."""
+    z = x - 1
+    series = LANCZOS[0] + sum(c / (z + i) for i, c in enumerate(LANCZOS[1:], 1))
+    t = z + 7.5
+    return 0.5 * math.log(2 * math.pi) + (z + 0.5) * np.log(t) - t + np.log(series)
+
+
 def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """The regularised incomplete beta function over arrays, by its continued fraction."""
+    """The regularised incomplete beta function over arrays (a and b of at least a half), by its continued fraction."""
     x, a, b = (np.asarray(v, float) for v in np.broadcast_arrays(x, a, b))
     x = np.clip(x, 0, 1)
     swap = x > (a + 1) / (a + b + 2)
     p, q, t = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
-    lg = np.vectorize(math.lgamma, otypes=[float])
     with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(lg(p + q) - lg(p) - lg(q) + p * np.log(t) + q * np.log1p(-t)) / p
+        front = np.exp(_log_gamma(p + q) - _log_gamma(p) - _log_gamma(q) + p * np.log(t) + q * np.log1p(-t)) / p
     tiny = 1e-300
     c, d = np.ones_like(t), 1 / np.where(np.abs(1 - (p + q) * t / (p + 1)) < tiny, tiny, 1 - (p + q) * t / (p + 1))
     f = d.copy()
     for m in range(1, rounds):
+        last = f
         for num in (m * (q - m) * t / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * t / ((p + 2 * m) * (p + 2 * m + 1))):
             d = 1 + num * d
             c = 1 + num / c
             d, c = 1 / np.where(np.abs(d) < tiny, tiny, d), np.where(np.abs(c) < tiny, tiny, c)
             f = f * d * c
+        if np.nanmax(np.abs(f - last), initial=0) < 1e-13:
+            break
     out = np.where((t <= 0), 0.0, np.where(t >= 1, 1.0, np.nan_to_num(front * f)))
     return np.where(swap, 1 - out, out)
 
@@ -148,10 +163,12 @@ def intervals_with_curfew(legs: DataFrame, seed: int = 7, hours: int | None = No
     return ordered.mapInPandas(walk, f"person_id {kind}, i int, kind string, start_s double, end_s double, lon0 double, lat0 double, lon1 double, lat1 double")
 
 
-def hourly_positions(intervals: DataFrame, hours: int = HOURS, sample_s: int = SAMPLE_S) -> DataFrame:
+def hourly_positions(intervals: DataFrame, hours: int = HOURS, sample_s: int = SAMPLE_S, warp_seed: int | None = 7) -> DataFrame:
     """intervals to person_id, hour (1..hours), lon, lat: the time-weighted mean position of each hour.
 
-    Moves are taken along the straight line between their ends. Intervals of no length, and what lies beyond the hours, count
+    Moves are taken along the straight line between their ends, at a speed that varies: the part of the way is the Beta
+    distribution's of the part of the time, its parameters drawn for each move from WARP (no draw, an even speed, without a
+    seed). Intervals of no length, and what lies beyond the hours, count
     for nothing; an hour without any has the position of the one before, the hours before the first that of the first
     interval (the home).
     """
@@ -165,6 +182,11 @@ def hourly_positions(intervals: DataFrame, hours: int = HOURS, sample_s: int = S
     mid = F.col("lo") + over * (F.col("k") + 0.5) / F.col("n")
     part = F.when(F.col("kind") == "move", (mid - F.col("start_s")) / (F.col("end_s") - F.col("start_s"))).otherwise(0.0)
     weight = over / F.col("n")
+    if warp_seed is not None:
+        draw = lambda k: WARP[0] + (WARP[1] - WARP[0]) * uniform(warp_seed, F.col("person_id"), F.col("i"), F.lit(k))
+        s = s.withColumns({"_part": part, "_w": weight})
+        part, weight = F.when(F.col("kind") == "move", warped(F.col("_part"), draw(1), draw(2))).otherwise(0.0), F.col("_w")
+        s, part = s.withColumn("_warped", part), F.col("_warped")
     mean = lambda a, b: F.sum((F.col(a) + part * (F.col(b) - F.col(a))) * weight) / F.sum(weight)
     got = s.groupBy("person_id", "hour").agg(mean("lon0", "lon1").alias("lon"), mean("lat0", "lat1").alias("lat"))
     home = intervals.groupBy("person_id").agg(F.min_by(F.struct(F.col("lon0").alias("lon"), F.col("lat0").alias("lat")), F.struct("start_s", "end_s")).alias("home"))

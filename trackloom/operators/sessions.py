@@ -10,6 +10,7 @@ its rows in the combine only, and the window behind it sees a bounded group.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,36 +74,50 @@ class SessionTable:
     def sessions(self) -> DataFrame:
         return self._read(self.manifest()["units"])
 
-    def merge(self, events: DataFrame) -> None:
+    def merge(self, events: DataFrame, batch: int | None = None) -> None:
         """Takes a batch of events(key, start_s, end_s and, with once_by_id, id).
 
+        A batch that has a number is taken once: one no larger than the last taken is passed over. If another writer has been
+        in between, the manifest is left alone and the batch fails.
+
         once_by_id: an id that an earlier batch or row had is not counted again; rows without an id all count.
         """
         held = self.manifest()
+        if batch is not None and batch <= held.get("batch", -1):
+            return
         version, ids = held["version"] + 1, list(held["ids"])
+        own = f"{version}-{uuid.uuid4().hex[:8]}"
         if self.once_by_id:
             named, rest = events.filter("id is not null").dropDuplicates(["id"]), events.filter("id is null")
             if ids:
                 named = named.join(self.spark.read.schema("id bigint").parquet(*[f"{self.path}/{x}" for x in ids]), "id", "left_anti")
             fresh = shared.stored(named.select("key", "start_s", "end_s", "id"), "fresh")
-            fresh.select("id").write.mode("overwrite").parquet(f"{self.path}/ids-{version}")
-            ids.append(f"ids-{version}")
+            fresh.select("id").write.mode("overwrite").parquet(f"{self.path}/ids-{own}")
+            ids.append(f"ids-{own}")
             events = fresh.unionByName(rest.select("key", "start_s", "end_s", "id"))
         unit_of = F.floor(F.col("session_start") / F.lit(self.unit)).alias("unit")
         local = shared.stored(sessionize(events, self.gap), "local")
         # one row per unit of time: their number depends on the calendar, not on the data's size
         spans = local.groupBy(unit_of).agg(F.min("session_start").alias("lo"), F.max("session_end").alias("hi")).collect()
+        done = {"version": version, "units": held["units"], "ids": ids, "batch": held.get("batch", -1) if batch is None else batch}
         if not spans:
+            if batch is not None or self.once_by_id:
+                self._publish(held, done)
             return
         near = {u: x for u, x in held["units"].items() if any(int(u) == s["unit"] or x["lo"] - self.gap <= s["hi"] and s["lo"] <= x["hi"] + self.gap for s in spans)}
         merged = _islands(local.unionByName(self._read(near)), self.gap, "n_events") if near else local
-        folder = f"v{version}"
+        folder = f"v{own}"
         merged.select("*", unit_of).write.mode("overwrite").partitionBy("unit").parquet(f"{self.path}/{folder}")
         written = self.spark.read.schema(SCHEMA + ", unit bigint").parquet(f"{self.path}/{folder}")
         now = written.groupBy("unit").agg(F.min("session_start").alias("lo"), F.max("session_end").alias("hi")).collect()
         units = {u: x for u, x in held["units"].items() if u not in near}
         units |= {str(r["unit"]): {"dir": f"{folder}/unit={r['unit']}", "lo": r["lo"], "hi": r["hi"]} for r in now}
-        shared.write_text(self.spark, f"{self.path}/manifest.json", json.dumps({"version": version, "units": units, "ids": ids}))
+        self._publish(held, done | {"units": units})
+
+    def _publish(self, held: dict, now: dict) -> None:
+        if self.manifest()["version"] != held["version"]:
+            raise RuntimeError("another writer has changed the session table")
+        shared.write_text(self.spark, f"{self.path}/manifest.json", json.dumps(now))
 
 
 def sessions_by_batches(rows: DataFrame, prepare: Callable[[DataFrame], DataFrame], gap: int, arrival: str, batches: int, once_by_id: bool = False) -> DataFrame:

@@ -43,10 +43,11 @@ def read_places(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_trajectories(spark: SparkSession, path: str) -> DataFrame:
-    """Simulated steps, poi_name from label_pair where it is missing."""
+    """Simulated steps in the order of persons and steps, poi_name from label_pair where it is missing."""
     df = spark.read.options(header=True, inferSchema=True).csv(path)
     names = [c for c in ("poi_name", "label_pair") if c in df.columns]
-    return df.withColumn("poi_name", F.coalesce(*[F.col(c) for c in names])) if names else df
+    df = df.withColumn("poi_name", F.coalesce(*[F.col(c) for c in names])) if names else df
+    return df.orderBy(*[c for c in ("person_id", "step") if c in df.columns] or df.columns[:1])
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -99,6 +100,36 @@ def write_geojson_lines(df: DataFrame, path: str, line: str, *properties: str) -
     geojson_features(df, line, *properties).write.mode("overwrite").text(path)
 
 
+def write_geojson(df: DataFrame, path: str, line: str, *properties: str) -> None:
+    """As FeatureCollections, one in each file written."""
+
+    def collection(parts):
+        import pyarrow as pa
+
+        begun = False
+        for b in parts:
+            if b.num_rows:
+                head = "," if begun else '{"type":"FeatureCollection","features":['
+                begun = True
+                yield pa.RecordBatch.from_pydict({"value": pa.array([head + ",\n".join(b["value"].to_pylist())], pa.string())})
+        if begun:
+            yield pa.RecordBatch.from_pydict({"value": pa.array(["]}"], pa.string())})
+
+    geojson_features(df, line, *properties).mapInArrow(collection, "value string").write.mode("overwrite").text(path)
+
+
+def save_model(model, path: str) -> None:
+    """A fitted model (anything of MLlib that can be written)."""
+    model.write().overwrite().save(path)
+
+
+def load_model(spark: SparkSession, path: str):
+    """What save_model wrote, as the class it was."""
+    from pyspark.ml.util import DefaultParamsReader
+
+    return DefaultParamsReader.loadParamsInstance(path, spark)
+
+
 def popup_html(*columns: str):
     """A table row for each column, as an HTML popup."""
     cells = [F.concat(F.lit(f"<tr><th>{c}</th><td>"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("</td></tr>")) for c in columns]

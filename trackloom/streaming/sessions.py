@@ -12,11 +12,11 @@ from trackloom.operators.sessions import SessionTable
 
 def sessions_into(stream: DataFrame, table: SessionTable, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Every micro-batch of trips (as delivered) is merged into the session table. The table takes a batch whole or not at
-    all; a batch repeated after a failure changes starts and ends no more, and with once_by_id nor the counts."""
+    all, and remembers the number of the last: one repeated after a failure is passed over."""
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, number: int) -> None:
         extra = [F.col("trip_id").alias("id")] if table.once_by_id else []
-        table.merge(usable_trips(batch, *extra).withColumnRenamed("participantId", "key"))
+        table.merge(usable_trips(batch, *extra).withColumnRenamed("participantId", "key"), number)
 
     w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
