@@ -163,7 +163,7 @@ def intervals_with_curfew(legs: DataFrame, seed: int = 7, hours: int | None = No
     return ordered.mapInPandas(walk, f"person_id {kind}, i int, kind string, start_s double, end_s double, lon0 double, lat0 double, lon1 double, lat1 double")
 
 
-def hourly_positions(intervals: DataFrame, hours: int = HOURS, sample_s: int = SAMPLE_S, warp_seed: int | None = 7) -> DataFrame:
+def hourly_positions(intervals: DataFrame, hours: int = HOURS, sample_s: int = SAMPLE_S, warp_seed: int | None = None) -> DataFrame:
     """intervals to person_id, hour (1..hours), lon, lat: the time-weighted mean position of each hour.
 
     Moves are taken along the straight line between their ends, at a speed that varies: the part of the way is the Beta
@@ -183,7 +183,7 @@ def hourly_positions(intervals: DataFrame, hours: int = HOURS, sample_s: int = S
     part = F.when(F.col("kind") == "move", (mid - F.col("start_s")) / (F.col("end_s") - F.col("start_s"))).otherwise(0.0)
     weight = over / F.col("n")
     if warp_seed is not None:
-        draw = lambda k: WARP[0] + (WARP[1] - WARP[0]) * uniform(warp_seed, F.col("person_id"), F.col("i"), F.lit(k))
+        draw = lambda k: WARP[0] + (WARP[1] - WARP[0]) * uniform(warp_seed, F.col("person_id"), F.col("start_s").cast("bigint"), F.lit(k))
         s = s.withColumns({"_part": part, "_w": weight})
         part, weight = F.when(F.col("kind") == "move", warped(F.col("_part"), draw(1), draw(2))).otherwise(0.0), F.col("_w")
         s, part = s.withColumn("_warped", part), F.col("_warped")

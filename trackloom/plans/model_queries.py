@@ -145,7 +145,7 @@ def curfew_intervals(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hourly_positions(s: SparkSession, d: str) -> DataFrame:
-    return hourly.hourly_positions(hourly.intervals_with_curfew(_travel(s, d), hours=hourly.HOURS))
+    return hourly.hourly_positions(hourly.intervals_with_curfew(_travel(s, d), hours=hourly.HOURS), warp_seed=7)
 
 
 _BINS = f"""{TRIPS}, i as (select person_id, start_s - min(start_s) over (partition by person_id) as a, end_s - min(start_s) over (partition by person_id) as b, lon1, lat1 from own where end_s > start_s),
