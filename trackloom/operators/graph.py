@@ -156,13 +156,13 @@ def shortest_paths(edges: DataFrame, legs: DataFrame) -> DataFrame:
     """edges(u, v, travel_time) and legs(leg, origin, dest) to leg, travel_s, path (array of nodes): one search for each
     origin serves all its legs; a leg without a path gives no row, one from a node to itself a path of that node.
 
-    The network is packed to arrays and broadcast if it has at most MAX_EDGES edges, which is checked; for larger ones use
-    `frontier_distances`. Legs are what grows, and they stay distributed.
+    The network is packed to arrays and broadcast if it has at most MAX_EDGES edges, which is checked; larger ones go by
+    `frontier_paths`, with the same result but for paths of equal time. Legs are what grows, and they stay distributed.
     """
     spark = edges.sparkSession
     n = edges.count()
     if n > MAX_EDGES:
-        raise ValueError(f"{n} edges are too many to broadcast; use frontier_distances")
+        return frontier_paths(edges, legs)
     e = edges.select("u", "v", "travel_time").toPandas()
     names, code = np.unique(np.concatenate([e["u"].to_numpy(), e["v"].to_numpy()]), return_inverse=True)
     u, v = code[: len(e)], code[len(e) :]
@@ -208,6 +208,40 @@ def frontier_distances(edges: DataFrame, origins: DataFrame, rounds: int = 200)
     raise RuntimeError(f"distances did not settle in {rounds} rounds")
 
 
+def frontier_paths(edges: DataFrame, legs: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """As `shortest_paths`, without anything broadcast: distances by rounds in which improved nodes offer their edges and are
+    remembered as where the best offer came from, then the paths by walking back, an edge a round."""
+    known = edges.select(F.explode(F.array("u", "v")).alias("origin")).distinct()
+    asked = shared.stored(legs.select("leg", "origin", "dest").join(known, "origin", "left_semi"), "legs")
+    own = edges.select("u", "v", "travel_time").filter("travel_time is not null")
+    none = F.lit(None).cast(dict(edges.dtypes)["u"])
+    best = asked.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("d"), none.alias("before")).distinct()
+    front = best
+    for _ in range(rounds):
+        offer = front.join(own.withColumnRenamed("u", "node"), "node").groupBy("origin", F.col("v").alias("node")).agg(F.min(F.struct((F.col("d") + F.col("travel_time")).alias("d"), F.col("node").alias("before"))).alias("o"))
+        full = best.join(offer, ["origin", "node"], "full")
+        better = F.col("o.d").isNotNull() & (F.col("d").isNull() | (F.col("o.d") < F.col("d")))
+        kept = shared.stored(full.select("origin", "node", F.when(better, F.col("o.d")).otherwise(F.col("d")).alias("d"), F.when(better, F.col("o.before")).otherwise(F.col("before")).alias("before"), F.coalesce(better, F.lit(False)).alias("better")), "frontier")
+        best, front = kept.drop("better"), kept.filter("better").drop("better")
+        if not front.limit(1).count():
+            break
+    else:
+        raise RuntimeError(f"distances did not settle in {rounds} rounds")
+    back = best.select("origin", F.col("node").alias("at"), "before")
+    walk = asked.join(best.select("origin", F.col("node").alias("dest"), F.col("d").alias("travel_s")), ["origin", "dest"]).select("leg", "origin", F.col("dest").alias("at"), "travel_s", F.array("dest").alias("path"))
+    done = None
+    for i in range(rounds):
+        whole = walk.filter("at = origin").select("leg", "travel_s", "path")
+        done = whole if done is None else done.unionByName(whole)
+        on = walk.filter("at <> origin").join(back, ["origin", "at"])
+        walk = shared.stored(on.select("leg", "origin", F.col("before").alias("at"), "travel_s", F.concat(F.array("before"), "path").alias("path")), "walk")
+        if not walk.limit(1).count():
+            return done
+        if i % 16 == 15:
+            done = shared.stored(done, "paths")
+    raise RuntimeError(f"paths of more than {rounds} edges")
+
+
 def path_stats(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """paths(leg, path) over edges(u, v, travel_time, length): leg, edges, travel_s, length_m."""
     steps = paths.select("leg", F.posexplode("path").alias("i", "u"), "path").withColumn("v", F.get("path", F.col("i") + 1)).filter("v is not null").select("leg", "u", "v")
