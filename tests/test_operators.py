@@ -330,6 +330,21 @@ def test_names_are_tokenised_and_vectors_are_whole(spark, tmp_path):
     assert [row[f"z{i}"] for i in range(64)] == pytest.approx(x, abs=1e-6)
 
 
+def test_parsed_vectors_keep_digits_signs_and_nulls(spark, tmp_path):
+    import math
+
+    import __spark_entry__
+
+    q = __spark_entry__.queries()
+    x = [0.006650000344961882, -0.00003, 0.0, -0.0, -0.03125, None, float("inf"), 1e20]
+    spark.createDataFrame([(1, x), (2, None)], "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("vector_parse_whole", "vector_parse"):
+        got = {r["vec_id"]: r["v"] for r in q[name](spark, str(tmp_path)).collect()}
+        assert got[1][:7] == [0.0067, 0.0, 0.0, 0.0, -0.0313, None, math.inf] and got[1][7] == pytest.approx(1e20)
+        assert [math.copysign(1, v) for v in got[1][:4]] == [1, -1, 1, -1]
+        assert got[2] is None
+
+
 def test_walks_and_sweep_have_the_numbers_of_the_reference(spark, tmp_path, monkeypatch):
     import __spark_entry__
 

@@ -61,10 +61,17 @@ def vector_l2_normalize(s: SparkSession, d: str) -> DataFrame:
     return read(s, d, "embeddings").select("vec_id", F.transform(K.unit(F.col("embedding")), lambda x: F.round(x, R)).alias("u"))
 
 
+def _parsed(vectors: DataFrame) -> DataFrame:
+    """vectors(vec_id, x) written as text and read again. The text has every digit a float needs, and what rounds to zero
+    keeps its sign, as in SQL."""
+    text = vectors.select("vec_id", F.concat(F.lit("[ "), F.array_join(F.transform("x", lambda v: v.cast("string")), "  ", "null"), F.lit("]")).alias("t"))
+    rounded = lambda v: F.round(F.abs(v), 4) * F.signum(v)
+    return text.select("vec_id", F.transform(K.parse_vector(F.col("t")), lambda v: F.when(F.isnan(v) | (F.abs(v) == float("inf")), v.cast("double")).otherwise(rounded(v.cast("double")))).alias("v"))
+
+
 @query("select vec_id, list_transform(embedding[1:8], lambda x: round(x::double, 4)) as v from embeddings")
 def vector_parse(s: SparkSession, d: str) -> DataFrame:
-    text = read(s, d, "embeddings").select("vec_id", F.concat(F.lit("[ "), F.concat_ws("  ", F.transform(F.slice("embedding", 1, 8), lambda x: F.format_string("%.9f", x.cast("double")))), F.lit("]")).alias("t"))
-    return text.select("vec_id", F.transform(K.parse_vector(F.col("t")), lambda x: F.round(x.cast("double"), 4)).alias("v"))
+    return _parsed(read(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("x")))
 
 
 @query(f"select vec_id, {', '.join(f'round(embedding[{i + 1}]::double, {R}) as z{i}' for i in range(8))} from embeddings")
@@ -74,8 +81,7 @@ def vector_to_columns(s: SparkSession, d: str) -> DataFrame:
 
 @query("select vec_id, list_transform(embedding, lambda x: round(x::double, 4)) as v from embeddings")
 def vector_parse_whole(s: SparkSession, d: str) -> DataFrame:
-    text = read(s, d, "embeddings").select("vec_id", F.concat(F.lit("[ "), F.concat_ws("  ", F.transform("embedding", lambda x: F.format_string("%.9f", x.cast("double")))), F.lit("]")).alias("t"))
-    return text.select("vec_id", F.transform(K.parse_vector(F.col("t")), lambda x: F.round(x.cast("double"), 4)).alias("v"))
+    return _parsed(read(s, d, "embeddings").select("vec_id", F.col("embedding").alias("x")))
 
 
 @query(f"select vec_id, {', '.join(f'round(embedding[{i + 1}]::double, {R}) as z{i}' for i in range(64))} from embeddings")
