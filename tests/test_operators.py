@@ -345,6 +345,22 @@ def test_parsed_vectors_keep_digits_signs_and_nulls(spark, tmp_path):
         assert got[2] is None
 
 
+def test_the_grid_of_a_sequence_is_never_broadcast(spark):
+    from trackloom.operators import features as X
+
+    points = spark.range(4_000).select((F.col("id") % 400).alias("user"), (F.col("id") % 7 * 20 + 1).alias("step"), F.when(F.col("id") % 5 > 0, F.col("id").cast("double")).alias("value"))
+    seq = X.masked_sequences(points, "user", "step", ["value"])
+    observed = seq.filter("value is not null")
+    plan = observed._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan, plan
+    means = points.groupBy("user", "step").agg(F.avg("value").alias("v")).filter("v is not null")
+    got = {(r["user"], r["slot"]): r["value"] for r in observed.collect()}
+    assert got == {(r["user"], min(max(r["step"] - 1, 0), 142)): r["v"] for r in means.collect()}
+    assert seq.count() == 400 * 143 and seq.filter("padded and value_observed").count() == 0
+    t = X.masked_error(X.hour_mean_baseline(seq, "value"), "value", "guess").collect()[0]
+    assert t["n"] == len(got)
+
+
 def test_walks_and_sweep_have_the_numbers_of_the_reference(spark, tmp_path, monkeypatch):
     import __spark_entry__
 

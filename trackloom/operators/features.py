@@ -36,10 +36,12 @@ def masked_sequences(points: DataFrame, key: str, step: str, dims: list[str], le
     Steps beyond the series are clipped into it; NaN counts as missing; `padded` is true behind a key's last slot.
     """
     rows = points.select(key, time_slot(F.col(step), length).alias("slot"), *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in dims])
-    means = rows.groupBy(key, "slot").agg(*[F.avg(c).alias(c) for c in dims])
     last = rows.groupBy(key).agg(F.max("slot").alias("_last"))
     grid = last.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
-    full = grid.join(means, [key, "slot"], "left")
+    # no join: Spark takes the grid for as small as the keys it is made from, and would broadcast it
+    observed = rows.select(key, "slot", F.lit(None).cast("int").alias("_last"), *[F.when(F.col(key).isNotNull(), F.col(c)).alias(c) for c in dims])
+    both = grid.select(key, "slot", "_last", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in dims]).unionByName(observed)
+    full = both.groupBy(key, "slot").agg(F.max("_last").alias("_last"), *[F.avg(c).alias(c) for c in dims])
     return full.select(key, "slot", (F.col("slot") % 24).alias("hour"), (F.col("slot") > F.col("_last")).alias("padded"), *dims, *[F.col(c).isNotNull().alias(f"{c}_observed") for c in dims])
 
 
