@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -68,3 +70,47 @@ def test_tree_routes_where_balls_meet():
 @pytest.mark.parametrize("k", [1, 3])
 def test_repeated_positions_take_the_smaller_name(spark, k):
     _check(spark, [(5.0, 5.0)], [("b", 5.1, 5.0), ("a", 5.1, 5.0), ("c", 5.1, 5.0), ("d", 4.9, 5.0)], k)
+
+
+def test_nearest_segments_keep_one_piece_a_point(spark, monkeypatch):
+    from trackloom import shared
+    from trackloom.operators import nearest
+
+    rng = np.random.default_rng(5)
+    ends = np.round(rng.uniform([-80.4, 25.8, -80.4, 25.8], [-80.0, 26.2, -80.0, 26.2], (60, 4)), 4)
+    ends[40:, 2:] = ends[40:, :2] + 0.002
+    ends[0] = [-60.0, 40.0, -60.0, 40.0]  # far from all others, without length
+    ends[41] = ends[40]  # twice, under two names
+    at = rng.uniform([-80.6, 25.6], [-79.8, 26.4], (300, 2))
+    at[0], at[1] = [-61.0, 40.0], ends[41][:2]
+    segments = spark.createDataFrame([(f"s{i:02d}", *map(float, e)) for i, e in enumerate(ends)], "name string, x0 double, y0 double, x1 double, y1 double")
+    points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(at)], "point bigint, lon double, lat double")
+
+    held = []
+    real = shared.stored
+
+    def stored(df, name, *more):
+        out = real(df, name, *more)
+        lists = [f"coalesce(sum(size({c})), 0)" for c, kind in df.dtypes if kind.startswith("array<struct")]
+        held.append(out.selectExpr(" + ".join(["count(*)", *lists]) + " as n").collect()[0]["n"])
+        return out
+
+    monkeypatch.setattr(shared, "stored", stored)
+    got = {r["point"]: (r["name"], r["dist_m"]) for r in nearest.nearest_segment(points, segments).collect()}
+    monkeypatch.undo()
+    assert sum(x > 1_000 for x in held) <= 1, held  # the pieces; else a row a point
+
+    def metres(p, e):
+        n = max(1, math.ceil(float(nearest._haversine(*(np.array([v]) for v in e))[0]) / nearest.PIECE_M))
+        k = np.arange(n)
+        a, b = (nearest.in_space(e[0] + (e[2] - e[0]) * j / n, e[1] + (e[3] - e[1]) * j / n) for j in (k, k + 1))
+        ab, q = b - a, nearest.in_space(np.array([p[0]]), np.array([p[1]]))
+        t = np.clip(((q - a) * ab).sum(1) / np.where((ab**2).sum(1) > 0, (ab**2).sum(1), 1), 0, 1)
+        chord = np.sqrt(((a + t[:, None] * ab - q) ** 2).sum(1)).min()
+        return 2 * 6_371_000.0 * math.asin(chord / 2)
+
+    for i, p in enumerate(at):
+        want = min((round(metres(p, e), 3), f"s{j:02d}") for j, e in enumerate(ends))
+        assert got[i][0] == want[1] and abs(got[i][1] - want[0]) <= 0.0011, (i, got[i], want)
+    small = {r["point"]: (r["name"], r["dist_m"]) for r in nearest.nearest_segment(points, segments, leaf=8, salt=7).collect()}
+    assert small == got and got[1][0] == "s40" and got[0][0] == "s00"

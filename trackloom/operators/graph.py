@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from trackloom import shared
 from trackloom.functions import geo
 from trackloom.functions.columns import mixer
-from trackloom.operators.nearest import k_nearest, nearest_segment
+from trackloom.operators.nearest import k_nearest, nearest_segment_at
 from trackloom.operators.proximity import region_edges
 
 
@@ -125,8 +125,8 @@ def snapped(points: DataFrame, nodes: DataFrame, edges: DataFrame | None = None)
     end = lambda k: nodes.select(F.col("id").alias(k), F.col("lon").alias(f"x{k}"), F.col("lat").alias(f"y{k}"))
     wired = shared.stored(undirected(edges.select(F.col("u").alias("src"), F.col("v").alias("dst"))).select(F.col("src").alias("u"), F.col("dst").alias("v")).join(end("u"), "u").join(end("v"), "v"), "wired")
     name = F.struct("u", "v")
-    near = nearest_segment(points, wired.select(name.alias("name"), F.col("xu").alias("x0"), F.col("yu").alias("y0"), F.col("xv").alias("x1"), F.col("yv").alias("y1")))
-    both = near.select("point", "name.u", "name.v").join(wired, ["u", "v"]).join(points.select("point", "lon", "lat"), "point")
+    near = nearest_segment_at(points, wired.select(name.alias("name"), F.col("xu").alias("x0"), F.col("yu").alias("y0"), F.col("xv").alias("x1"), F.col("yv").alias("y1")))
+    both = near.select("point", "lon", "lat", "name.u", "name.v").join(wired, ["u", "v"])
     to = lambda k: F.struct(F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col(f"y{k}"), F.col(f"x{k}")), 3).alias("dist_m"), F.col(k).alias("node"))
     return both.select("point", F.least(to("u"), to("v")).alias("e")).select("point", "e.node", "e.dist_m")
 

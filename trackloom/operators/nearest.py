@@ -16,13 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom import shared
 from trackloom.arrow import grouped, ordinals
 from trackloom.functions import geo
+from trackloom.operators.numbering import numbered
 from trackloom.operators.proximity import containing_region, placed, region_borders
 
 #: Places of a leaf, positions of the sample that fits the tree, points of a leaf that go to one task.
@@ -240,52 +241,129 @@ def k_nearest(points: DataFrame, places: DataFrame, k: int, leaf: int = LEAF, sa
 PIECE_M = 500.0
 
 
-def _vector(lon: Column, lat: Column) -> list[Column]:
-    a, b = F.radians(lon), F.radians(lat)
-    return [F.cos(b) * F.cos(a), F.cos(b) * F.sin(a), F.sin(b)]
+def _to_pieces(tree: Tree, home: bool):
+    """Groups of one leaf and salt, pieces and points, to the nearest piece of each point: point, lon, lat, dist_m, number,
+    and at home the other leaves with pieces that may be nearer."""
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, ["leaf", "salt"]):
+            is_piece = t["number"].is_valid().to_numpy()
+            pieces, points = t.filter(pa.array(is_piece)), t.filter(pa.array(~is_piece))
+            if not len(points) or not len(pieces):
+                continue
+            pieces = pieces.take(pa.array(np.argsort(pieces["number"].to_numpy(), kind="stable")))  # ties to the first name
+            number = pieces["number"].to_numpy()
+            q = in_space(*_floats(pieces, "lon", "lat"))
+            a, b = in_space(*_floats(pieces, "ax", "ay")), in_space(*_floats(pieces, "bx", "by"))
+            ab = b - a
+            square = (ab * ab).sum(1)
+            half, bend = _extent(q, a, b)
+            half, bend = float(half.max()), float(bend.max())
+            lon_p, lat_p = _floats(points, "lon", "lat")
+            p, own = in_space(lon_p, lat_p), int(t["leaf"][0].as_py())
+            widest = _floats(points, "reach")[0]
+            for s in range(0, len(points), STEP):
+                x = p[s : s + STEP]
+                d = 2 - 2 * (x @ q.T)  # squared chords to the middles
+                limit = np.sqrt(np.maximum(d.min(1), 0) + BLUR) + bend + half
+                row, col = np.nonzero(d <= (limit**2 + BLUR)[:, None])
+                ap = a[col] - x[row]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    along = np.where(square[col] > 0, np.clip(-(ab[col] * ap).sum(1) / square[col], 0, 1), 0.0)
+                chord = np.sqrt(((ap + along[:, None] * ab[col]) ** 2).sum(1))
+                metres = np.floor(np.arcsin(np.minimum(chord / 2, 1.0)) * (2 * geo.SPHERE) * 1000 + 0.5) / 1000
+                order = np.lexsort((col, metres, row))
+                first = order[np.searchsorted(row[order], np.arange(len(x)))]
+                some = points.slice(s, len(x))
+                cols = [some["point"].combine_chunks(), *(pa.array(v[s : s + STEP]) for v in (lon_p, lat_p)), pa.array(metres[first]), pa.array(number[col[first]])]
+                names = ["point", "lon", "lat", "dist_m", "number"]
+                if home:
+                    reach = np.sqrt(np.maximum(chord[first], 0) ** 2 + BLUR) + widest[s : s + STEP]  # a middle may lie so far off
+                    r, leaf = tree.meets(x, reach) if tree.leaves > 1 else (np.empty(0, np.int64), np.empty(0, np.int64))
+                    r, leaf = r[leaf != own], leaf[leaf != own]
+                    order = np.argsort(r, kind="stable")
+                    off = pa.array(np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(x)))]).astype(np.int32))
+                    cols.append(pa.ListArray.from_arrays(off, pa.array(leaf[order].astype(np.int32))))
+                    names.append("others")
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return search
 
-def _to_piece(p: list[Column], a: list[Column], b: list[Column]) -> Column:
-    """Metres from a point in space to a short segment, along the sphere."""
-    ab, ap = [y - x for x, y in zip(a, b, strict=True)], [y - x for x, y in zip(a, p, strict=True)]
-    square = sum((x * x for x in ab[1:]), ab[0] * ab[0])
-    dot = sum((x * y for x, y in zip(ab[1:], ap[1:], strict=True)), ab[0] * ap[0])
-    t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / square))).otherwise(0.0)
-    off = [x - t * y for x, y in zip(ap, ab, strict=True)]
-    chord = F.sqrt(sum((x * x for x in off[1:]), off[0] * off[0]))
-    return F.asin(F.least(chord / 2, F.lit(1.0))) * (2 * geo.SPHERE)
 
+#: More than what a squared chord is off by as a product of unit vectors, or by a millimetre's rounding.
+BLUR = 1e-14
 
-def nearest_segment(points: DataFrame, segments: DataFrame, piece_m: float = PIECE_M, k: int = 8) -> DataFrame:
+
+def _extent(middle: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far a piece reaches from its middle, and how far the middle is from its line (chords)."""
+    far = lambda x: np.sqrt(((x - middle) ** 2).sum(1))
+    return np.maximum(far(a), far(b)) + 1e-9, far((a + b) / 2) + 1e-9
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, piece_m: float = PIECE_M, leaf: int = LEAF, salt: int = SALT) -> DataFrame:
     """points(point, lon, lat) and segments(name, x0, y0, x1, y1) to point, name, dist_m: the segment nearest to each point,
-    distances to the millimetre, ties by the name.
+    distances to the millimetre, ties by the name."""
+    return nearest_segment_at(points, segments, piece_m, leaf, salt).select("point", "name", "dist_m")
+
 
-    Segments are cut into pieces of piece_m at most (straight in degrees), and a point asks its k nearest middles. It is
-    settled where the farthest of them is half a piece farther than the nearest piece, since no other can then be nearer;
-    others ask for four times as many.
+def nearest_segment_at(points: DataFrame, segments: DataFrame, piece_m: float = PIECE_M, leaf: int = LEAF, salt: int = SALT) -> DataFrame:
+    """nearest_segment with lon and lat of the points.
+
+    Segments are cut into pieces of piece_m at most (straight in degrees), and pieces lie in the leaves of a tree over their
+    middles. A point asks the leaf it falls in for its nearest piece; a nearer one elsewhere has its middle within that
+    distance and what a piece reaches, and where that ball leaves the leaf the point asks the leaves it meets, once. A row
+    holds one piece, whatever the number of pieces compared.
     """
+    spark = points.sparkSession
     long = F.greatest(F.lit(1), F.ceil(geo.haversine(F.col("y0"), F.col("x0"), F.col("y1"), F.col("x1")) / piece_m)).cast("int")
-    cut = segments.select("name", *[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")]).dropna().withColumn("n", long).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    known = shared.stored(segments.select("name", *[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")]).dropna(), "segments")
+    names = shared.stored(numbered(known.select("name").distinct(), "name"), "names")
+    cut = known.join(names, "name").withColumn("n", long).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     part = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * (i / F.col("n"))
     i = F.col("i")
     ends = {"ax": part("x0", "x1", i), "ay": part("y0", "y1", i), "bx": part("x0", "x1", i + 1), "by": part("y0", "y1", i + 1)}
-    pieces = shared.stored(cut.select("name", F.xxhash64("name", "x0", "y0", "x1", "y1", "i").alias("place"), *[c.alias(n) for n, c in ends.items()]), "pieces")
-    middles = pieces.select("place", ((F.col("ax") + F.col("bx")) / 2).alias("lon"), ((F.col("ay") + F.col("by")) / 2).alias("lat")).distinct()
-    open_ = points.select("point", F.col("lon").cast("double"), F.col("lat").cast("double")).filter(placed(F.col("lon"), F.col("lat")))
-    done: DataFrame | None = None
-    while True:
-        near = k_nearest(open_, middles, k).join(pieces, "place").join(open_, "point")
-        d = F.round(_to_piece(_vector(F.col("lon"), F.col("lat")), _vector(F.col("ax"), F.col("ay")), _vector(F.col("bx"), F.col("by"))), 3)
-        best = near.groupBy("point").agg(F.min(F.struct(d.alias("dist_m"), "name")).alias("b"), F.max("dist_m").alias("far"), F.max("rank").alias("asked"))
-        sure = (F.col("asked") < k) | (F.col("far") >= F.col("b.dist_m") + piece_m / 2 + 0.01)
-        told = shared.stored(best.select("point", "b.name", "b.dist_m", sure.alias("sure")), "segment")
-        found = told.filter("sure").drop("sure")
-        done = found if done is None else done.unionByName(found)
-        left = told.filter("not sure").select("point")
-        if not left.limit(1).count():
-            return done
-        open_ = shared.stored(open_.join(left, "point"), "open")
-        k *= 4
+    pieces = cut.select("number", *[c.alias(n) for n, c in ends.items()]).groupBy(*ends).agg(F.min("number").alias("number"))
+    pieces = shared.stored(pieces.select("number", *ends, ((F.col("ax") + F.col("bx")) / 2).alias("lon"), ((F.col("ay") + F.col("by")) / 2).alias("lat")), "pieces")
+    kind = dict(points.dtypes)["point"]
+    asked = points.select("point", F.col("lon").cast("double"), F.col("lat").cast("double")).filter(placed(F.col("lon"), F.col("lat")))
+    n = pieces.count()
+    if not n:
+        return spark.createDataFrame([], f"point {kind}, lon double, lat double, dist_m double, name {dict(known.dtypes)['name']}")
+    some = pieces if n <= SAMPLE else pieces.filter(F.pmod(F.xxhash64("number", "lon", "lat"), F.lit(1 << 20)) < int((1 << 20) * SAMPLE / n) + 1)
+    at = some.select("lon", "lat").toArrow()  # about SAMPLE rows
+    tree = Tree(in_space(*_floats(at, "lon", "lat")), max(1, min(n // leaf, len(at) // 8)))
+
+    def extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            half, _ = _extent(in_space(*_floats(b, "lon", "lat")), in_space(*_floats(b, "ax", "ay")), in_space(*_floats(b, "bx", "by")))
+            yield pa.RecordBatch.from_arrays([pa.array([half.max(initial=0)])], ["half"])
+
+    reach = pieces.mapInArrow(extents, "half double").agg(F.max("half")).collect()[0][0]
+    piece_rows = lambda: pieces.mapInArrow(_routed(tree), "number bigint, ax double, ay double, bx double, by double, lon double, lat double, leaf int")
+    if tree.leaves > 1:
+        counts = np.zeros(tree.leaves, np.int64)
+        for r in piece_rows().groupBy("leaf").count().collect():  # one row a leaf
+            counts[r["leaf"]] = r["count"]
+        tree.pruned(counts, 1)
+    point_rows = shared.stored(asked.mapInArrow(_routed(tree), f"point {kind}, lon double, lat double, leaf int"), "points")
+    schema = f"point {kind}, lon double, lat double, dist_m double, number bigint"
+
+    def met(asking: DataFrame, home: bool) -> DataFrame:
+        salts = asking.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / salt).cast("int").alias("salts"))  # one row a leaf
+        spread = asking.join(F.broadcast(salts), "leaf").withColumn("salt", F.pmod(F.xxhash64("point"), F.col("salts")).cast("int")).drop("salts").withColumn("reach", F.lit(reach))
+        copies = piece_rows().join(F.broadcast(salts), "leaf").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        both = spread.unionByName(copies, allowMissingColumns=True)
+        return both.repartition("leaf", "salt").sortWithinPartitions("leaf", "salt").mapInArrow(_to_pieces(tree, home), schema + (", others array<int>" if home else ""))
+
+    best = met(point_rows, True)
+    if tree.leaves > 1:
+        first = shared.stored(best, "segment")
+        open_ = first.filter(F.size("others") > 0)
+        again = met(open_.select("point", "lon", "lat", F.explode("others").alias("leaf")), False)
+        w = F.min(F.struct("dist_m", "number")).alias("b")
+        merged = open_.drop("others").unionByName(again).groupBy("point", "lon", "lat").agg(w).select("point", "lon", "lat", "b.dist_m", "b.number")
+        best = first.filter(F.size("others") == 0).drop("others").unionByName(merged)
+    return best.join(names, "number").select("point", "lon", "lat", "dist_m", "name")
 
 
 def nearest_region(points: DataFrame, regions: DataFrame) -> DataFrame:
