@@ -152,6 +152,20 @@ def test_graph_pieces(spark):
     assert {r["node"] for r in v} == {str(i) for i in range(6)} and all(len(r["vector"]) == 4 for r in v)
 
 
+def test_walks_move_nothing_and_are_those_of_the_joins(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, j) for i in range(-3, 40) for j in range(i, 40, 3)] + [(2**40, 5), (5, 5), (7, None)], "src bigint, dst bigint")
+    monkeypatch.setattr(graph, "ENDS", 64)  # many parts
+    by_walk = lambda df: {(r["node"], r["walk"]): r["path"] for r in df.collect()}
+    got = graph.random_walks(edges, 3, 20)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan, plan
+    want = by_walk(graph.joined_walks(edges.dropna(), 3, 20))
+    assert by_walk(got) == want and len(want) == 44 * 3
+    small = edges.dropna().filter("src < 40").select(F.col("src").cast("int"), F.col("dst").cast("int"))
+    a, b = graph.random_walks(small, 2, 5), graph.joined_walks(small, 2, 5)
+    assert by_walk(a) == by_walk(b) and a.dtypes == b.dtypes
+
+
 def test_small_ones(spark):
     one = spark.createDataFrame([([1.0, 2.0, 4.0],)], "v array<double>")
     assert abs(one.select(timeseries.ema_last(F.col("v"), 0.5).alias("y")).first()["y"] - 2.75) < 1e-12

@@ -6,19 +6,26 @@ Loops are rounds of joins, each round a table in the shared folder: lineage stay
 from __future__ import annotations
 
 import heapq
+import os
+import uuid
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trackloom import shared
+from trackloom.arrow import grouped
 from trackloom.functions import geo
 from trackloom.functions.columns import mixer
 from trackloom.operators.nearest import k_nearest, nearest_segment_at
 from trackloom.operators.proximity import region_edges
+from trackloom.operators.statistics import mixed_numbers
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -249,9 +256,122 @@ def path_stats(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return paths.select("leg").join(s, "leg", "left").fillna(0)
 
 
+#: Nodes whose index a task may hold (some 50 bytes each).
+WALKED = 5_000_000
+#: Ends of edges that are combined at a time, and that a file of lists holds about.
+ENDS = 2_000_000
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+
+
+def _ends_by_node(kind: str):
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges to src and, as bytes, its neighbours among the edges held, both ways."""
+
+        def work(src: np.ndarray, dst: np.ndarray) -> Iterator[pa.RecordBatch]:
+            a, b = np.concatenate([src, dst]), np.concatenate([dst, src]).astype(kind)
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            off = np.append(_runs(a), len(a))
+            for s in range(0, len(off) - 1, 10_000):
+                e = min(s + 10_000, len(off) - 1)
+                where = ((off[s : e + 1] - off[s]) * b.itemsize).astype(np.int32)
+                lists = pa.Array.from_buffers(pa.binary(), e - s, [None, pa.py_buffer(where.tobytes()), pa.py_buffer(b[off[s] : off[e]].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(a[off[s:e]]), lists], ["src", "ends"])
+
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            held.append((batch["src"].to_numpy(), batch["dst"].to_numpy()))
+            rows += batch.num_rows
+            if rows >= ENDS // 2:
+                yield from work(*map(np.concatenate, zip(*held, strict=True)))
+                held, rows = [], 0
+        if rows:
+            yield from work(*map(np.concatenate, zip(*held, strict=True)))
+
+    return combine
+
+
+def _neighbour_lists(kind: str, path: str):
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (src, ends) in the order of src: the distinct neighbours in order go to a file of this attempt, and a row
+        says of each src how many there are and where."""
+        name = f"{path}/{uuid.uuid4().hex}"
+        at = 0
+        with open(name, "wb") as out:
+            for t in grouped(batches, ["src"]):
+                ends = np.unique(np.frombuffer(b"".join(t["ends"].to_pylist()), kind))
+                out.write(ends.tobytes())
+                yield pa.RecordBatch.from_arrays([t["src"].combine_chunks().slice(0, 1), *(pa.array([x]) for x in (len(ends), name, at))], ["node", "n", "part", "at"])
+                at += len(ends)
+
+    return write
+
+
+def _walked(index: str, kind: str, length: int, seed: int):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, walk, x) to whole walks; lists are mapped, not read, and the index of the nodes is held."""
+        t = pq.read_table(index).sort_by("node").combine_chunks()
+        node, n, at = (t[c].to_numpy() for c in ("node", "n", "at"))
+        names = pa.array(t["part"].to_pylist()).dictionary_encode()
+        part, lists = names.indices.to_numpy(), [np.memmap(x, kind, "r") for x in names.dictionary.to_pylist()]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            path = np.empty((b.num_rows, length), np.int64)
+            path[:, 0], x = b["node"].to_numpy(), b["x"].to_numpy()
+            for step in range(1, length):
+                here = np.searchsorted(node, path[:, step - 1])
+                to = at[here] + mixed_numbers(x + step * 7919, seed) % n[here]
+                order = np.argsort(part[here], kind="stable")
+                for rows in np.split(order, _runs(part[here][order])[1:]):
+                    path[rows, step] = lists[part[here[rows[0]]]][to[rows]]
+            off = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * length)
+            yield pa.RecordBatch.from_arrays([b["node"], b["walk"], pa.ListArray.from_arrays(off, pa.array(path.ravel()))], ["node", "walk", "path"])
+
+    return walk
+
+
 def random_walks(edges: DataFrame, walks: int, length: int, seed: int = 1) -> DataFrame:
-    """node, walk, path: uniform walks from every node; each step is one join with the neighbours in order, of which a
-    mixed number picks one."""
+    """node, walk, path: uniform walks from every node; at each step a mixed number picks one of the neighbours in order.
+
+    The neighbours' lists are files in the shared folder, which tasks map into memory, so that a walk goes to its end in one
+    task and nothing moves from step to step. Keys that are no integers, a shared folder that is not mounted as files, and
+    more nodes than a task's index may hold (WALKED) go by joins.
+    """
+    spark = edges.sparkSession
+    kinds = dict(edges.dtypes)
+    folder = urlparse(shared.scratch(spark, "lists"))
+    whole = {kinds["src"], kinds["dst"]} <= {"tinyint", "smallint", "int", "bigint"}
+    pairs = edges.dropna(subset=["src", "dst"])
+    if not whole or folder.scheme not in ("", "file"):
+        return joined_walks(pairs, walks, length, seed)
+    long = pairs.select(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))
+    low, high, n = long.agg(F.min(F.least("src", "dst")), F.max(F.greatest("src", "dst")), F.count(F.lit(1))).collect()[0]
+    if not n:
+        return joined_walks(pairs, walks, length, seed)
+    kind = "int32" if -(2**31) <= low and high < 2**31 else "int64"
+    os.makedirs(folder.path)
+    cores = spark.sparkContext.defaultParallelism
+    ends = long.mapInArrow(_ends_by_node(kind), "src bigint, ends binary").repartition(max(cores, -(-2 * n // ENDS)), "src").sortWithinPartitions("src")
+    index = shared.stored(ends.mapInArrow(_neighbour_lists(kind, folder.path), "node bigint, n bigint, part string, at bigint"), "index")
+    nodes = index.count()
+    if nodes > WALKED:
+        return joined_walks(pairs, walks, length, seed)
+    of_kind = F.col("node").cast(kinds["src"])
+    start = index.select("node", F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk")).withColumn("x", F.xxhash64(of_kind, "walk") % 1_000_003 + F.col("walk"))
+    begun = start.repartition(max(cores, -(-nodes * walks // 50_000)))
+    at = urlparse(index.inputFiles()[0]).path.rpartition("/")[0]
+    done = begun.mapInArrow(_walked(at, kind, length, seed), "node bigint, walk int, path array<bigint>")
+    return done.select(of_kind.alias("node"), "walk", F.col("path").cast(f"array<{kinds['src']}>").alias("path"))
+
+
+def joined_walks(edges: DataFrame, walks: int, length: int, seed: int = 1) -> DataFrame:
+    """random_walks by rounds: each step is one join with the neighbours in order."""
     both = edges.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.src", "e.dst").distinct()
     w = Window.partitionBy("src")
     ranked = shared.stored(both.select("src", "dst", (F.row_number().over(w.orderBy("dst")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n")), "neighbours")
