@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -155,3 +156,41 @@ def test_dyadic_runs_cover_the_same_cells(spans):
     assert {(x, c) for x, a, b in got for c in range(a, b)} == cells
     assert got == sorted(got)
     assert all(p[0] != q[0] or p[2] < q[1] for p, q in zip(got, got[1:], strict=False))
+
+
+def test_a_task_of_periods_holds_bounded_rows(spark, monkeypatch):
+    from trackloom.operators import intervals
+
+    monkeypatch.setattr(intervals, "COMBINE_ROWS", 64)
+    sizes, real = [], intervals.dyadic_runs
+
+    def runs(group, lo, hi, levels=intervals.LEVELS):
+        sizes.append(len(lo))
+        return real(group, lo, hi, levels)
+
+    monkeypatch.setattr(intervals, "dyadic_runs", runs)
+    rng = np.random.default_rng(3)
+    n = 3_000
+    entity = np.where(rng.random(n) < 0.5, "hot", np.char.add("p", rng.integers(0, 40, n).astype(str)))
+    lo = rng.integers(0, 1 << 10, n) * 2
+    hi = lo + 1 + 2 * rng.integers(0, 5, n)
+    rows = pa.table({"entity": pa.array(entity), "chunk": np.zeros(n, np.int64), "lo": lo, "hi": hi})
+    group = np.unique(entity, return_inverse=True)[1].astype(np.int64)
+    rows = rows.append_column("_group", pa.array(group)).take(pa.array(np.argsort(group, kind="stable")))
+    out = pa.Table.from_batches(intervals._finish(10**9)(iter(rows.to_batches(max_chunksize=16))))
+    assert max(sizes) <= 800, max(sizes)  # at most the runs of the hot chunk and 64 rows; all 3 000 before
+    whole = pa.table({"entity": ["long"], "start_s": [0], "end_s": [10_000_000_000]})
+    cut = pa.Table.from_batches(intervals._combine(iter(whole.to_batches())))
+    assert len(cut) == (2 * 10_000_000_000 >> intervals.LEVELS) + 1
+    got = {(e, k): set() for e in set(entity) for k in ("period", "edge")}
+    for e, k, x, y in zip(*(out[c].to_pylist() for c in ("entity", "kind", "from_s", "to_s")), strict=True):
+        if k != "gap":
+            got[e, k].add((x, y) if k == "period" else (x // 2, (y - 1) // 2))
+    for e in set(entity):
+        spans, want = sorted(zip(lo[entity == e] // 2, (hi[entity == e] - 1) // 2, strict=True)), []
+        for a, b in spans:
+            if want and a <= want[-1][1]:
+                want[-1][1] = max(want[-1][1], b)
+            else:
+                want.append([a, b])
+        assert got[e, "period"] | got[e, "edge"] == {tuple(map(int, w)) for w in want}

@@ -90,12 +90,14 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lo, hi = t["start_s"].to_numpy() * 2, t["end_s"].to_numpy() * 2 + 1
         c0, c1 = lo >> LEVELS, (hi - 1) >> LEVELS
         times = c1 - c0 + 1
-        row = np.repeat(np.arange(len(lo)), times)
-        chunk = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + c0[row]
-        base = chunk << LEVELS
-        group, names, name, at = _groups(t["entity"].take(pa.array(row)), chunk)
-        g, a, b = dyadic_runs(group, np.maximum(lo[row] - base, 0), np.minimum(hi[row] - base, 1 << LEVELS))
-        yield from pa.table({"entity": names.take(pa.array(name[g])), "chunk": at[g], "lo": a, "hi": b}).to_batches(max_chunksize=50_000)
+        part = (np.cumsum(times) - times) // COMBINE_ROWS  # long intervals have many chunks
+        for s in np.split(np.arange(len(lo)), np.flatnonzero(np.diff(part)) + 1):
+            row = np.repeat(s, times[s])
+            chunk = np.arange(len(row)) - np.repeat(np.cumsum(times[s]) - times[s], times[s]) + c0[row]
+            base = chunk << LEVELS
+            group, names, name, at = _groups(t["entity"].take(pa.array(row)), chunk)
+            g, a, b = dyadic_runs(group, np.maximum(lo[row] - base, 0), np.minimum(hi[row] - base, 1 << LEVELS))
+            yield from pa.table({"entity": names.take(pa.array(name[g])), "chunk": at[g], "lo": a, "hi": b}).to_batches(max_chunksize=50_000)
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -108,13 +110,45 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(held)
 
 
+def _merged(t: pa.Table) -> pa.Table:
+    """The runs of each entity and chunk in place of its rows; all rows are of one `_group`."""
+    group, names, name, at = _groups(t["entity"], t["chunk"].to_numpy())
+    g, a, b = dyadic_runs(group, t["lo"].to_numpy(), t["hi"].to_numpy())
+    return pa.table({"entity": names.take(pa.array(name[g])), "chunk": at[g], "lo": a, "hi": b, "_group": np.full(len(g), t["_group"][0].as_py())}, schema=t.schema)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in the order of `_group` as tables of about COMBINE_ROWS that cut no group; a group with more rows than that is
+    merged as it comes, so that a task holds no more than the runs of a chunk and COMBINE_ROWS."""
+    held: list[pa.RecordBatch] = []
+    rows, most = 0, COMBINE_ROWS
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= most:
+            t = pa.Table.from_batches(held)
+            group = t["_group"].to_numpy()
+            cut = len(group) - int(np.argmax(group[::-1] != group[-1])) if group[0] != group[-1] else 0
+            if cut:
+                yield t.slice(0, cut)
+            t = t.slice(cut)
+            if len(t) >= COMBINE_ROWS // 2:
+                t = _merged(t)
+            held, rows = t.to_batches(), len(t)
+            most = rows + COMBINE_ROWS
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _finish(max_gap: int):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All (entity, chunk, lo, hi) of a partition to inner periods and gaps, and the edge runs of each chunk."""
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
+        """(entity, chunk, lo, hi) in the order of `_group` to inner periods and gaps, and the edge runs of each chunk."""
+        for t in _whole_groups(batches):
+            yield from inner(t)
+
+    def inner(t: pa.Table) -> Iterator[pa.RecordBatch]:
         group, names, name, at = _groups(t["entity"], t["chunk"].to_numpy())
         g, a, b = dyadic_runs(group, t["lo"].to_numpy(), t["hi"].to_numpy())
         base = at[g] << LEVELS
@@ -145,7 +179,7 @@ def periods_and_gaps(intervals: DataFrame, max_gap: int) -> DataFrame:
     """
     clean = intervals.select("entity", F.col("start_s").cast("bigint"), F.col("end_s").cast("bigint")).filter("entity is not null and start_s is not null and end_s >= start_s")
     runs = clean.mapInArrow(_combine, "entity string, chunk bigint, lo bigint, hi bigint")
-    parts = shared.stored(runs.repartition("entity", "chunk").mapInArrow(_finish(max_gap), "entity string, kind string, from_s bigint, to_s bigint, chunk bigint"), "periods", ["kind"])
+    parts = shared.stored(runs.withColumn("_group", F.xxhash64("entity", "chunk")).repartition("entity", "chunk").sortWithinPartitions("_group").mapInArrow(_finish(max_gap), "entity string, kind string, from_s bigint, to_s bigint, chunk bigint"), "periods", ["kind"])
     inner = parts.filter("kind <> 'edge'").select("entity", "kind", "from_s", "to_s")
     w = Window.partitionBy("entity").orderBy("from_s", "to_s")
     edges = parts.filter("kind = 'edge'").withColumn("_new", F.coalesce((F.lag("to_s").over(w) < F.col("from_s")).cast("int"), F.lit(1)))
