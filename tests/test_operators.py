@@ -361,6 +361,22 @@ def test_the_grid_of_a_sequence_is_never_broadcast(spark):
     assert t["n"] == len(got)
 
 
+def test_the_race_for_places_is_run_in_tasks_and_draws_as_before(spark, monkeypatch):
+    monkeypatch.setattr(agents, "PEOPLE", 40)
+    monkeypatch.setattr(agents, "PLACES", 150)
+    u = lambda i: F.rand(i)
+    name = F.concat(F.lit("p"), F.col("id"), F.when(F.col("id") % 9 == 0, F.lit("-a-long-name-of-more-than-32-bytes")).otherwise(""))
+    p = spark.range(500).select(name.alias("place"), F.when(F.col("id") % 3 > 0, "food").otherwise("fuel").alias("category"), F.when(F.col("id") % 5 > 0, (F.col("id") % 4).cast("string")).alias("county"), (u(1) * 2 - 81).alias("lon"), (u(2) * 2 + 25).alias("lat"))
+    asked = spark.range(120).select(F.concat(F.lit("DRV"), "id").alias("person_id"), F.lit(1).alias("step"), F.when(F.col("id") % 2 > 0, "food").otherwise("fuel").alias("category"), (u(3) * 2 - 81).alias("lon"), (u(4) * 2 + 25).alias("lat"), (F.col("id") % 4).cast("string").alias("home_county"))
+    q = p.select("category", "place", "county", F.col("lon").alias("plon"), F.col("lat").alias("plat"))
+    t = agents.race(agents.pull(geo.haversine(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon")), F.col("home_county"), F.col("county")), K.uniform(42, F.col("person_id"), F.col("step"), F.col("place")))
+    want = {r["person_id"]: r["w"] for r in asked.join(q, "category").groupBy("person_id").agg(F.min_by("place", F.struct(t.alias("t"), "place")).alias("w")).collect()}
+    out = agents.next_places(asked, p)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "MapInArrow" in plan
+    assert {r["person_id"]: r["place"] for r in out.collect()} == want and len(want) == 120
+
+
 def test_walks_and_sweep_have_the_numbers_of_the_reference(spark, tmp_path, monkeypatch):
     import __spark_entry__
 
