@@ -48,6 +48,20 @@ def test_warped_pairs_and_linkage(spark):
     assert keys == list(range(12)) and pairwise.average_linkage(d, 2).tolist() == [i % 2 for i in range(12)]
 
 
+def test_warped_sequences_look_at_every_hour_and_path(spark, tmp_path):
+    from trackloom.plans import model_queries
+
+    r = np.random.default_rng(6)
+    value = {(u, h): float(r.normal()) for u in range(5) for h in range(48) if r.random() < 0.8}
+    events = spark.createDataFrame([(i * 48 + h, u, v) for i, ((u, h), v) in enumerate(value.items())], "event_id bigint, user_id bigint, value double")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    seq = [np.array([value[u, h] for h in range(48) if (u, h) in value])[:, None] for u in range(5)]
+    got = {(p["a"], p["b"]): p["d"] for p in model_queries.warped_sequences(spark, str(tmp_path)).collect()}
+    assert got.keys() == set(itertools.combinations(range(5), 2))
+    for (a, b), d in got.items():
+        assert abs(d - cluster.dtw(seq[a], seq[b])) < 1e-9
+
+
 def test_permanova_of_any_distances(spark):
     x, label = data(60)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
