@@ -62,6 +62,25 @@ def test_warped_sequences_look_at_every_hour_and_path(spark, tmp_path):
         assert abs(d - cluster.dtw(seq[a], seq[b])) < 1e-9
 
 
+@pytest.mark.parametrize("band, dims", [(None, 1), (2, 1), (None, 2)])
+def test_warped_pairs_of_more_than_a_piece(spark, band, dims):
+    r = np.random.default_rng(7)
+    seq = [r.normal(size=(r.integers(0, 6), dims)) for _ in range(pairwise.SIDE + 20)]
+    df = spark.createDataFrame([(i, s.ravel().tolist()) for i, s in enumerate(seq)], "id bigint, x array<double>")
+    got = {(p["a"], p["b"]): p["d"] for p in pairwise.warped_pairs(df, dims=dims, band=band).collect()}
+    assert got.keys() == set(itertools.combinations(range(len(seq)), 2))
+    for (a, b), d in got.items():
+        want = cluster.dtw(seq[a], seq[b], band)
+        assert d == want or abs(d - want) < 1e-9
+
+
+def test_warped_pairs_copy_a_row_to_few_blocks(spark, monkeypatch):
+    met, real = [], pairwise.block_pairs
+    monkeypatch.setattr(pairwise, "block_pairs", lambda *a: met.append(real(*a)) or met[-1])
+    pairwise.warped_pairs(spark.range(5_000).selectExpr("id", "array(1.0D) as x"))
+    assert {r["count"] for r in met[0].groupBy("id").count().collect()} == {8}  # the disk they take; with blocks of 256 it were 20
+
+
 def test_permanova_of_any_distances(spark):
     x, label = data(60)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
